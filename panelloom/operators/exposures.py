@@ -140,7 +140,9 @@ def exposure_grid(
         F.explode(F.sequence("a", F.add_months("b", spare), F.expr("interval 1 month"))).alias("period"),
     ).join(eff.select("period", "eff"), "period")
     events = narrow.unionByName(marks, allowMissingColumns=True)
-    joined = events.repartition("ticker").join(design, "date", "left")
+    # An explicit count keeps one solver task per core: adaptive coalescing looks at bytes only.
+    parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = events.repartition(parts, "ticker").join(design, "date", "left")
     fits = joined.groupBy("ticker").applyInPandas(
         _solver(levels, order, window, minimum, selection_mode, hac_lags), FIT_SCHEMA
     )

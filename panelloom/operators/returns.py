@@ -60,18 +60,61 @@ def with_horizon_returns(df: DataFrame, key: str, value: str = "ret", horizons=H
 
 
 def with_zscores(df: DataFrame, key: str, value: str = "ret", horizons=HORIZONS, gaps="skip") -> DataFrame:
-    """z of the h-day sum against its own trailing 252 observations (at least h of them)."""
-    year = frame(key, -251, 0, gaps)
+    """z of the h-day sum against its own trailing 252 observations (at least h of them).
+
+    The yearly moments of each sum come from running totals of its deviations from
+    the series mean (current minus the total 252 rows ago), so the cost per row does not
+    depend on the window length.  With ``gaps="break"`` they use a range frame.
+    """
     sums = df.select(
         "*",
         *[guarded(F.sum(value), value, frame(key, -(h - 1), 0, gaps), h).alias(f"__s{h}") for h in horizons],
     )
+    if gaps == "break":
+        year = frame(key, -251, 0, gaps)
+        parts = []
+        for h in horizons:
+            s = F.col(f"__s{h}")
+            parts += [F.count(s).over(year).alias(f"__n{h}"), F.avg(s).over(year).alias(f"__m{h}"), F.stddev_samp(s).over(year).alias(f"__d{h}")]
+        stats = sums.select("*", *parts)
+    else:
+        stats = _yearly_moments(sums, key, horizons)
     zs = []
     for h in horizons:
-        s = F.col(f"__s{h}")
-        sd = guarded(F.stddev_samp(s), s, year, h)
-        zs.append(F.when(sd > 0, (s - guarded(F.avg(s), s, year, h)) / sd).alias(f"z_{h}"))
-    return sums.select(*df.columns, *zs)
+        n, m, d = (F.col(f"__{p}{h}") for p in "nmd")
+        zs.append(F.when((n >= h) & (d > 0), (F.col(f"__s{h}") - m) / d).alias(f"z_{h}"))
+    return stats.select(*df.columns, *zs)
+
+
+def _yearly_moments(sums: DataFrame, key: str, horizons, window: int = 252) -> DataFrame:
+    whole, run = Window.partitionBy(key), _running(key)
+    walk = Window.partitionBy(key).orderBy("date")
+    out = sums.select(
+        "*",
+        *[F.avg(f"__s{h}").over(whole).alias(f"__c{h}") for h in horizons],
+        *[F.var_pop(f"__s{h}").over(whole).alias(f"__v{h}") for h in horizons],
+    )
+    dev = lambda h: F.coalesce(F.col(f"__s{h}") - F.col(f"__c{h}"), F.lit(0.0))
+    out = out.select(
+        "*",
+        *[F.count(f"__s{h}").over(run).alias(f"__k{h}") for h in horizons],
+        *[F.sum(dev(h)).over(run).alias(f"__p{h}") for h in horizons],
+        *[F.sum(dev(h) * dev(h)).over(run).alias(f"__q{h}") for h in horizons],
+    )
+    since = lambda p, h: F.col(f"__{p}{h}") - F.coalesce(F.lag(f"__{p}{h}", window).over(walk), F.lit(0))
+    out = out.select("*", *[since(p, h).alias(f"__{p}w{h}") for h in horizons for p in "kpq"])
+    cols = []
+    for h in horizons:
+        n, total, square = F.col(f"__kw{h}"), F.col(f"__pw{h}"), F.col(f"__qw{h}")
+        var = (square - total * total / n) / (n - 1)
+        # differences of running totals leave rounding noise: below this it is a constant window
+        flat = var <= F.lit(1e-13) * F.col(f"__v{h}")
+        cols += [
+            n.alias(f"__n{h}"),
+            F.when(n > 0, F.col(f"__c{h}") + total / n).alias(f"__m{h}"),
+            F.when((n > 1) & ~flat, F.sqrt(var)).alias(f"__d{h}"),
+        ]
+    return out.select(*sums.columns, *cols)
 
 
 def cumulative_index(df: DataFrame, key, value: str = "ret", name: str = "cumulative_index") -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import NORMAL_TAIL_BOTTOM, NORMAL_TAIL_TOP
+
 # name -> (dependencies, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -115,6 +117,22 @@ def with_views(sql: str, deps: tuple[str, ...]) -> str:
     return "WITH " + ",\n".join(ctes)
 
 
+def arg_max_null(value: str, order: str) -> str:
+    """Value at the newest row, NULL included (the built-in skips NULL values)."""
+    return f"max(struct_pack(o := {order}, v := {value})).v"
+
+
+def normal_p_sql(t: str) -> str:
+    """Two-sided normal p-value by the complementary error function's continued form."""
+    z = f"abs({t})"
+    top, bottom = "0.0e0", "0.0e0"
+    for k in NORMAL_TAIL_TOP:
+        top = f"({top} * {z} + {k!r}e0)"
+    for k in NORMAL_TAIL_BOTTOM:
+        bottom = f"({bottom} * {z} + {k!r}e0)"
+    return f"CASE WHEN {z} < 7.07106781186547e0 THEN 2 * exp(-{z} * {z} / 2) * {top} / {bottom} ELSE 0.0e0 END"
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
