@@ -28,9 +28,9 @@ def _key_code(c) -> Column:
 
 
 def _slice_of(value: Column, cuts: Column) -> Column:
-    """2k for a value equal to the k-th cut, 2k+1 for one between two cuts."""
+    """2k for a value between cuts k-1 and k, 2k+1 for one equal to cut k (counted from 0)."""
     below = F.size(F.filter(cuts, lambda e: e < value))
-    return 2 * below + F.when(F.array_contains(cuts, value), F.lit(0)).otherwise(F.lit(1))
+    return 2 * below + F.array_contains(cuts, value).cast("int")
 
 
 def ranked(
@@ -64,7 +64,7 @@ def ranked(
         .withColumn("__s", _slice_of(F.col(score), F.col("__cuts")))
         .withColumn(
             "__t",
-            F.when(F.col("__s") % 2 == 0, _slice_of(_key_code(tie), F.col("__ties"))).otherwise(F.lit(0)),
+            F.when(F.col("__s") % 2 == 1, _slice_of(_key_code(tie), F.col("__ties"))).otherwise(F.lit(0)),
         )
         .withColumn(outer, F.when(F.lit(ascending), F.col("__s")).otherwise(-F.col("__s")))
         .drop("__cuts", "__ties", "__s")
@@ -102,7 +102,7 @@ def ranked(
         ).alias("__run_before"),
     ).withColumn("__slice_before", F.min("__before").over(single))
     joined = local.join(offsets, [*group, outer, "__t"])
-    spread = F.col(outer) % 2 == 0
+    spread = F.col(outer) % 2 != 0
     low = F.when(spread, F.col("__slice_before") + 1).otherwise(F.col("__before") + F.col("__first"))
     ties = F.when(spread, F.col("__slice_n")).otherwise(F.col("__same"))
     mean_rank = low + (ties - 1) / 2.0

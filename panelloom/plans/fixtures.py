@@ -6,12 +6,15 @@ independent check in :mod:`panelloom.plans.oracle`.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bars import month_closes
 from ..operators.calendar import trading_calendar
 from ..operators.returns import simple_returns
+from ..session import scratch_table
 
 FACTORS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 MARKET = "STANDARD"
@@ -19,6 +22,28 @@ FIT_MONTHS = 36
 FIT_MINIMUM = 24
 
 
+_TABLES: dict = {}
+
+
+def stored(fn):
+    """Write a derived fact table once per application and data folder, then scan it.
+
+    Fits, exposures and monthly bars are stored facts in practice; reading them back keeps the
+    plans of their many consumers short and makes them survive lost executors.
+    """
+
+    @functools.wraps(fn)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, fn.__name__)
+        if key not in _TABLES:
+            df = scratch_table(fn(spark, sf), fn.__name__)
+            _TABLES[key] = (df.inputFiles()[0].rsplit("/", 1)[0], df.schema)
+        path, schema = _TABLES[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return read
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -94,11 +119,13 @@ def month_calendar(spark, sf) -> DataFrame:
     return trading_calendar(month_closes(benchmark_prices(spark, sf)))
 
 
+@stored
 def stock_monthly(spark, sf) -> DataFrame:
     """Monthly bars of the stocks with their return; ``date`` is the first of the month."""
     return simple_returns(month_closes(stock_prices(spark, sf)), month_calendar(spark, sf))
 
 
+@stored
 def factor_monthly(spark, sf) -> DataFrame:
     """(factor, date, idx, ret) monthly factor returns."""
     bars = simple_returns(month_closes(proxy_prices(spark, sf)), month_calendar(spark, sf))
@@ -137,6 +164,7 @@ def _rolled(spark, sf) -> DataFrame:
     )
 
 
+@stored
 def exposures(spark, sf) -> DataFrame:
     """(ticker, period, as_of, factor, beta, standard_error, t_stat, n) of selected factors."""
     keep = (F.col("factor") == MARKET) | (F.abs("t_stat") > 0.5)
@@ -145,6 +173,7 @@ def exposures(spark, sf) -> DataFrame:
     )
 
 
+@stored
 def fits(spark, sf) -> DataFrame:
     """(ticker, sector, period, as_of, adjusted_r2, residual_volatility, observation_count, coverage, ...)."""
     r2 = 1 - F.col("rss") / F.col("syy")

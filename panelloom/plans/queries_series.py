@@ -283,13 +283,13 @@ def _(spark, sf):
 
 @query(
     "series_outer_join", "J2", "date:d stock_ret:6 proxy_ret:6",
-    """SELECT coalesce(a.date, b.date) AS date, a.ret AS stock_ret, b.ret AS proxy_ret FROM (SELECT date, ret FROM stock_ret WHERE ticker = 'CHINA' AND ret IS NOT NULL) a
+    """SELECT coalesce(a.date, b.date) AS date, a.ret AS stock_ret, b.ret AS proxy_ret FROM (SELECT date, ret FROM stock_ret WHERE ticker = 'NATION_1' AND ret IS NOT NULL) a
     FULL JOIN (SELECT date, ret FROM proxy_ret WHERE ticker = 'PROMO' AND ret IS NOT NULL) b ON a.date = b.date""",
     "stock_ret proxy_ret",
 )
 def _(spark, sf):
-    both = X.stock_returns(spark, sf).where("ticker = 'CHINA'").unionByName(X.proxy_returns(spark, sf).where("ticker = 'PROMO'"))
-    wide = moments.wide_panel(both.where("ret is not null"), "ticker", "ret", ["CHINA", "PROMO"])
+    both = X.stock_returns(spark, sf).where("ticker = 'NATION_1'").unionByName(X.proxy_returns(spark, sf).where("ticker = 'PROMO'"))
+    wide = moments.wide_panel(both.where("ret is not null"), "ticker", "ret", ["NATION_1", "PROMO"])
     return wide.select("date", F.col("v0").alias("stock_ret"), F.col("v1").alias("proxy_ret"))
 
 

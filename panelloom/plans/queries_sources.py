@@ -251,11 +251,11 @@ def _(spark, sf):
 @query(
     "selection_eligibility", "Q9", "ticker period:d eligible:b",
     """SELECT ticker, period, observation_count >= 30 AND coverage >= 0.9e0 AND adjusted_r2 >= -0.04e0 AND sector IN ('ASIA', 'AFRICA', 'EUROPE')
-    AND ticker NOT IN ('CHINA', 'KENYA') AS eligible FROM fits""",
+    AND ticker NOT IN ('NATION_1', 'NATION_2') AS eligible FROM fits""",
     "fits",
 )
 def _(spark, sf):
-    ok = S.eligibility(sectors=["ASIA", "AFRICA", "EUROPE"], minimum_days=30, minimum_coverage=0.9, minimum_adjusted_r2=-0.04, excluded=["CHINA", "KENYA"])
+    ok = S.eligibility(sectors=["ASIA", "AFRICA", "EUROPE"], minimum_days=30, minimum_coverage=0.9, minimum_adjusted_r2=-0.04, excluded=["NATION_1", "NATION_2"])
     return X.fits(spark, sf).withColumn("eligible", ok)
 
 
