@@ -1,13 +1,14 @@
 """Exact ranks inside groups of any size.
 
-A rank needs an order, and a plain ``Window.partitionBy(group)`` would put a whole
-cross-section into one task.  Here each group is first cut into slices at
-approximate quantiles of the score (a mergeable sketch, so the cut points cost one
+The largest group is counted first.  While it is small a plain window does; beyond
+``WINDOW_ROWS`` a ``Window.partitionBy(group)`` would put a whole cross-section into
+one task, so groups are cut into slices at approximate quantiles of the score (a mergeable sketch, one
 partially aggregated pass).  A cut point that is itself a frequent value forms its own
-slice, which is cut again by the tie-break key, so a score shared by a third of
-all rows is spread as well.  Rows are ranked inside their slice and shifted by
-the row counts of the slices before it.  Cut points only steer the balance:
-the ranks are exact for any choice of them.
+slice, which is cut again by the tie-break key, so a score shared by a third of all
+rows is spread as well.  Rows are ranked inside their slice and shifted by the row
+counts of the slices before it.  Cut points only steer the balance: ranks are
+exact for any choice of them.  The sliced plan reads its input several times, and
+recomputed floating-point sums may differ in the last bit, so it works on a checkpoint.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+WINDOW_ROWS = 1_000_000
 SLICES = 32
 _PROBES = [i / SLICES for i in range(1, SLICES)]
 
@@ -42,6 +46,7 @@ def ranked(
     prefix: str = "",
     ascending: bool = False,
     running: str | None = None,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (ties broken by ``tie``), ``percentile`` in (0, 1] and ``ranked_count``.
 
@@ -52,7 +57,16 @@ def ranked(
     """
     by = list(by)
     group = by or ["__all"]
+    names = list(df.columns)
     data = df if by else df.withColumn("__all", F.lit(0))
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    largest = data.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= limit:
+        return _windowed(data, group, score, tie, prefix, ascending, running).select(
+            *names, *_added(prefix, running)
+        )
+    data = cut_lineage(data)
+    df = data.select(*names)
     scored = data.where(F.col(score).isNotNull())
     cuts = scored.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx(score, _PROBES, 2000)).alias("__cuts"),
@@ -108,7 +122,7 @@ def ranked(
     mean_rank = low + (ties - 1) / 2.0
     upward = mean_rank if ascending else F.col("ranked_count") + 1 - mean_rank
     out = joined.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in names],
         (F.col("__before") + F.col("__r")).alias(f"{prefix}rank"),
         (upward / F.col("ranked_count")).alias(f"{prefix}percentile"),
         F.col("ranked_count").alias(f"{prefix}ranked_count"),
@@ -118,6 +132,31 @@ def ranked(
     return out.unionByName(unscored, allowMissingColumns=True)
 
 
+def _added(prefix: str, running: str | None) -> list[str]:
+    return [f"{prefix}{c}" for c in ("rank", "percentile", "ranked_count")] + ([f"{prefix}running"] if running else [])
+
+
+def _windowed(df, group, score, tie, prefix, ascending, running) -> DataFrame:
+    """Ranks of groups known to fit one task each."""
+    has = F.col(score).isNotNull()
+    order = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
+    walk = Window.partitionBy(*group).orderBy(order, F.col(tie).asc())
+    low = Window.partitionBy(*group).orderBy(F.col(score).asc_nulls_last())
+    n = F.count(score).over(Window.partitionBy(*group))
+    same = F.count(F.lit(1)).over(Window.partitionBy(*group, score))
+    mean_rank = F.rank().over(low) + (same - 1) / 2.0
+    out = df.select(
+        "*",
+        F.when(has, F.row_number().over(walk)).alias(f"{prefix}rank"),
+        F.when(has, mean_rank / n).alias(f"{prefix}percentile"),
+        F.when(has, n).alias(f"{prefix}ranked_count"),
+    )
+    if running:
+        total = F.sum(F.when(has, F.col(running))).over(walk.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(f"{prefix}running", F.when(has, F.coalesce(total, F.lit(0.0))))
+    return out
+
+
 def quantile_group(rank: Column, count: Column, groups: int = 5) -> Column:
     """0-based equal-frequency group of an ascending rank, interpolated at the edges.
 
