@@ -185,15 +185,21 @@ def elastic_net_select(x: np.ndarray, y: np.ndarray, alpha=1e-4, l1_ratio=0.5) -
 
 
 def project_budget(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Nearest point with low <= w <= high and sum(w) = 1 (bisection on the shift)."""
-    a, b = float((v - high).min()) - 1.0, float((v - low).max()) + 1.0
-    for _ in range(100):
-        mid = (a + b) / 2
-        if np.clip(v - mid, low, high).sum() > 1.0:
-            a = mid
-        else:
-            b = mid
-    return np.clip(v - (a + b) / 2, low, high)
+    """Nearest point with low <= w <= high and sum(w) = 1.
+
+    sum(clip(v - shift)) falls piecewise linearly; its kinks are walked in sorted order.
+    """
+    kinks = np.concatenate([v - high, v - low])
+    turn = np.concatenate([np.full(len(v), -1.0), np.ones(len(v))])
+    order = np.argsort(kinks, kind="stable")
+    kinks, slope = kinks[order], np.cumsum(turn[order])
+    total = high.sum() + np.concatenate([[0.0], np.cumsum(slope[:-1] * np.diff(kinks))])
+    i = int(np.searchsorted(-total, -1.0))
+    if i <= 0 or i >= len(kinks) or slope[i - 1] == 0:
+        shift = kinks[min(i, len(kinks) - 1)]
+    else:
+        shift = kinks[i - 1] + (total[i - 1] - 1.0) / -slope[i - 1]
+    return np.clip(v - shift, low, high)
 
 
 def allocate(
@@ -204,9 +210,12 @@ def allocate(
     objective: str,
     risk_aversion: float = 1.0,
     risk_free: float = 0.0,
-    sweeps: int = 3000,
+    sweeps: int = 2000,
 ) -> tuple[np.ndarray, bool]:
-    """Budgeted box-constrained weights by projected gradient with backtracking."""
+    """Budgeted box-constrained weights by spectral projected gradient.
+
+    Step lengths from the last change of the gradient, non-monotone line search.
+    """
     n = len(mu)
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     if objective == "max_diversification":
@@ -227,20 +236,30 @@ def allocate(
     w = project_budget(np.full(n, 1.0 / n), low, high)
     value, grad = loss(w)
     step = 1.0 / max(float(np.abs(grad).max()), 1e-12)
+    recent = [value]
     for _ in range(sweeps):
+        unit = grad / max(float(np.abs(grad).max()), 1e-12)
+        if float(np.abs(project_budget(w - unit, low, high) - w).max()) < 1e-8:
+            return w, True
+        move = project_budget(w - step * grad, low, high) - w
+        drop, part, bar = float(grad @ move), 1.0, max(recent)
         while True:
-            trial = project_budget(w - step * grad, low, high)
-            move = trial - w
+            trial = w + part * move
             new, new_grad = loss(trial)
-            if new <= value + float(grad @ move) + float(move @ move) / (2 * step) + 1e-18 or step < 1e-14:
+            if new <= bar + 1e-4 * part * drop or part < 1e-12:
                 break
-            step /= 2
-        done = float(np.abs(move).max()) < 1e-10
+            part /= 2
+        change, bend = trial - w, new_grad - grad
+        curve = float(change @ bend)
+        step = min(max(float(change @ change) / curve, 1e-12), 1e12) if curve > 0 else 1e6 * step
+        step = min(step, 1e12)
+        stalled = float(np.abs(change).max()) < 1e-13
         w, value, grad = trial, new, new_grad
-        if done:
-            return w, True
-        step *= 1.5
-    return w, float(np.abs(project_budget(w - step * grad, low, high) - w).max()) < 1e-6
+        recent = [*recent[-7:], value]
+        if stalled:
+            break
+    unit = grad / max(float(np.abs(grad).max()), 1e-12)
+    return w, float(np.abs(project_budget(w - unit, low, high) - w).max()) < 1e-5
 
 
 def psd_repair(matrix: np.ndarray, floor: float = 1e-10) -> np.ndarray:

@@ -109,7 +109,8 @@ def repair_psd(matrix: DataFrame, key: str, floor: float = 1e-10) -> DataFrame:
         fixed = psd_repair(np.stack(pdf["values"].to_numpy()), floor)
         return pd.DataFrame({key: pdf[key], "row": pdf["row"], "cols": pdf["cols"], "values": list(fixed)})
 
-    out = packed.groupBy(key).applyInPandas(fix, f"{key} {key_type}, row string, cols array<string>, values array<double>")
+    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = packed.repartition(parts, key).groupBy(key).applyInPandas(fix, f"{key} {key_type}, row string, cols array<string>, values array<double>")
     return out.select(key, "row", F.explode(F.arrays_zip("cols", "values")).alias("c")).select(
         key, "row", F.col("c.cols").alias("col"), F.col("c.values").alias("value")
     )
@@ -208,7 +209,9 @@ def allocation_grid(
         out["status"] = "succeeded" if ok else "fallback_equal"
         return out
 
-    return tasks.groupBy(*by, "objective").applyInPandas(
+    # an explicit count: adaptive coalescing would weigh bytes, not solver time
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, *by, "objective").groupBy(*by, "objective").applyInPandas(
         solve, f"{types}, objective string, ticker string, optimized_weight double, status string"
     )
 

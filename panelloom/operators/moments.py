@@ -1,19 +1,22 @@
 """Covariance and Gram matrices of a named, bounded list of series.
 
 The series of a matrix (a factor catalog, the names of one portfolio) become columns of
-one row per date, and all entries are computed by a single partially aggregated
-pass: no self join and no pair rows.  Matrices leave in long form
-``(row, col, value)``, both triangles.
+one row per date, and all entries come from a single partially aggregated pass: no
+self join and no pair rows per date.  Short lists use one SQL aggregate per entry;
+longer ones multiply each Arrow batch with itself and add up the batch moments.
+Matrices leave in long form ``(row, col, value)``, both triangles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SERIES = 128
+MAX_SERIES = 512
+SQL_SERIES = 10
 
 
 def wide_panel(df: DataFrame, series: str, value: str, names: Sequence[str], by: Sequence[str] = ("date",)):
@@ -37,6 +40,70 @@ def _entries(aggregated: DataFrame, names: Sequence[str], by: Sequence[str], val
     return aggregated.select(*by, F.explode(F.array(*cells)).alias("__c")).select(*by, "__c.*")
 
 
+def _batch_moments(wide: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by, row, col, n, cxy, cxx, cyy): pairwise-complete sums of centred products.
+
+    Every batch gives one K x K block per group, centred on its own pairwise means;
+    blocks combine with the means of the batches, so no large sums cancel.
+    """
+    k = len(names)
+    columns = [f"v{i}" for i in range(k)]
+    types = {c: wide.schema[c].dataType.simpleString() for c in by}
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for pdf in batches:
+            parts = pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]
+            for key, part in parts:
+                x = part[columns].to_numpy(dtype=float)
+                seen = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                n = seen.T @ seen
+                sx = x.T @ seen
+                sy = sx.T
+                safe = np.where(n > 0, n, 1.0)
+                out = {
+                    "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "n": n.ravel(), "sx": sx.ravel(), "sy": sy.ravel(),
+                    "cxy": (x.T @ x - sx * sy / safe).ravel(),
+                    "cxx": ((x * x).T @ seen - sx * sx / safe).ravel(),
+                }
+                frame = pd.DataFrame(out)
+                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
+                    frame[name] = value
+                yield frame[frame["n"] > 0]
+
+    schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], "i int, j int, n double, sx double, sy double, cxy double, cxx double"])
+    order = [*by, "i", "j", "n", "sx", "sy", "cxy", "cxx"]
+    raw = wide.select(*by, *columns).mapInPandas(lambda it: (f[order] for f in blocks(it)), schema)
+    n, sx, sy = F.sum("n"), F.sum("sx"), F.sum("sy")
+    sums = raw.groupBy(*by, "i", "j").agg(
+        n.alias("n"),
+        (F.sum(F.col("cxy") + F.col("sx") * F.col("sy") / F.col("n")) - sx * sy / n).alias("cxy"),
+        (F.sum(F.col("cxx") + F.col("sx") * F.col("sx") / F.col("n")) - sx * sx / n).alias("cxx"),
+    )
+    back = sums.select(*by, F.col("i").alias("j"), F.col("j").alias("i"), F.col("cxx").alias("cyy"))
+    labels = F.array(*[F.lit(x) for x in names])
+    return sums.join(back, [*by, "i", "j"]).select(
+        *by, F.element_at(labels, F.col("i") + 1).alias("row"), F.element_at(labels, F.col("j") + 1).alias("col"), "n", "cxy", "cxx", "cyy"
+    )
+
+
+def _matrix(wide: DataFrame, names: Sequence[str], by: Sequence[str], kind: str, scale: float = 1.0) -> DataFrame:
+    """Covariance or correlation entries by the route that suits the number of series."""
+    k = len(names)
+    if k <= SQL_SERIES:
+        stat = (lambda a, b: F.covar_samp(a, b) * scale) if kind == "cov" else F.corr
+        return _entries(_pairwise(wide, k, stat, by), names, by, "value")
+    m = _batch_moments(wide, names, by)
+    if kind == "cov":
+        value = F.when(F.col("n") > 1, F.col("cxy") / (F.col("n") - 1) * scale)
+    else:
+        root = F.sqrt(F.col("cxx") * F.col("cyy"))
+        value = F.when((F.col("n") > 1) & (root > 0), F.col("cxy") / root)
+    return m.select(*by, "row", "col", value.alias("value"))
+
+
 def _pairwise(wide: DataFrame, k: int, stat, by: Sequence[str]) -> DataFrame:
     aggs = [stat(f"v{i}", f"v{j}").alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
     return wide.groupBy(*by).agg(*aggs) if by else wide.agg(*aggs)
@@ -47,8 +114,8 @@ def covariance(
 ) -> DataFrame:
     """Pairwise-complete sample covariance, annualised; undefined entries are 0."""
     wide = wide_panel(df, series, value, names, [*by, "date"])
-    stat = lambda a, b: F.coalesce(F.covar_samp(a, b), F.lit(0.0)) * annualize
-    return _entries(_pairwise(wide, len(names), stat, by), names, by, "value")
+    out = _matrix(wide, names, by, "cov", annualize)
+    return out.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def correlation(df: DataFrame, series: str, value: str, names: Sequence[str], *, last: int | None = 252):
@@ -57,7 +124,7 @@ def correlation(df: DataFrame, series: str, value: str, names: Sequence[str], *,
     if last is not None:
         newest = Window.orderBy(F.desc("date"))  # one row per calendar date
         wide = wide.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= last)
-    return _entries(_pairwise(wide, len(names), F.corr, ()), names, (), "value")
+    return _matrix(wide, names, (), "corr")
 
 
 def complete_covariance(
@@ -71,9 +138,9 @@ def complete_covariance(
     k = len(names)
     wide = wide_panel(df, series, value, names).dropna(subset=[f"v{i}" for i in range(k)])
     if method == "sample":
-        return _entries(_pairwise(wide, k, lambda a, b: F.covar_samp(a, b) * annualize, ()), names, (), "value")
+        return _matrix(wide, names, (), "cov", annualize)
     if method == "diagonal":
-        out = _entries(_pairwise(wide, k, lambda a, b: F.covar_samp(a, b) * annualize, ()), names, (), "value")
+        out = _matrix(wide, names, (), "cov", annualize)
         return out.withColumn("value", F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(F.lit(0.0)))
     if method != "ledoit_wolf":
         raise ValueError(f"unknown covariance estimator: {method}")
