@@ -113,8 +113,9 @@ def with_views(sql: str, deps: tuple[str, ...]) -> str:
 
     for d in deps:
         visit(d)
-    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order] + [f"answer AS ({sql})"]
-    return "WITH " + ",\n".join(ctes)
+    hint = lambda n: "" if n.startswith("rec_") else "MATERIALIZED "
+    ctes = [f"{n} AS {hint(n)}({VIEWS[n][1]})" for n in order] + [f"answer AS ({sql})"]
+    return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
 def arg_max_null(value: str, order: str) -> str:

@@ -1 +1,84 @@
-"""Registered queries."""
+"""Registered queries: the incremental flows run as streams over files derived from the tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.calendar import month_ends
+from ..session import shared_folder
+from ..streaming import flows
+from . import fixtures as X
+from .oracle import query
+from .queries_sources import price_updates
+
+
+def _folder(spark, name: str) -> str:
+    return shared_folder(spark, "streams", f"{name}-{uuid.uuid4().hex}")
+
+
+@query(
+    "stream_price_upsert", "X1 S6", "ticker date:d close:4",
+    "SELECT ticker, date, arg_max(close, batch) AS close FROM price_updates GROUP BY 1, 2", "price_updates",
+)
+def _(spark, sf):
+    root = _folder(spark, "prices")
+    for part in price_updates(spark, sf):  # two arrivals: the first load and its corrections
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = flows.price_stream(spark, f"{root}/in", "ticker string, date date, close double, batch long")
+        flows.upsert_stream(stream.withColumn("seq", F.col("batch")), f"{root}/book", f"{root}/state").start().awaitTermination()
+    return spark.read.parquet(f"{root}/book").select("ticker", "date", "close")
+
+
+@query(
+    "stream_weekly_returns", "X1 W8", "ticker week:d ret:6",
+    "SELECT ticker, w AS week, r AS ret FROM wk", "wk",
+)
+def _(spark, sf):
+    root = _folder(spark, "weekly")
+    r = X.stock_returns(spark, sf).where("ret is not null").select("ticker", F.col("date").cast("timestamp").alias("ts"), "ret")
+    r.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("ticker string, ts timestamp, ret double").parquet(f"{root}/in")
+    name = "weekly_" + uuid.uuid4().hex
+    # complete mode to a table of (ticker, week) rows; a job would append past the watermark
+    q = flows.weekly_stream(stream).writeStream.format("memory").queryName(name).outputMode("complete")
+    q.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query(
+    "stream_refit_months", "X2 F17 F18", "mode period:d changed_observations:i",
+    """SELECT 'correction' AS mode, date AS period, c AS changed_observations FROM month_cal, (SELECT count(*) AS c FROM factor_mret n LEFT JOIN stored_correct o USING (factor, date) WHERE o.ret IS NULL OR NOT abs(o.ret - n.ret) <= 1e-8 + 1e-5 * abs(n.ret)) WHERE date >= DATE '1999-03-01'""",
+    "month_cal factor_mret stored_correct",
+)
+def _(spark, sf):
+    from .queries_factors import _stored
+
+    root = _folder(spark, "refit")
+    new, old = _stored(spark, sf, True)
+    new.write.parquet(f"{root}/in")
+    old.write.parquet(f"{root}/stored")
+    stream = spark.readStream.schema("factor string, date date, ret double").parquet(f"{root}/in")
+    ends = month_ends(X.month_calendar(spark, sf))
+    flows.refit_stream(stream, lambda: spark.read.parquet(f"{root}/stored"), ends, f"{root}/out", f"{root}/state").start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(
+    "stream_breach_events", "X3 R6", "limit_id event as_of:d observed_value:5 slack:5",
+    """SELECT concat_ws('|', portfolio, metric) AS limit_id, CASE WHEN slack < 0 THEN CASE WHEN coalesce(p, 0) < 0 THEN 'update' ELSE 'open' END ELSE 'resolved' END AS event, period AS as_of, value AS observed_value, slack
+    FROM (SELECT *, lag(slack) OVER (PARTITION BY portfolio, metric ORDER BY period) AS p FROM evaluations) WHERE slack < 0 OR p < 0""",
+    "evaluations",
+)
+def _(spark, sf):
+    from .queries_risk import evaluations
+
+    root = _folder(spark, "breach")
+    rows = evaluations(spark, sf).select(F.concat_ws("|", "portfolio", "metric").alias("limit_id"), F.col("period").alias("as_of"), "value", "slack")
+    rows.write.parquet(f"{root}/in")
+    flows.use_rocksdb_state(spark)
+    stream = spark.readStream.schema("limit_id string, as_of date, value double, slack double").parquet(f"{root}/in")
+    q = flows.breach_events(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flows.BREACH_EVENTS).parquet(f"{root}/out")
