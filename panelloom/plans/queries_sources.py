@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -12,6 +14,8 @@ from ..operators.forecasts import assert_finite_unique
 from ..operators.returns import cumulative_index
 from ..sources import prices as P
 from ..sources import reference_data as R
+from ..session import shared_folder
+from ..sources import sinks
 from ..sources.sinks import entity_json
 from . import fixtures as X
 from .oracle import query, view
@@ -444,3 +448,35 @@ def _(spark, sf):
 @query("equal_weight_allocation", "K4", "portfolio ticker equal_weight:8", "SELECT portfolio, ticker, 1.0e0 / count(*) OVER (PARTITION BY portfolio) AS equal_weight FROM holdings", "holdings")
 def _(spark, sf):
     return equal_weights(X.holdings(spark, sf))
+
+
+def _fresh(spark, name: str) -> str:
+    return shared_folder(spark, "exports", f"{name}-{uuid.uuid4().hex}")
+
+
+@query(
+    "facts_partition_overwrite", "S9 S6", "build_id ticker date:d close:4",
+    "SELECT 'b' AS build_id, ticker, date, CASE WHEN date >= DATE '1999-01-01' THEN close + 1 ELSE close END AS close FROM stock_prices", "stock_prices",
+)
+def _(spark, sf):
+    facts = X.stock_prices(spark, sf).withColumn("build_id", F.lit("b"))
+    path = _fresh(spark, "facts")
+    sinks.write_facts(facts, path)
+    # the second write touches only the months it holds
+    sinks.write_facts(facts.where("date >= date '1999-01-01'").withColumn("close", F.col("close") + 1), path)
+    return spark.read.parquet(path)
+
+
+@query("holdings_csv_export", "S10 S4", "portfolio ticker shares:4", "SELECT * FROM holdings", "holdings")
+def _(spark, sf):
+    path = _fresh(spark, "holdings")
+    sinks.export_csv(X.holdings(spark, sf).withColumn("weight", F.lit(None).cast("double")), path, ["portfolio", "ticker", "weight", "shares"], ["portfolio", "ticker"])
+    return R.read_holdings(spark, path).where("problem is null")
+
+
+@query("cash_rate_files", "S3", "date:d annualized_rate:8", "SELECT CAST(ts AS DATE) AS date, round(max(value) / 100.0, 4) / 100 AS annualized_rate FROM events GROUP BY 1")
+def _(spark, sf):
+    path = _fresh(spark, "rates")
+    daily = X.table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("d")).agg(F.round(F.max("value") / 100.0, 4).alias("v"))
+    daily.select(F.date_format("d", "MM/dd/yyyy").alias("Date"), F.col("v").alias(R.RATE_COLUMN)).write.option("header", True).csv(path)
+    return R.read_cash_rates(spark, path)

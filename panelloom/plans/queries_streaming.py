@@ -40,11 +40,8 @@ def _(spark, sf):
     r = X.stock_returns(spark, sf).where("ret is not null").select("ticker", F.col("date").cast("timestamp").alias("ts"), "ret")
     r.write.parquet(f"{root}/in")
     stream = spark.readStream.schema("ticker string, ts timestamp, ret double").parquet(f"{root}/in")
-    name = "weekly_" + uuid.uuid4().hex
-    # complete mode to a table of (ticker, week) rows; a job would append past the watermark
-    q = flows.weekly_stream(stream).writeStream.format("memory").queryName(name).outputMode("complete")
-    q.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    flows.weekly_to_table(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
+    return flows.weekly_table(spark, f"{root}/out")
 
 
 @query(

@@ -60,6 +60,22 @@ def weekly_stream(stream: DataFrame, ts: str = "ts", value: str = "ret", key: st
     )
 
 
+def weekly_to_table(stream: DataFrame, sink: str, state: str):
+    """Write changed weekly bars per micro-batch; :func:`weekly_table` keeps the newest of each."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
+
+    return (
+        weekly_stream(stream).writeStream.outputMode("update").foreachBatch(apply)
+        .option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
+    )
+
+
+def weekly_table(spark: SparkSession, sink: str) -> DataFrame:
+    return keep_latest(spark.read.parquet(sink), ["ticker", "week"], "batch")
+
+
 BREACH_EVENTS = "limit_id string, event string, as_of date, observed_value double, slack double"
 
 
