@@ -235,10 +235,13 @@ def allocate(
 
     w = project_budget(np.full(n, 1.0 / n), low, high)
     value, grad = loss(w)
-    step = 1.0 / max(float(np.abs(grad).max()), 1e-12)
+    # Optimality is judged on the starting gradient's scale: inside the box the gradient
+    # of a ratio vanishes at the optimum.
+    size = max(float(np.abs(grad).max()), 1e-12)
+    step = 1.0 / size
     recent = [value]
     for _ in range(sweeps):
-        unit = grad / max(float(np.abs(grad).max()), 1e-12)
+        unit = grad / size
         if float(np.abs(project_budget(w - unit, low, high) - w).max()) < 1e-8:
             return w, True
         move = project_budget(w - step * grad, low, high) - w
@@ -258,7 +261,7 @@ def allocate(
         recent = [*recent[-7:], value]
         if stalled:
             break
-    unit = grad / max(float(np.abs(grad).max()), 1e-12)
+    unit = grad / size
     return w, float(np.abs(project_budget(w - unit, low, high) - w).max()) < 1e-5
 
 

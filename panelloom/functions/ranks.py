@@ -7,8 +7,8 @@ partially aggregated pass).  A cut point that is itself a frequent value forms i
 slice, which is cut again by the tie-break key, so a score shared by a third of all
 rows is spread as well.  Rows are ranked inside their slice and shifted by the row
 counts of the slices before it.  Cut points only steer the balance: ranks are
-exact for any choice of them.  The sliced plan reads its input several times, and
-recomputed floating-point sums may differ in the last bit, so it works on a checkpoint.
+exact for any choice of them.  Rows and slice sizes must agree to the last bit of every
+score, so the sliced rows are checkpointed once and both are read from there.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 WINDOW_ROWS = 1_000_000
-SLICES = 32
-_PROBES = [i / SLICES for i in range(1, SLICES)]
+MAX_SLICES = 512
 
 
 def _key_code(c) -> Column:
@@ -65,12 +64,12 @@ def ranked(
         return _windowed(data, group, score, tie, prefix, ascending, running).select(
             *names, *_added(prefix, running)
         )
-    data = cut_lineage(data)
-    df = data.select(*names)
+    slices = min(MAX_SLICES, max(4, 2 * -(-largest // limit)))
+    probes = [i / slices for i in range(1, slices)]
     scored = data.where(F.col(score).isNotNull())
     cuts = scored.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(score, _PROBES, 2000)).alias("__cuts"),
-        F.array_distinct(F.percentile_approx(_key_code(tie), _PROBES, 2000)).alias("__ties"),
+        F.array_distinct(F.percentile_approx(score, probes, 4 * slices)).alias("__cuts"),
+        F.array_distinct(F.percentile_approx(_key_code(tie), probes, 4 * slices)).alias("__ties"),
     )
     outer = "__slice"
     placed = (
@@ -83,6 +82,7 @@ def ranked(
         .withColumn(outer, F.when(F.lit(ascending), F.col("__s")).otherwise(-F.col("__s")))
         .drop("__cuts", "__ties", "__s")
     )
+    placed = cut_lineage(placed)
     order = F.col(score).asc() if ascending else F.col(score).desc()
     inside = Window.partitionBy(*group, outer, "__t")
     walk = inside.orderBy(order, F.col(tie).asc())
@@ -103,7 +103,7 @@ def ranked(
     run = Window.partitionBy(*group).orderBy(outer, "__t")
     whole = Window.partitionBy(*group)
     single = Window.partitionBy(*group, outer)
-    # At most (2 * SLICES + 1)^2 rows per group reach this window.
+    # Slices, not rows, reach this window: at most (2 * MAX_SLICES + 1)^2 per group.
     offsets = sizes.select(
         *group,
         outer,
@@ -128,7 +128,7 @@ def ranked(
         F.col("ranked_count").alias(f"{prefix}ranked_count"),
         *([(F.col("__run_before") + F.col("__run")).alias(f"{prefix}running")] if running else []),
     )
-    unscored = df.where(F.col(score).isNull())
+    unscored = data.select(*names).where(F.col(score).isNull())
     return out.unionByName(unscored, allowMissingColumns=True)
 
 

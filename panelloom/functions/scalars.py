@@ -54,6 +54,13 @@ def safe_div(a, b) -> Column:
     return F.when(b != 0, col(a) / b)
 
 
+def safe_corr(a, b) -> Column:
+    """Correlation aggregate over complete pairs; NULL (not an error) without variation."""
+    a, b = col(a), col(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def clip(c, low: float, high: float) -> Column:
     return F.greatest(F.least(col(c), F.lit(high)), F.lit(low))
 

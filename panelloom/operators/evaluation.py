@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantile_group, ranked
+from ..functions.scalars import safe_corr
 from .regression import mean_with_hac
 
 
@@ -20,7 +21,7 @@ def rank_ic(panel: DataFrame, period: str = "period") -> DataFrame:
     b = ranked(a, [period], "forward_return", "ticker", prefix="f_")
     return (
         b.groupBy(period)
-        .agg(F.corr("s_percentile", "f_percentile").alias("ic"), F.count(F.lit(1)).alias("n"))
+        .agg(safe_corr("s_percentile", "f_percentile").alias("ic"), F.count(F.lit(1)).alias("n"))
         .where("n > 2")
     )
 

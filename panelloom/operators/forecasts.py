@@ -33,7 +33,7 @@ def shrink_means(
     raw = data.groupBy(*group, entity).agg(
         n.alias("observations"),
         (F.avg(value) * annualization).alias("raw_expected_return"),
-        (F.var_samp(value) * float(annualization**2) / n).alias("sampling_variance"),
+        F.try_divide(F.var_samp(value) * float(annualization**2), n).alias("sampling_variance"),
     )
     raw = raw.withColumn(
         "observations",
@@ -106,7 +106,7 @@ def shrink_premia(
         .agg(
             n.alias("observations"),
             (F.avg("ret") * annualization).alias("historical_mean"),
-            (F.stddev_samp("ret") * annualization / F.sqrt(n.cast("double"))).alias("historical_standard_error"),
+            F.try_divide(F.stddev_samp("ret") * annualization, F.sqrt(n.cast("double"))).alias("historical_standard_error"),
         )
         .withColumn(
             "observations",

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_corr
+
 MAX_SERIES = 512
 SQL_SERIES = 10
 
@@ -93,7 +95,7 @@ def _matrix(wide: DataFrame, names: Sequence[str], by: Sequence[str], kind: str,
     """Covariance or correlation entries by the route that suits the number of series."""
     k = len(names)
     if k <= SQL_SERIES:
-        stat = (lambda a, b: F.covar_samp(a, b) * scale) if kind == "cov" else F.corr
+        stat = (lambda a, b: F.covar_samp(a, b) * scale) if kind == "cov" else safe_corr
         return _entries(_pairwise(wide, k, stat, by), names, by, "value")
     m = _batch_moments(wide, names, by)
     if kind == "cov":
@@ -215,5 +217,5 @@ def two_regressor_fit(df: DataFrame, by: Sequence[str], y: str, x1: str, x2: str
         ((F.col(f"s_{y}") - F.col("beta_1") * F.col(f"s_{x1}") - F.col("beta_2") * F.col(f"s_{x2}")) / F.col("n")).alias("alpha"),
         "beta_1",
         "beta_2",
-        (1 - (rss / (F.col("n") - 3)) / (c(y, y) / (F.col("n") - 1))).alias("adjusted_r2"),
+        (1 - (rss / (F.col("n") - 3)) / F.nullif(c(y, y) / (F.col("n") - 1), F.lit(0.0))).alias("adjusted_r2"),
     )

@@ -145,8 +145,8 @@ def mean_with_hac(df: DataFrame, key: str, value: str, lags: Column, order: str
         "n",
         "mean",
         "se",
-        (F.col("mean") / F.col("se")).alias("t_stat"),
-        two_sided_p(F.col("mean") / F.col("se")).alias("p_value"),
+        F.try_divide("mean", "se").alias("t_stat"),
+        two_sided_p(F.try_divide("mean", "se")).alias("p_value"),
     )
 
 
@@ -203,7 +203,7 @@ def single_factor_fit(df: DataFrame, keys, y: str, x: str, *, lags: int = 5, min
         + F.col("mx") * F.col("mx") * var_b
     )
     out = fit.join(meat, keys).withColumn("se", F.sqrt(var_b)).withColumn("alpha_se", F.sqrt(var_a))
-    r2 = 1 - F.col("rss") / (F.col("n") * F.col("vy"))
+    r2 = 1 - F.try_divide(F.col("rss"), F.col("n") * F.col("vy"))
     return out.select(
         *keys,
         F.col("n").alias("observation_count"),
@@ -211,8 +211,8 @@ def single_factor_fit(df: DataFrame, keys, y: str, x: str, *, lags: int = 5, min
         "alpha_se",
         "beta",
         F.col("se").alias("standard_error"),
-        (F.col("beta") / F.col("se")).alias("t_stat"),
-        two_sided_p(F.col("beta") / F.col("se")).alias("p_value"),
+        F.try_divide("beta", "se").alias("t_stat"),
+        two_sided_p(F.try_divide("beta", "se")).alias("p_value"),
         (F.col("beta") - NORMAL_975 * F.col("se")).alias("ci_low"),
         (F.col("beta") + NORMAL_975 * F.col("se")).alias("ci_high"),
         (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - 2)).alias("adjusted_r2"),

@@ -81,7 +81,7 @@ def rebalance_turnover(targets: DataFrame, values: DataFrame, cost_bps: float =
     nxt = targets.select("strategy", "exec_idx").distinct()
     drifted = (
         ends.join(total, ["strategy", "exec_idx"])
-        .select("strategy", (F.col("end_idx") + 1).alias("exec_idx"), "ticker", (-F.col("value") / F.col("__v")).alias("d"))
+        .select("strategy", (F.col("end_idx") + 1).alias("exec_idx"), "ticker", F.try_divide(-F.col("value"), F.col("__v")).alias("d"))
         .join(nxt, ["strategy", "exec_idx"], "left_semi")
     )
     change = (
@@ -115,7 +115,7 @@ def replay(
     values = holding_values(targets, returns)
     daily = values.groupBy("strategy", "exec_idx", "idx").agg(F.sum("value").alias("v"))
     w = Window.partitionBy("strategy", "exec_idx").orderBy("idx")
-    gross = daily.withColumn("gross", F.col("v") / F.coalesce(F.lag("v").over(w), F.lit(1.0)) - 1)
+    gross = daily.withColumn("gross", F.try_divide(F.col("v"), F.coalesce(F.lag("v").over(w), F.lit(1.0))) - 1)
     trades = rebalance_turnover(targets, values, cost_bps)
     path = gross.join(trades.withColumn("idx", F.col("exec_idx")).drop("exec_idx"), ["strategy", "idx"], "left")
     path = path.drop("exec_idx", "v")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SQRT_YEAR
+from ..functions.scalars import SQRT_YEAR, safe_corr
 
 HORIZONS = (1, 3, 5, 10, 21, 63, 126, 252)
 PANEL_WINDOWS = (1, 5, 21, 63, 252)
@@ -41,7 +41,7 @@ def simple_returns(prices: DataFrame, calendar: DataFrame, key: str = "ticker")
     return (
         prices.where("close is not null")
         .join(calendar.select("date", "idx"), "date")
-        .withColumn("ret", F.when(adjacent, F.col("close") / F.lag("close").over(w) - 1))
+        .withColumn("ret", F.when(adjacent, F.try_divide(F.col("close"), F.lag("close").over(w)) - 1))
     )
 
 
@@ -106,12 +106,12 @@ def _yearly_moments(sums: DataFrame, key: str, horizons, window: int = 252) -> D
     cols = []
     for h in horizons:
         n, total, square = F.col(f"__kw{h}"), F.col(f"__pw{h}"), F.col(f"__qw{h}")
-        var = (square - total * total / n) / (n - 1)
+        var = F.try_divide(square - F.try_divide(total * total, n), n - 1)
         # differences of running totals leave rounding noise: below this it is a constant window
         flat = var <= F.lit(1e-13) * F.col(f"__v{h}")
         cols += [
             n.alias(f"__n{h}"),
-            F.when(n > 0, F.col(f"__c{h}") + total / n).alias(f"__m{h}"),
+            F.when(n > 0, F.col(f"__c{h}") + F.try_divide(total, n)).alias(f"__m{h}"),
             F.when((n > 1) & ~flat, F.sqrt(var)).alias(f"__d{h}"),
         ]
     return out.select(*sums.columns, *cols)
@@ -122,7 +122,7 @@ def cumulative_index(df: DataFrame, key, value: str = "ret", name: str = "cumula
 
 
 def drawdown(df: DataFrame, key, equity: str = "equity", name: str = "drawdown") -> DataFrame:
-    return df.withColumn(name, F.col(equity) / F.max(equity).over(_running(key)) - 1)
+    return df.withColumn(name, F.try_divide(F.col(equity), F.max(equity).over(_running(key))) - 1)
 
 
 def trailing_rows(df: DataFrame, key, n: int, order: str = "date") -> DataFrame:
@@ -138,7 +138,7 @@ def shift(df: DataFrame, key, value: str, name: str, periods: int = 1) -> DataFr
 
 def lag_autocorrelation(df: DataFrame, key: str, value: str = "ret", lag: int = 1) -> DataFrame:
     lagged = shift(df, key, value, "__lag", lag)
-    return lagged.groupBy(key).agg(F.corr(value, "__lag").alias("autocorrelation"))
+    return lagged.groupBy(key).agg(safe_corr(value, "__lag").alias("autocorrelation"))
 
 
 def realized_volatility(df: DataFrame, key: str, value: str = "ret", lookback: int = 60, minimum: int = 20):

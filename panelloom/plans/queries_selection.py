@@ -82,7 +82,7 @@ def _(spark, sf):
     li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     key = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit("-"), F.col("l_linenumber").cast("string"))
     # the sliced plan is forced here whatever the table size
-    return ranked(li.withColumn("k", key), ["l_returnflag"], "l_quantity", "k", window_rows=1000)
+    return ranked(li.withColumn("k", key), ["l_returnflag"], "l_quantity", "k", window_rows=10_000)
 
 
 _G1 = f"""SELECT ticker, period, beta, selected, score, {_by(_RANK, 'period', 'score')} AS rank, 100 * {_by(_PCT, 'period', 'score')} AS percentile, beta * ret AS contribution FROM (
