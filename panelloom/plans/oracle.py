@@ -115,7 +115,8 @@ def with_views(sql: str, deps: tuple[str, ...]) -> str:
         visit(d)
     hint = lambda n: "" if n.startswith("rec_") else "MATERIALIZED "
     ctes = [f"{n} AS {hint(n)}({VIEWS[n][1]})" for n in order] + [f"answer AS ({sql})"]
-    return "WITH RECURSIVE " + ",\n".join(ctes)
+    head = "WITH RECURSIVE " if any(n.startswith("rec_") for n in order) else "WITH "
+    return head + ",\n".join(ctes)
 
 
 def arg_max_null(value: str, order: str) -> str:
