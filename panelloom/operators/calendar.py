@@ -34,6 +34,15 @@ def trading_calendar(prices: DataFrame) -> DataFrame:
     )
 
 
+def per_date(df: DataFrame) -> DataFrame:
+    """Mark a table with one row per trading date (or month) for broadcast.
+
+    Its size is bounded by the days ever traded (a century is 26,000 rows), whatever
+    the number of securities, so the large side of the join need not be shuffled by date.
+    """
+    return F.broadcast(df)
+
+
 def month_ends(
     calendar: DataFrame,
     mode: str = "backfill",

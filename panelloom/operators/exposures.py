@@ -1,8 +1,8 @@
 """Monthly multi-factor exposure grid: securities x model levels x month ends.
 
 Plan: narrow returns are shuffled once by ticker; the (date, factor vector) design is then
-joined on the date (Catalyst broadcasts it when its size allows, and co-partitioning by
-ticker survives that join), and one Arrow batch per ticker solves all its months and
+broadcast (one row per date, at most 128 factors: bounded by the calendar) and joined on the
+date, which keeps the partitioning by ticker, and one Arrow batch per ticker solves all its months and
 levels.  Rows are not multiplied by the number of overlapping windows.  A group holds one
 security's calendar, so its size is bounded.
 """
@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import month_start
+from .calendar import per_date
 
 WINDOW_DAYS = 756
 MINIMUM_DAYS = 252
 HAC_LAGS = 5
+MAX_FACTORS = 128
 LABELS = {
     "fixed": "Fixed-model OLS/HAC",
     "elastic_net": "ElasticNetCV selection; conditional OLS/HAC",
@@ -129,6 +131,8 @@ def exposure_grid(
         raise ValueError("selection_mode must be elastic_net or fixed")
     levels = {k: list(v) for k, v in levels.items() if v}
     order = list(dict.fromkeys(f for names in levels.values() for f in names))
+    if len(order) > MAX_FACTORS:
+        raise ValueError(f"at most {MAX_FACTORS} factors in one design")
     design = design_panel(factors, order)
     eff = effective_dates(design, calendar, ends, levels, order)
     narrow = returns.where("ret is not null").select("ticker", "date", "idx", "ret")
@@ -138,11 +142,11 @@ def exposure_grid(
     marks = spans.select(
         "ticker",
         F.explode(F.sequence("a", F.add_months("b", spare), F.expr("interval 1 month"))).alias("period"),
-    ).join(eff.select("period", "eff"), "period")
+    ).join(per_date(eff.select("period", "eff")), "period")
     events = narrow.unionByName(marks, allowMissingColumns=True)
     # An explicit count keeps one solver task per core: adaptive coalescing looks at bytes only.
     parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = events.repartition(parts, "ticker").join(design, "date", "left")
+    joined = events.repartition(parts, "ticker").join(per_date(design), "date", "left")
     fits = joined.groupBy("ticker").applyInPandas(
         _solver(levels, order, window, minimum, selection_mode, hac_lags), FIT_SCHEMA
     )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calendar import next_trading_day
+from .calendar import next_trading_day, per_date
 from .returns import cumulative_index, drawdown
 
 
@@ -126,7 +126,7 @@ def replay(
         )
         path = path.unionByName(lead_in, allowMissingColumns=True)
     path = path.fillna(0.0, ["gross", "turnover", "cost"])
-    return path.join(calendar.select("idx", "date"), "idx").withColumn("ret", F.col("gross") - F.col("cost"))
+    return path.join(per_date(calendar.select("idx", "date")), "idx").withColumn("ret", F.col("gross") - F.col("cost"))
 
 
 def with_equity(path: DataFrame, key: str = "strategy") -> DataFrame:

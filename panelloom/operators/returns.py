@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SQRT_YEAR, safe_corr
+from .calendar import per_date
 
 HORIZONS = (1, 3, 5, 10, 21, 63, 126, 252)
 PANEL_WINDOWS = (1, 5, 21, 63, 252)
@@ -40,7 +41,7 @@ def simple_returns(prices: DataFrame, calendar: DataFrame, key: str = "ticker")
     adjacent = F.col("idx") - F.lag("idx").over(w) == 1
     return (
         prices.where("close is not null")
-        .join(calendar.select("date", "idx"), "date")
+        .join(per_date(calendar.select("date", "idx")), "date")
         .withColumn("ret", F.when(adjacent, F.try_divide(F.col("close"), F.lag("close").over(w)) - 1))
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.bars import monthly_returns
+from ..operators.calendar import per_date
 from ..operators.exposures import design_panel, exposure_grid
 from ..operators.quality import factor_coverage, quality_flags
 from ..operators.regression import build_stripped
@@ -53,7 +54,7 @@ def stripped_layer(
 ) -> DataFrame:
     """Targets (factor, date, y) stripped of the complete-case stack (factor, date, ret)."""
     design = design_panel(stack, stack_names).select("date", "x")
-    return build_stripped(targets.join(design, "date"), len(stack_names), beta_timing=beta_timing)
+    return build_stripped(targets.join(per_date(design), "date"), len(stack_names), beta_timing=beta_timing)
 
 
 def proxy_targets(returns: DataFrame, proxies: Mapping[str, str], *, required: bool) -> DataFrame:
@@ -131,7 +132,7 @@ def thematic_factor(returns: DataFrame, stack: DataFrame, stack_names: Sequence[
     return stripped_layer(targets, stack, stack_names)
 
 
-def factor_observations(panel: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+def factor_observations(panel: DataFrame, horizons: Sequence[int] = HORIZONS, coverage: bool = True) -> DataFrame:
     """Stored form of a panel: index, horizon returns and z-scores as maps, coverage, flags.
 
     All statistics share one partitioning and one sort by (factor, date).
@@ -139,10 +140,11 @@ def factor_observations(panel: DataFrame, horizons: Sequence[int] = HORIZONS) ->
     obs = cumulative_index(panel.where("ret is not null"), "factor")
     wide = with_zscores(with_horizon_returns(obs, "factor", horizons=horizons), "factor", horizons=horizons)
     as_map = lambda p: F.map_from_arrays(F.array(*[F.lit(h) for h in horizons]), F.array(*[F.col(f"{p}_{h}") for h in horizons]))
-    cover = factor_coverage(panel).select("factor", F.col("ratio").alias("coverage"))
     out = wide.select(
         "factor", "date", F.col("ret").alias("scaled_return"), "cumulative_index", as_map("ret").alias("horizons"), as_map("z").alias("zscores")
-    ).join(cover, "factor")
+    )
+    if coverage:  # needs the panel's distinct dates, hence a second pass
+        out = out.join(factor_coverage(panel).select("factor", F.col("ratio").alias("coverage")), "factor")
     return quality_flags(out)
 
 

@@ -54,7 +54,7 @@ _panel_cols = ", ".join(
     f"SELECT factor, max(date) AS date, {_panel_cols} FROM observations GROUP BY 1", "observations",
 )
 def _(spark, sf):
-    return M.latest_panel(M.factor_observations(proxy_panel(spark, sf)))
+    return M.latest_panel(M.factor_observations(proxy_panel(spark, sf), coverage=False))
 
 
 view(
