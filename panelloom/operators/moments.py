@@ -134,15 +134,15 @@ def complete_covariance(
 ) -> DataFrame:
     """Covariance over the dates on which every series is present.
 
-    ``sample``, ``diagonal`` or ``ledoit_wolf``: shrinkage toward a scaled identity with
+    Fewer than two such dates give no rows.  ``sample``, ``diagonal`` or ``ledoit_wolf``: shrinkage toward a scaled identity with
     the published optimal intensity, from sums of squares and products only.
     """
     k = len(names)
     wide = wide_panel(df, series, value, names).dropna(subset=[f"v{i}" for i in range(k)])
     if method == "sample":
-        return _matrix(wide, names, (), "cov", annualize)
+        return _matrix(wide, names, (), "cov", annualize).where("value is not null")
     if method == "diagonal":
-        out = _matrix(wide, names, (), "cov", annualize)
+        out = _matrix(wide, names, (), "cov", annualize).where("value is not null")
         return out.withColumn("value", F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(F.lit(0.0)))
     if method != "ledoit_wolf":
         raise ValueError(f"unknown covariance estimator: {method}")
@@ -163,7 +163,7 @@ def complete_covariance(
     )
     trace = sum((F.col(f"m_{i}_{i}") for i in range(k)), F.lit(0.0))
     sized = (
-        moments.withColumn("mu", trace / k)
+        moments.where("n >= 2").withColumn("mu", trace / k)
         .withColumn("frob", frob)
         .withColumn("delta", (F.col("frob") - k * F.col("mu") * F.col("mu")) / k)
         .withColumn("b", (F.col("fourth") / F.col("n") - F.col("frob")) / (k * F.col("n")))

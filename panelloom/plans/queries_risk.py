@@ -64,7 +64,8 @@ def _(spark, sf):
 
 @query(
     "factor_cov_pairwise", "A4", "row col value:5",
-    "SELECT a.ticker AS row, b.ticker AS col, coalesce(covar_samp(a.ret, b.ret), 0) * 252 AS value FROM stock_ret a JOIN stock_ret b USING (date) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND b.ticker IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') GROUP BY 1, 2",
+    """SELECT x.t AS row, y.t AS col, coalesce(covar_samp(a.ret, b.ret), 0) * 252 AS value FROM (VALUES ('NATION_1'), ('NATION_2'), ('NATION_3'), ('NATION_4')) x(t) CROSS JOIN (VALUES ('NATION_1'), ('NATION_2'), ('NATION_3'), ('NATION_4')) y(t)
+    LEFT JOIN (SELECT * FROM stock_ret WHERE ret IS NOT NULL) a ON a.ticker = x.t LEFT JOIN (SELECT * FROM stock_ret WHERE ret IS NOT NULL) b ON b.ticker = y.t AND b.date = a.date GROUP BY 1, 2""",
     "stock_ret",
 )
 def _(spark, sf):
