@@ -22,6 +22,7 @@ WINDOW_DAYS = 756
 MINIMUM_DAYS = 252
 HAC_LAGS = 5
 MAX_FACTORS = 128
+# Labels stored with a fit.
 LABELS = {
     "fixed": "Fixed-model OLS/HAC",
     "elastic_net": "ElasticNetCV selection; conditional OLS/HAC",

@@ -59,10 +59,13 @@ def upsert_prices(stored: DataFrame, batch: DataFrame, order: str = "batch") ->
 
 
 def write_prices(prices: DataFrame, path: str) -> None:
-    """Month-partitioned layout: an upsert rewrites only the months it touches."""
+    """Month-partitioned layout: an upsert rewrites only the months it touches.
+
+    The rebalance hint sizes the files and splits a month too large for one task.
+    """
     (
         prices.withColumn("month", F.date_format("date", "yyyy-MM"))
-        .repartition("month", F.pmod(F.xxhash64("ticker"), F.lit(16)))
+        .hint("rebalance", F.col("month"))
         .sortWithinPartitions("ticker", "date")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
     )

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_facts(df: DataFrame, path: str, *, date: str = "date", build: str = "build_id") -> None:
-    """Replace only the (build, month) partitions present in ``df``."""
+    """Replace only the (build, month) partitions present in ``df``; large ones are split over tasks."""
     (
         df.withColumn("month", F.date_format(date, "yyyy-MM"))
-        .repartition(build, "month")
+        .hint("rebalance", F.col(build), F.col("month"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(build, "month").parquet(path)
     )
