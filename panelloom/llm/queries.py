@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, neardup, quality, topk, toxicity
+from . import ann, extract, language, mixing, neardup, quality, topk, toxicity, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,14 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 def op10_ann(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op1_html(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(table(spark, sf, "pages"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    rows = warc.read_archives(spark, warc.write_archives(table(spark, sf, "pages"))).where("kind = 'record'")
+    return rows.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
