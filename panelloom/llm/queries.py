@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, extract, language, mixing, neardup, quality, topk, toxicity, warc
+from . import ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def op1_html(spark: SparkSession, sf: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     rows = warc.read_archives(spark, warc.write_archives(table(spark, sf, "pages"))).where("kind = 'record'")
     return rows.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and what decoding them gives back, as a digest and a length."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs)
+    return pieces.with_decoded(encoded).select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
