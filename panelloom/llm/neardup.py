@@ -129,7 +129,9 @@ def linked_in_blocks(members: DataFrame, load: str, most: int, test) -> DataFram
     sizes = members.groupBy("grp").agg(F.sum(load).alias("all"))
     dealt = members.join(sizes, "grp").withColumn("k", F.ceil(F.col("all") / most).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     copies = dealt.select("grp", "blk", "doc", "payload", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    rows = copies.groupBy("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(
+    copies = copies.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+    # dealt by all three, as rows that lie together by group already would all stay in one task
+    rows = copies.repartition("grp", "i", "j").groupBy("grp", "i", "j").agg(
         F.collect_list(F.struct("doc", "blk", "payload")).alias("docs")).where("size(docs) > 1")
 
     def run(batches):
