@@ -118,20 +118,25 @@ def nearest(
                 # tables overlap: one entry a pair, then the best of each query, with room for equal scores
                 _, first = np.unique(np.stack([q, c]), axis=1, return_index=True) if len(q) else (None, np.empty(0, dtype=np.int64))
                 at = first[head(q[first], c[first], s[first], 2 * (k + 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[at])], names=["q", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[at]), pa.array(s[at], type=pa.float64())], names=["q", "c", "s"])
 
-        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, c bigint")
+        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, c bigint, s double")
+
+    def leading(rows):
+        """The best of each query by the scores of matrix products, with room for their rounding, before vectors are joined again."""
+        best = Window.partitionBy("q").orderBy(F.desc("s"), "c")
+        return rows.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * (k + 1)).drop("place")
 
     cells = ["dim", "tbl", "bucket"]
     held = in_blocks(hashed(classes, longest, False, tables, functions, width, 1), cells, BLOCK, "cblk")
     visits = in_blocks(hashed(wanted, longest, True, tables, functions, width, probes), cells, QUERY_BLOCK, "qblk")
-    found = scratch_table(scored(visits.join(held, cells)).distinct(), "found")
+    found = scratch_table(leading(scored(visits.join(held, cells))), "found")
 
     weight = classes.select(F.col("id").alias("c"), F.size("ids").alias("n"))
     reached = found.join(weight, "c").groupBy("q").agg(F.sum("n").alias("n"))
     few = wanted.join(reached.where(F.col("n") > k).select(F.col("q").alias("id")), "id", "left_anti")
     everything = scored(in_blocks(few, ["dim"], QUERY_BLOCK, "qblk").join(in_blocks(classes, ["dim"], BLOCK, "cblk"), "dim"))
-    found = found.unionByName(everything).distinct()
+    found = leading(found.unionByName(everything))
 
     left = found.join(wanted.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q")
     both = left.join(classes.select(F.col("id").alias("c"), F.col("vec").alias("cv"), "ids"), "c")
