@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
@@ -47,17 +47,13 @@ def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed:
     bound, so that the ordering that enforces the bound reads a bounded number of rows.
     """
     sizes = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    kind = rows.schema[group].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame([(g, 1.2 * per_group / n) for g, n in sizes.items()], f"{group} {kind}, __share double")
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    parts = [
-        rows.where(F.col(group) == F.lit(g)).where(unit < 1.2 * per_group / n).orderBy(unit, F.col(key)).limit(per_group)
-        for g, n in sorted(sizes.items())
-    ]
-    if not parts:
-        return rows.where("false"), sizes
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, sizes
+    thin = rows.join(F.broadcast(shares), group).withColumn("__unit", unit).where("__unit < __share")
+    order = Window.partitionBy(group).orderBy("__unit", key)
+    out = thin.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_group)
+    return out.select(rows.columns), sizes
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, seed: int) -> tuple[DataFrame, dict]:
