@@ -24,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk; longer texts are split. Words longer than LONG take the chunk method inside one task.
 CHUNK, LONG = 1 << 15, 64
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
 
