@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are worked on in slices of about so many bytes; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 256 << 10
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,6 +26,18 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering its session's Arrow batches to BATCH_ROWS rows if they are larger: texts are long, and a worker's memory is bounded."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

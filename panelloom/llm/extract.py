@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # Names that the HTML standard gives, and words that sites use in class, id and role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -228,5 +230,5 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
                     pa.array([r[1] for r in rows], type=pa.int32()), pa.array([r[2] for r in rows], type=pa.int32()),
                 ], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"])
 
-    source = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
+    source = small_batches(pages).selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
     return source.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_kept int")

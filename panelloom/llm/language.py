@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder
+from .common import bounded_sample, remainder, small_batches
 
 UNDETERMINED = "und"
 #: Sampled documents of a language, characters taken from each, bytes of its dictionary.
@@ -86,7 +86,7 @@ def predict_language(docs: DataFrame, model: LanguageDictionaries, text: str = "
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     lettered = F.col(text).rlike(r"\p{L}") if names else F.lit(False)
-    out = docs.withColumn("__text", F.when(lettered, F.col(text)))
+    out = small_batches(docs).withColumn("__text", F.when(lettered, F.col(text)))
     found = F.when(F.col("__text").isNotNull(), predict(F.coalesce("__text", F.lit("a"))))
     return (
         out.withColumn("__found", found)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
-from .common import U64, shingles, slices, word_hashes, word_spans
+from .common import U64, shingles, slices, small_batches, word_hashes, word_spans
 
 #: Words of a shingle; linked at PERCENT or more; bands of ROWS signature values; values compared at once; chance of pruning a true link.
 SHINGLE, PERCENT, BANDS, ROWS, BATCH, MISS = 4, 80, 25, 5, 25, 1e-5
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     confirmed on full sets. Both tests run on pairs of blocks, so that neither a large bucket nor a large group is ever
     expanded into rows of pairs or held by one task. Only texts of documents in groups are looked at again.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     sigs = scratch_table(signatures(docs, size), "signatures")
     sets = sigs.where("sig is not null and doc_id is not null").groupBy("fp1", "fp2", "n_shingles", "sig").agg(F.min("doc_id").alias("doc"))
     sets = scratch_table(sets, "sets")

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
+from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk; longer texts are split. Words longer than LONG take the chunk method inside one task.
 CHUNK, LONG = 1 << 15, 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
 
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
     """
     data = _model(docs, model)
     halo = _load(data).longest
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     short = F.coalesce(F.length("text"), F.lit(0)) < chunk
 
@@ -349,4 +350,4 @@ def with_decoded(encoded: DataFrame, model: str = MODEL, ids: str = "ids", into:
         p = _load(data)
         return pd.Series([p.decode(x.tolist()) if x is not None else "" for x in rows], index=rows.index, dtype="object")
 
-    return encoded.withColumn(into, run(F.col(ids)))
+    return small_batches(encoded).withColumn(into, run(F.col(ids)))

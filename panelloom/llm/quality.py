@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, labelled_texts, slices, word_hashes, word_spans
+from .common import U64, labelled_texts, slices, small_batches, word_hashes, word_spans
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "sd_word", "longest_word", "lower", "upper", "digit", "space", "mark", "other",
@@ -180,4 +180,4 @@ def score_quality(docs: DataFrame, model: BoostedTrees, text: str = "text", into
         out = [model.predict(x[i : i + 1024]) for i in range(0, len(x), 1024)]
         return pd.Series(np.concatenate(out) if out else [], dtype="float64", index=texts.index)
 
-    return docs.withColumn(into, score(F.col(text)))
+    return small_batches(docs).withColumn(into, score(F.col(text)))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, labelled_texts, slices
+from .common import U64, labelled_texts, slices, small_batches
 
 ORDERS, BITS, FEATURES, PER_CLASS, SEED = (3, 4, 5, 6), 20, 1 << 11, 3000, 83
 _SPREAD = U64(0x9E3779B97F4A7C15)
@@ -152,4 +152,4 @@ def score_toxicity(docs: DataFrame, model: NaiveBayesLinear, text: str = "text",
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(pa.array(texts, type=pa.large_string(), from_pandas=True)), index=texts.index)
 
-    return docs.withColumn(into, score(F.col(text)))
+    return small_batches(docs).withColumn(into, score(F.col(text)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_table, shared_folder
+from .common import small_batches
 
 RECORDS_PER_FILE, LEVEL, DATE = 4000, 6, "2024-01-01T00:00:00Z"
 READ = 1 << 16
@@ -71,7 +72,7 @@ def write_archives(pages: DataFrame, path: str | None = None) -> str:
     """
     spark = pages.sparkSession
     path = path or shared_folder(spark, "warc", uuid.uuid4().hex)
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     again = scratch_table(rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").select("sha", "first"), "repeated")
     rows = rows.join(again, "sha", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
