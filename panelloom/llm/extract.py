@@ -52,6 +52,7 @@ LABELLED = (
     (0, 0, 9, 0.0, 50, 0.0, 60, 0.0, 1), (0, 1, 8, 0.0, 3, 1.0, 60, 0.0, 1), (0, 1, 4, 0.0, 40, 0.0, 50, 0.0, 1), (0, 0, 30, 0.3, 35, 0.0, 30, 0.1, 1),
     (0, 0, 120, 0.2, 4, 1.0, 4, 1.0, 1), (0, 0, 22, 0.0, 0, 0.0, 30, 0.0, 1), (0, 0, 3, 1.0, 2, 1.0, 3, 1.0, 0), (0, 0, 2, 0.0, 1, 1.0, 2, 1.0, 0),
     (0, 0, 6, 0.0, 4, 1.0, 3, 1.0, 0), (0, 0, 12, 0.9, 10, 0.9, 11, 1.0, 0), (0, 0, 25, 0.8, 30, 0.9, 40, 0.0, 0), (0, 1, 3, 0.0, 20, 0.0, 2, 1.0, 0),
+    (0, 0, 40, 0.0, 0, 0.0, 1, 0.0, 1), (0, 0, 60, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 2, 1.0, 3, 0.0, 1), (0, 0, 30, 0.0, 5, 1.0, 0, 0.0, 1), (0, 0, 90, 0.0, 1, 0.0, 2, 1.0, 1),
     (0, 0, 10, 0.0, 80, 0.0, 0, 0.0, 0), (0, 0, 7, 0.3, 6, 1.0, 5, 0.6, 0), (0, 0, 5, 0.0, 2, 1.0, 3, 0.0, 0), (0, 0, 4, 1.0, 90, 0.0, 80, 0.0, 0),
 )
 

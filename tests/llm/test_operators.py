@@ -1,0 +1,216 @@
+"""The operators on small tables with nulls, ties, repeats, long texts and clashing columns, against brute force."""
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from panelloom.llm import ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, warc
+from panelloom.llm.common import held_out, table
+
+SF = "/root/testdata/sf0.01"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score string, target string")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = "the quick brown fox jumps over it " * 9000
+    rows = [(1, None, None, None, "x", "y"), (2, "", "en", "a", None, "y"), (3, " \n\t", "en", "a", "x", "y"), (4, long, "en", "b", "x", None), (5, long, "en", "b", "x", "y"), (5, "repeated id", "en", "b", "x", "y"), (None, "no id", "en", "b", "x", "y")]
+    return docs(spark, rows)
+
+
+def test_text_operators_keep_every_row_and_column(spark, odd):
+    real, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    for out in (
+        toxicity.score_toxicity(odd, toxicity.fit_toxicity(real, labels)), quality.score_quality(odd, quality.fit_quality(real, labels)),
+        language.predict_language(odd, language.fit_languages(real)), mixing.mix_sources(odd),
+    ):
+        rows = out.collect()
+        assert len(rows) == 7 and set(odd.columns) <= set(out.columns)
+    named = {r.text: r for r in language.predict_language(odd, language.fit_languages(real)).collect()}
+    assert named[None].lang_pred == named[""].lang_pred == "und" and named[""].score == 0.0
+    assert mixing.mix_sources(odd.where("false")).count() == 0
+
+
+def test_models_without_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(odd, none)).collect())
+    assert all(0 <= r.score <= 1 for r in quality.score_quality(odd, quality.fit_quality(odd, none)).collect())
+
+
+@pytest.mark.parametrize("name, label, modulus, held, least", [("toxicity", "toxic", 5, 0, 0.9), ("quality", "quality", 3, 1, 0.95)])
+def test_held_out_accuracy(spark, name, label, modulus, held, least):
+    module = {"toxicity": toxicity, "quality": quality}[name]
+    real, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = getattr(module, f"fit_{name}")(real, labels)
+    rows = getattr(module, f"score_{name}")(real.select("doc_id", "text"), model).join(labels, "doc_id").where(held_out("doc_id", modulus, held)).collect()
+    assert np.mean([(r.score >= 0.5) == r[label] for r in rows]) >= least
+
+
+def test_language_accuracy(spark):
+    real = table(spark, SF, "documents")
+    rows = language.predict_language(real, language.fit_languages(real)).where(held_out("doc_id", 4, 2)).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.95
+
+
+def test_near_duplicates_against_brute_force(spark):
+    real = table(spark, SF, "documents").select("doc_id", "text").where("doc_id < 400").collect()
+    rows = [(r.doc_id, r.text) for r in real] + [(1001, None), (1002, ""), (1003, " \t "), (1004, "one TWO"), (1005, "One two"), (1006, real[0].text.upper()), (None, "one two"), (1007, " ".join(map(str, range(30000))))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    sets = {}
+    for i, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(low))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    root = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id])
+        assert (r.component_id, r.kept) == ((root[r.doc_id], root[r.doc_id] == r.doc_id) if r.doc_id is not None else (None, True))
+    assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_one_large_group_spreads_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SHINGLES", 400)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[:40], f"x{i}", *base[40:]])) for i in range(40)]
+    assert {r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {0}
+
+
+def test_mixing_meets_targets_and_reruns_agree(spark):
+    real = table(spark, SF, "documents")
+    rows = mixing.mix_sources(real).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in mixing.mix_sources(real.repartition(7)).collect())
+    total = sum(r["size"] for r in rows)
+    by = {}
+    for r in rows:
+        assert r.taken <= 3 * r["size"]
+        by.setdefault(r.source, [r.target, 0, 0, r.source_size])
+        by[r.source][1] += r.taken
+        by[r.source][2] = max(by[r.source][2], r["size"])
+    assert sum(t for t, *_ in by.values()) == pytest.approx(total)
+    assert all(abs(taken - t) <= longest and t <= 3 * size + 1e-6 for t, taken, longest, size in by.values())
+
+
+def test_mixing_with_weights(spark):
+    rows = [(i, "w " * (1 + i % 7), "s", float(1 + i % 3)) for i in range(300)] + [(1000, "a b", None, None)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string, w double"), weight="w").collect()
+    assert all(r.taken <= 3 * r["size"] for r in out)
+    assert abs(sum(r.taken for r in out if r.source == "s") - max(r.target for r in out if r.source == "s")) <= 7
+
+
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    rows += [(200 + i, rows[7][1]) for i in range(30)]
+    rows += [(300, None), (400, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (500, [float("nan")] * 6), (600, [0.0] * 6), (700, []), (None, rows[1][1]), (800, [1.0, 2.0])]
+    return rows, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+
+
+@pytest.mark.parametrize("search, k, zero", [("exact", 10, True), ("near", 5, False)])
+def test_searches_against_brute_force(spark, search, k, zero):
+    rows, df = vectors(spark)
+    use = {i: v for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and (zero or any(v))}
+    scale = (lambda v: np.floor(1024 * np.array(v))) if search == "exact" else np.array
+    queries = df.where("vec_id % 20 = 0")
+    got = (topk.top_k(df, queries, k) if search == "exact" else ann.nearest(df, queries, k, tables=10, probes=60)).collect()
+    want = []
+    for q in [i for i in use if i % 20 == 0]:
+        found = sorted((-float(sum(scale(use[q]) * scale(v))), i) for i, v in use.items() if i != q and len(v) == len(use[q]))[:k]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(found)]
+    have = {(r.query_id, r["rank"], r.vec_id) for r in got}
+    assert have == set(want) if search == "exact" else len(have & set(want)) >= 0.9 * len(want)
+
+
+def test_ann_recall(spark):
+    rows = table(spark, SF, "embeddings").select("vec_id", "embedding").collect()
+    v = np.array([r.embedding for r in rows], dtype=float)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(table(spark, SF, "embeddings"), table(spark, SF, "embeddings").where("vec_id % 20 = 0"), 20).collect()}
+    want = set()
+    for i, r in enumerate(rows):
+        if r.vec_id % 20 == 0:
+            s = v @ v[i]
+            s[i] = -np.inf
+            want |= {(r.vec_id, rows[j].vec_id) for j in np.argsort(-s, kind="stable")[:20]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_warc_round_trip_and_salvage(spark, tmp_path):
+    rows = [(1, "http://a/é b", "<p>x</p>"), (2, None, None), (3, "u", "<p>x</p>"), (4, "u", ""), (None, "u", "<p>x</p>"), (5, "u", "日本" * 70000)]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1))
+    got = {(r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, path).collect()}
+    assert got == {
+        ("<urn:page:1>", "revisit", "<urn:page:3>", 8), ("<urn:page:3>", "response", None, 8), ("<urn:page:>", "revisit", "<urn:page:3>", 8),
+        ("<urn:page:2>", "revisit", "<urn:page:4>", 0), ("<urn:page:4>", "response", None, 0), ("<urn:page:5>", "response", None, 420000),
+    }
+    records = [warc.record(i, "u", b"payload %d" % i * 50, None) for i in range(6)]
+    members = [warc.member(r) for r in records]
+    broken = bytearray(members[2])
+    broken[len(broken) // 2] ^= 255
+    data = b"junk" + members[0] + members[1] + bytes(broken) + records[3] + members[4][:-20] + members[5]
+    found = list(warc.salvage(data))
+    assert [x["record_id"] for *_, x in found if isinstance(x, dict)] == [f"<urn:page:{i}>" for i in (0, 1, 3, 5)]
+    gaps = [(a, b) for a, b, x in found if isinstance(x, str)]
+    at = 4 + len(members[0]) + len(members[1])
+    assert gaps[:2] == [(0, 4), (at, at + len(broken))] and len(gaps) == 3
+    assert list(warc.salvage(b"")) == []
+
+
+def test_extraction(spark):
+    html = (
+        "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>'</script></head><body class='has-sidebar'><nav><ul><li><a href='/'>Home</a></ul></nav>"
+        "<div class=ad>Buy now</div><article><h1>A &amp; B</h1><p>One<br>two  three<p>Caf&eacute; <b>bold</b> text<aside>more</aside><form>mail</form></article>"
+        "<section id='comments'><p>First comment that is long enough to look like an article, with many words in it, and more of them.</p></section><footer>&copy; us</footer>"
+    )
+    rows = [(1, "u", html), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "<div>" + "word " * 40 + "</div><nav>menu</nav>"), (5, "u", "<article><p>" + "x " * 50000)]
+    got = {r.page_id: r for r in extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1].text == "A & B\nOne two three\nCafé bold text"
+    assert got[2].text == got[3].text == got[None].text == "" and got[2].n_chars == 0
+    assert got[4].text == ("word " * 40).strip() and got[5].n_chars == 99999
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [r.text for r in table(spark, SF, "documents").select("text").limit(150).collect()]
+    texts += [None, "", " ", "a" * 5000, "日本語😀\x00é" * 300, "  two  spaces\n\n", "=" * 777 + " x" * 900, "<s>[PAD]</s>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pieces.with_decoded(pieces.encode(df, chunk=500)).collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == (lib.encode(t) if t else [])
+        assert got[i].text == (t or "")
+
+
+def test_max_plus_products_are_associative():
+    rng = np.random.default_rng(5)
+    a, b, c = (np.where(rng.random(s) < 0.5, -np.inf, rng.integers(-9, 9, s)) for s in ((3, 4), (4, 2), (2, 5)))
+    assert (pieces.product(pieces.product(a, b), c) == pieces.product(a, pieces.product(b, c))).all()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    given = table(spark, SF, "documents")
+    toxic = {r.doc_id for r in table(spark, SF, "labels").where("toxic = 1").collect()}
+    kept = given
+    for name, stage in cp.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, SF)
+        assert kept.columns == given.columns
+        if name == "toxicity":
+            left = {r.doc_id for r in kept.select("doc_id").collect()}
+            assert len(toxic & left) <= 0.2 * len(toxic) and len(left) >= 0.8 * (before.count() - len(toxic))
+    assert cp.STAGES[-1][1](spark, kept, SF).count() == kept.count() > 0
+    assert cp.toxicity_stage(spark, given.where("false"), SF).count() == 0
