@@ -118,14 +118,18 @@ def nearest(
                 # tables overlap: one entry a pair, then the best of each query, with room for equal scores
                 _, first = np.unique(np.stack([q, c]), axis=1, return_index=True) if len(q) else (None, np.empty(0, dtype=np.int64))
                 at = first[head(q[first], c[first], s[first], 2 * (k + 1))]
-                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[at]), pa.array(s[at], type=pa.float64())], names=["q", "c", "s"])
+                # one list a query: entries lie together by query, best first; rounded, so that a pair found twice is the same twice
+                start = np.flatnonzero(np.concatenate(([True], q[at][1:] != q[at][:-1]))) if len(at) else np.empty(0, dtype=np.int64)
+                entries = pa.StructArray.from_arrays([pa.array(-np.round(s[at].astype(float), 12)), pa.array(c[at])], names=["n", "c"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), type=pa.int32()), entries)
+                yield pa.RecordBatch.from_arrays([pa.array(q[at][start]), lists], names=["q", "found"])
 
-        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, c bigint, s double")
+        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, found array<struct<n: double, c: bigint>>")
 
     def leading(rows):
-        """The best of each query by the scores of matrix products, with room for their rounding, before vectors are joined again."""
-        best = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-        return rows.groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * (k + 1)).drop("place")
+        """(q, c): the best of each query by the scores of matrix products, with room for their rounding, before vectors are joined again."""
+        merged = F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("found")))), 1, 2 * (k + 1))
+        return rows.groupBy("q").agg(merged.alias("found")).select("q", F.explode("found").alias("x")).select("q", F.col("x.c").alias("c")).distinct()
 
     cells = ["dim", "tbl", "bucket"]
     held = in_blocks(hashed(classes, longest, False, tables, functions, width, 1), cells, BLOCK, "cblk")
@@ -136,7 +140,7 @@ def nearest(
     reached = found.join(weight, "c").groupBy("q").agg(F.sum("n").alias("n"))
     few = wanted.join(reached.where(F.col("n") > k).select(F.col("q").alias("id")), "id", "left_anti")
     everything = scored(in_blocks(few, ["dim"], QUERY_BLOCK, "qblk").join(in_blocks(classes, ["dim"], BLOCK, "cblk"), "dim"))
-    found = leading(found.unionByName(everything))
+    found = found.unionByName(leading(everything)).distinct()
 
     left = found.join(wanted.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q")
     both = left.join(classes.select(F.col("id").alias("c"), F.col("vec").alias("cv"), "ids"), "c")
