@@ -1,14 +1,9 @@
-"""Exact ranks inside groups of any size.
-
-The largest group is counted first.  While it is small a plain window does; beyond
-``WINDOW_ROWS`` a ``Window.partitionBy(group)`` would put a whole cross-section into
-one task, so groups are cut into slices at approximate quantiles of the score (a mergeable sketch, one
-partially aggregated pass).  A cut point that is itself a frequent value forms its own
-slice, which is cut again by the tie-break key, so a score shared by a third of all
-rows is spread as well.  Rows are ranked inside their slice and shifted by the row
-counts of the slices before it.  Cut points only steer the balance: ranks are
-exact for any choice of them.  Rows and slice sizes must agree to the last bit of every
-score, so the sliced rows are checkpointed once and both are read from there.
+"""Exact ranks inside groups of any size, by one plan.
+
+Rows are range-partitioned and sorted by group, score and tie-break, whatever their types, so a group or a
+score shared by many rows spreads over partitions.  The place of a row inside its partition plus the
+rows of its group in earlier partitions is its rank.  Sampled ranges only steer the balance.  Places
+and counts must come from one evaluation, so the sorted rows are checkpointed.
 """
 
 from __future__ import annotations
@@ -20,20 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-WINDOW_ROWS = 1_000_000
-MAX_SLICES = 512
-
-
-def _key_code(c) -> Column:
-    """Number that follows the byte order of the first six bytes of a string."""
-    padded = F.rpad(F.substring(F.col(c), 1, 6), 6, " ")
-    return F.conv(F.hex(F.encode(padded, "UTF-8")), 16, 10).cast("double")
-
-
-def _slice_of(value: Column, cuts: Column) -> Column:
-    """2k for a value between cuts k-1 and k, 2k+1 for one equal to cut k (counted from 0)."""
-    below = F.size(F.filter(cuts, lambda e: e < value))
-    return 2 * below + F.array_contains(cuts, value).cast("int")
+PART_ROWS = 1 << 33  # rows of one partition that monotonically_increasing_id numbers: a fixed value
 
 
 def ranked(
@@ -45,7 +27,6 @@ def ranked(
     prefix: str = "",
     ascending: bool = False,
     running: str | None = None,
-    window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (ties broken by ``tie``), ``percentile`` in (0, 1] and ``ranked_count``.
 
@@ -54,107 +35,55 @@ def ranked(
     ``running`` names a column whose total over better-ranked rows is added as
     ``{prefix}running``.
     """
-    by = list(by)
-    group = by or ["__all"]
-    names = list(df.columns)
-    data = df if by else df.withColumn("__all", F.lit(0))
-    limit = WINDOW_ROWS if window_rows is None else window_rows
-    largest = data.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        return _windowed(data, group, score, tie, prefix, ascending, running).select(
-            *names, *_added(prefix, running)
-        )
-    slices = min(MAX_SLICES, max(4, 2 * -(-largest // limit)))
-    probes = [i / slices for i in range(1, slices)]
-    scored = data.where(F.col(score).isNotNull())
-    cuts = scored.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(score, probes, 4 * slices)).alias("__cuts"),
-        F.array_distinct(F.percentile_approx(_key_code(tie), probes, 4 * slices)).alias("__ties"),
-    )
-    outer = "__slice"
-    placed = (
-        scored.join(cuts, group)
-        .withColumn("__s", _slice_of(F.col(score), F.col("__cuts")))
-        .withColumn(
-            "__t",
-            F.when(F.col("__s") % 2 == 1, _slice_of(_key_code(tie), F.col("__ties"))).otherwise(F.lit(0)),
-        )
-        .withColumn(outer, F.when(F.lit(ascending), F.col("__s")).otherwise(-F.col("__s")))
-        .drop("__cuts", "__ties", "__s")
-    )
-    placed = cut_lineage(placed)
+    names, group = list(df.columns), [f"__g{i}" for i in range(len(by))]
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    inside = Window.partitionBy(*group, outer, "__t")
-    walk = inside.orderBy(order, F.col(tie).asc())
-    amount = F.col(running) if running else F.lit(0.0)
-    local = placed.select(
-        "*",
-        F.row_number().over(walk).alias("__r"),
-        (F.sum(amount).over(walk.rowsBetween(Window.unboundedPreceding, 0)) - amount).alias("__run"),
-    )
-    # A tie of score lies inside one slice (or one run of sub-slices of a single value).
-    value = Window.partitionBy(*group, outer, "__t", score)
-    local = local.withColumn("__first", F.min("__r").over(value)).withColumn(
-        "__same", F.count(F.lit(1)).over(value)
+    keys = [*by, order, F.col(tie).asc()]
+    scored = df.where(F.col(score).isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut_lineage(
+        scored.select(
+            "*", *[F.col(c).alias(g) for c, g in zip(by, group)],
+            F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % PART_ROWS).alias("__place"),
+        )
     )
-    sizes = placed.groupBy(*group, outer, "__t").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(amount).alias("__a")
+    amount = F.coalesce(F.col(running).cast("double"), F.lit(0.0)) if running else F.lit(0.0)
+    parts = placed.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__from"), F.sum(amount).alias("__a"))
+    # one row per group and partition that holds it: at most as many in a group as there are partitions
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *group, "__part", "__from",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum("__a").over(earlier), F.lit(0.0)).alias("__run_before"),
+        F.sum("__n").over(Window.partitionBy(*group)).alias("__total"),
     )
-    run = Window.partitionBy(*group).orderBy(outer, "__t")
-    whole = Window.partitionBy(*group)
-    single = Window.partitionBy(*group, outer)
-    # Slices, not rows, reach this window: at most (2 * MAX_SLICES + 1)^2 per group.
-    offsets = sizes.select(
-        *group,
-        outer,
-        "__t",
-        (F.sum("__n").over(run) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(whole).alias("ranked_count"),
-        F.sum("__n").over(single).alias("__slice_n"),
-        F.coalesce(
-            F.sum("__a").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-        ).alias("__run_before"),
-    ).withColumn("__slice_before", F.min("__before").over(single))
-    joined = local.join(offsets, [*group, outer, "__t"])
-    spread = F.col(outer) % 2 != 0
-    low = F.when(spread, F.col("__slice_before") + 1).otherwise(F.col("__before") + F.col("__first"))
-    ties = F.when(spread, F.col("__slice_n")).otherwise(F.col("__same"))
-    mean_rank = low + (ties - 1) / 2.0
-    upward = mean_rank if ascending else F.col("ranked_count") + 1 - mean_rank
+    rows = _join(placed, offsets, [*group, "__part"]).withColumn("__rank", F.col("__before") + F.col("__place") - F.col("__from") + 1)
+    if running:
+        inside = Window.partitionBy(*group, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("__run", F.col("__run_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0.0)))
+    # equal scores: counted per partition first, so that a frequent score is many short keys and not one long one
+    value = Window.partitionBy(*group, "__score")
+    ties = rows.withColumn("__score", F.col(score)).groupBy(*group, "__score", "__part").agg(F.min("__rank").alias("__low"), F.count(F.lit(1)).alias("__same"))
+    ties = ties.select(*group, "__score", "__part", F.min("__low").over(value).alias("__low"), F.sum("__same").over(value).alias("__same"))
+    joined = _join(rows.withColumn("__score", F.col(score)), ties, [*group, "__score", "__part"])
+    mean_rank = F.col("__low") + (F.col("__same") - 1) / 2.0
+    upward = mean_rank if ascending else F.col("__total") + 1 - mean_rank
     out = joined.select(
-        *[F.col(c) for c in names],
-        (F.col("__before") + F.col("__r")).alias(f"{prefix}rank"),
-        (upward / F.col("ranked_count")).alias(f"{prefix}percentile"),
-        F.col("ranked_count").alias(f"{prefix}ranked_count"),
-        *([(F.col("__run_before") + F.col("__run")).alias(f"{prefix}running")] if running else []),
+        *names,
+        F.col("__rank").alias(f"{prefix}rank"),
+        (upward / F.col("__total")).alias(f"{prefix}percentile"),
+        F.col("__total").alias(f"{prefix}ranked_count"),
+        *([F.col("__run").alias(f"{prefix}running")] if running else []),
     )
-    unscored = data.select(*names).where(F.col(score).isNull())
-    return out.unionByName(unscored, allowMissingColumns=True)
-
-
-def _added(prefix: str, running: str | None) -> list[str]:
-    return [f"{prefix}{c}" for c in ("rank", "percentile", "ranked_count")] + ([f"{prefix}running"] if running else [])
-
-
-def _windowed(df, group, score, tie, prefix, ascending, running) -> DataFrame:
-    """Ranks of groups known to fit one task each."""
-    has = F.col(score).isNotNull()
-    order = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
-    walk = Window.partitionBy(*group).orderBy(order, F.col(tie).asc())
-    low = Window.partitionBy(*group).orderBy(F.col(score).asc_nulls_last())
-    n = F.count(score).over(Window.partitionBy(*group))
-    same = F.count(F.lit(1)).over(Window.partitionBy(*group, score))
-    mean_rank = F.rank().over(low) + (same - 1) / 2.0
-    out = df.select(
-        "*",
-        F.when(has, F.row_number().over(walk)).alias(f"{prefix}rank"),
-        F.when(has, mean_rank / n).alias(f"{prefix}percentile"),
-        F.when(has, n).alias(f"{prefix}ranked_count"),
-    )
-    if running:
-        total = F.sum(F.when(has, F.col(running))).over(walk.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn(f"{prefix}running", F.when(has, F.coalesce(total, F.lit(0.0))))
-    return out
+    return out.unionByName(df.where(F.col(score).isNull()), allowMissingColumns=True)
+
+
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL; the key columns of ``left`` stay."""
+    left, right = left.alias("l"), right.alias("r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return left.join(right, condition).select("l.*", *[f"r.{c}" for c in right.columns if c not in on])
 
 
 def quantile_group(rank: Column, count: Column, groups: int = 5) -> Column:

@@ -32,9 +32,10 @@ def capped_zscore(df: DataFrame, by, value: str, name: str = "z", direction=1, c
     return zscore(df, by, value, name, direction).withColumn(name, clip(name, -cap, cap))
 
 
-def factor_table(weights: Mapping[str, float], directions: Mapping[str, int] | None = None):
-    """Literal array of (factor, weight, direction): a configuration, not data."""
+def factor_table(weights: Mapping[str, float], directions: Mapping[str, int] | None = None, known: Sequence[str] | None = None):
+    """Literal array of (factor, weight, direction): a configuration, not data; names are checked against ``known``."""
     directions = directions or {}
+    check_factors(weights, known)
     if not weights:
         raise ValueError("no factors configured")
     return F.array(
@@ -49,6 +50,13 @@ def factor_table(weights: Mapping[str, float], directions: Mapping[str, int] | N
     )
 
 
+def check_factors(weights: Mapping[str, float], known: Sequence[str] | None) -> None:
+    """Raise where a weighted factor is not one of ``known``; it would count as beta 0 everywhere.  None: no check."""
+    missing = [] if known is None else sorted(n for n, w in weights.items() if w and n not in known)
+    if missing:
+        raise ValueError(f"configured factors are unavailable: {', '.join(missing)}")
+
+
 def fill_unselected(fits: DataFrame, exposures: DataFrame, keys: Sequence[str], factors) -> DataFrame:
     """One row per fit and configured factor; a factor the fit did not select has beta 0.
 

@@ -65,7 +65,7 @@ def screen_statistics(
     """Selection statistics plus robust spread inference, quintile means, turnover and cost."""
     base = selection_statistics(panel, period)
     spreads = period_spreads(panel, period).select(F.lit(1).alias("k"), F.col(period).alias("date"), "spread")
-    hac = mean_with_hac(spreads, "k", "spread", F.least(F.lit(3), F.floor(F.col("n") / 3)))
+    hac = mean_with_hac(spreads, "k", "spread", 3, 3)
     hac = hac.where("n >= 3").select(F.col("t_stat").alias("spread_hac_t"), F.col("p_value").alias("spread_hac_p"))
     q = quantile_returns(panel, period).agg(
         *[F.avg(F.when(F.col("bucket") == g, F.col("mean_return"))).alias(f"quantile_{g + 1}") for g in range(5)]

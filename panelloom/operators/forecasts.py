@@ -95,7 +95,7 @@ def shrink_premia(
     """Blend trailing factor means with assumed premia ``priors(factor, assumption)``.
 
     Columns are those of the diagnostics table: premium, assumption, historical_mean,
-    historical_standard_error, history_weight, observations.
+    historical_standard_error, history_weight, observations.  A prior without history, or with too little, raises.
     """
     if prior_dispersion < 0:
         raise ValueError("prior_dispersion must be non-negative")
@@ -108,41 +108,51 @@ def shrink_premia(
             (F.avg("ret") * annualization).alias("historical_mean"),
             F.try_divide(F.stddev_samp("ret") * annualization, F.sqrt(n.cast("double"))).alias("historical_standard_error"),
         )
-        .withColumn(
-            "observations",
-            F.when(F.col("observations") >= min_observations, F.col("observations")).otherwise(
-                F.raise_error(F.concat(F.lit("insufficient factor history: "), F.col("factor"))).cast("long")
-            ),
-        )
     )
     tau2 = float(prior_dispersion) ** 2
     total = F.lit(tau2) + F.pow("historical_standard_error", 2)
-    out = priors.join(sample, "factor").withColumn(
+    out = priors.join(sample, "factor", "left").withColumn(
         "history_weight", F.when(total > 0, F.lit(tau2) / total).otherwise(F.lit(0.0))
     )
+    fault = F.when(F.col("observations").isNull(), "unknown factor premium: ").otherwise("insufficient factor history: ")
+    blend = F.col("assumption") + F.col("history_weight") * (F.col("historical_mean") - F.col("assumption"))
     return out.withColumn(
-        "premium", F.col("assumption") + F.col("history_weight") * (F.col("historical_mean") - F.col("assumption"))
+        "premium",
+        F.when(F.col("observations") >= min_observations, blend).otherwise(F.raise_error(F.concat(fault, F.col("factor"))).cast("double")),
     )
 
 
-def factor_implied_returns(exposures: DataFrame, premia: DataFrame, *, by: Sequence[str] = (), risk_free_rate: float = 0.0, shrink: bool = False):
-    """Sum of beta times premium plus cash; betas optionally shrunk first."""
+def factor_implied_returns(
+    exposures: DataFrame, premia: DataFrame, *, stocks: DataFrame | None = None, by: Sequence[str] = (), risk_free_rate: float = 0.0, shrink: bool = False
+):
+    """Sum of beta times premium plus cash; betas optionally shrunk first.
+
+    One row per (by, ticker) of ``stocks`` (default: of the exposures); one without a priced exposure expects the
+    cash rate.  A premium of a factor that no stock is exposed to raises.
+    """
     e = shrink_betas(exposures, by=by) if shrink else exposures
+    keys = [*by, "ticker"]
     on = [c for c in [*by, "factor"] if c in premia.columns]
-    return (
-        e.join(premia.select(*on, "premium"), on)
-        .groupBy(*by, "ticker")
-        .agg((F.sum(F.col("beta") * F.col("premium")) + F.lit(float(risk_free_rate))).alias("expected_return"))
+    held = exposures.select("factor").distinct().withColumn("__held", F.lit(True))
+    premium = F.when(F.col("__held"), F.col("premium")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown factor premium: "), F.col("factor"))).cast("double")
     )
+    priced = premia.join(held, "factor", "left").select(*on, premium.alias("premium"))
+    sums = e.join(priced, on, "left").groupBy(*keys).agg(F.sum(F.col("beta") * F.col("premium")).alias("__sum"))
+    rows = sums if stocks is None else stocks.select(*keys).distinct().join(sums, keys, "left")
+    return rows.select(*keys, (F.coalesce("__sum", F.lit(0.0)) + F.lit(float(risk_free_rate))).alias("expected_return"))
 
 
 def equal_sharpe_returns(variances: DataFrame, *, risk_free_rate: float = 0.0, common_sharpe: float = 0.5):
     """cash + k * volatility from ``variances(..., ticker, variance)``."""
     if common_sharpe <= 0:
         raise ValueError("common_sharpe must be positive")
-    vol = F.sqrt("variance")
-    return variances.where("variance > 0").withColumn("volatility", vol).withColumn(
-        "expected_return", F.lit(float(risk_free_rate)) + F.lit(float(common_sharpe)) * vol
+    fine = (F.col("variance") > 0) & (F.col("variance") < F.lit(float("inf")))
+    vol = F.when(fine, F.sqrt("variance")).otherwise(
+        F.raise_error(F.concat(F.lit("variance must be positive and finite: "), F.col("ticker"))).cast("double")
+    )
+    return variances.withColumn("volatility", vol).withColumn(
+        "expected_return", F.lit(float(risk_free_rate)) + F.lit(float(common_sharpe)) * F.col("volatility")
     )
 
 

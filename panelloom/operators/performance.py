@@ -44,7 +44,7 @@ def statistics(df: DataFrame, key: str = "strategy", value: str = "ret", periods
     # quantile and tail come from one evaluation, so a return at the boundary is always inside
     edge = F.percentile("r", F.lit(0.05)).over(Window.partitionBy(key))
     tail = r.withColumn("__q", edge).where("r <= __q").groupBy(key).agg(F.avg("r").alias("__tail"))
-    hac = mean_with_hac(r, key, "r", F.least(F.lit(5), F.floor(F.col("n") / 5))).select(
+    hac = mean_with_hac(r, key, "r", 5, 5).select(
         key, F.col("t_stat").alias("hac_mean_t_stat"), F.col("p_value").alias("hac_mean_p_value")
     )
     auto = lag_autocorrelation(r, key, "r").withColumnRenamed("autocorrelation", "autocorrelation_1")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NORMAL_975, SQRT_YEAR, all_present, dot, two_sided_p
@@ -119,9 +119,9 @@ def rolling_purify(df: DataFrame, key: str, y: str, x: str, window: int = 126, m
     return pair.withColumn("residual", F.when(enough, resid))
 
 
-def mean_with_hac(df: DataFrame, key: str, value: str, lags: Column, order: str = "date") -> DataFrame:
-    """Robust t and p of a mean; ``lags`` may depend on the column ``n``."""
-    maximum = 5
+def mean_with_hac(df: DataFrame, key: str, value: str, maximum: int, divisor: int | None = None, order: str = "date") -> DataFrame:
+    """Robust t and p of a mean with ``maximum`` lags, or with ``floor(n / divisor)`` where that is fewer."""
+    lags = F.lit(maximum) if divisor is None else F.least(F.lit(maximum), F.floor(F.col("n") / divisor))
     w = Window.partitionBy(key).orderBy(order)
     stats = df.where(F.col(value).isNotNull()).groupBy(key).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean")
@@ -134,7 +134,7 @@ def mean_with_hac(df: DataFrame, key: str, value: str, lags: Column, order: str
         F.sum(F.col("__e") * F.col("__e")).alias("g0"),
         *[F.coalesce(F.sum(F.col("__e") * F.col(f"__l{i}")), F.lit(0.0)).alias(f"g{i}") for i in range(1, maximum + 1)],
     )
-    sums = sums.withColumn("__lags", F.least(lags, F.lit(maximum)).cast("int"))
+    sums = sums.withColumn("__lags", lags.cast("int"))
     meat = F.col("g0")
     for i in range(1, maximum + 1):
         weight = F.greatest(1 - F.lit(float(i)) / (F.col("__lags") + 1), F.lit(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked, top_n
 from ..functions.scalars import normalize_ticker
-from .cross_section import composite, factor_table, fill_unselected
+from .cross_section import check_factors, composite, factor_table, fill_unselected
 
 # Fixed values of the screen rules: rule name -> feature column.
 RULE_COLUMNS = {
@@ -135,12 +135,15 @@ def screen_preview(
     directions: Mapping[str, int] | None = None,
     regimes: Mapping[str, float] | None = None,
     by: Sequence[str] = ("as_of",),
+    known: Sequence[str] | None = None,
 ) -> DataFrame:
     """Composite over all rows, rank over the passed ones, percentile over all.
 
-    ``fits`` carry the rule columns; ``exposures(by, ticker, factor, beta)``.
+    ``fits`` carry the rule columns; ``exposures(by, ticker, factor, beta)``.  ``known`` names the catalog's factors:
+    a weighted or regime factor outside it raises.
     """
     directions = directions or {}
+    check_factors({**weights, **dict.fromkeys(regimes or {}, 1.0)}, known)
     rows = effective_weights(weights, regimes)
     if not sum(abs(r[3]) for r in rows):
         raise ValueError("a screen needs a non-zero factor weight")
@@ -180,11 +183,12 @@ def selection(
     top: int = 20,
     manual: Sequence[str] = (),
     by: Sequence[str] = ("as_of",),
+    known: Sequence[str] | None = None,
     **rules,
 ) -> DataFrame:
     """Universe-wide composite, then eligibility, then the best ``top`` per group.
 
-    Zero weights are ignored.  Manual names that have a fit are flagged in place.
+    A weighted factor outside ``known`` (the catalog's names) raises.  Zero weights are ignored.  Manual names that have a fit are flagged in place.
     Adds score ranks, percentile (0-100), confidence, model_selected and included.
     """
     if any(w < 0 for w in weights.values()):
@@ -199,7 +203,7 @@ def selection(
     signs = {n: -1 if (directions or {}).get(n, 1) < 0 else 1 for n in weights}
     keys = [*by, "ticker"]
     long = fill_unselected(
-        fits.select(*keys), exposures.select(*keys, "factor", "beta"), keys, factor_table(weights, signs)
+        fits.select(*keys), exposures.select(*keys, "factor", "beta"), keys, factor_table(weights, signs, known)
     )
     counts = long.groupBy(*keys).agg((F.sum(F.col("selected").cast("int")) / F.lit(float(len(weights)))).alias("confidence"))
     scored = composite(long, by).join(counts, keys)

@@ -13,8 +13,8 @@ from .queries_risk import BY, benchmark_betas, correlation, modelled, omega, pre
 
 view(
     "names",
-    "SELECT m.portfolio, m.period, m.ticker, m.sector, m.weight AS previous, m.residual_volatility, e.expected_return FROM modelled m JOIN (SELECT ticker, period, sum(beta * premium) + 0.02e0 AS expected_return FROM exposures JOIN premia USING (factor) GROUP BY 1, 2) e USING (ticker, period)",
-    "modelled", "exposures", "premia",
+    "SELECT m.portfolio, m.period, m.ticker, m.sector, m.weight AS previous, m.residual_volatility, e.expected_return FROM modelled m JOIN (SELECT f.ticker, f.period, coalesce(sum(x.beta * p.premium), 0) + 0.02e0 AS expected_return FROM fits f LEFT JOIN exposures x USING (ticker, period) LEFT JOIN premia p USING (factor) GROUP BY 1, 2) e USING (ticker, period)",
+    "modelled", "fits", "exposures", "premia",
 )
 view(
     "bounded",
@@ -30,7 +30,7 @@ view(
 
 @X.stored
 def names(spark, sf):
-    e = factor_implied_returns(X.exposures(spark, sf), premia(spark, sf), by=["period"], risk_free_rate=0.02)
+    e = factor_implied_returns(X.exposures(spark, sf), premia(spark, sf), stocks=X.fits(spark, sf), by=["period"], risk_free_rate=0.02)
     return modelled(spark, sf).select(*BY, "ticker", "sector", F.col("weight").alias("previous"), "residual_volatility").join(e, ["period", "ticker"])
 
 

@@ -377,14 +377,14 @@ def _(spark, sf):
 view(
     "premia",
     """SELECT factor, a AS assumption, m AS historical_mean, se AS historical_standard_error, n AS observations, 0.0009e0 / (0.0009e0 + se * se) AS history_weight, a + 0.0009e0 / (0.0009e0 + se * se) * (m - a) AS premium FROM (SELECT factor, count(ret) AS n, avg(ret) * 252 AS m, stddev_samp(ret) * 252 / sqrt(CAST(count(ret) AS DOUBLE)) AS se FROM factor_mret GROUP BY 1)
-    JOIN (VALUES ('STANDARD', 0.05e0), ('PROMO', 0.02e0), ('SMALL', 0.02e0)) v(f, a) ON f = factor""",
+    CROSS JOIN LATERAL (SELECT CASE WHEN factor = 'STANDARD' THEN 0.05e0 ELSE 0.02e0 END AS a)""",
     "factor_mret",
 )
 
 
 def premia(spark, sf):
     a = F.when(F.col("factor") == "STANDARD", F.lit(0.05)).otherwise(F.lit(0.02))
-    priors = X.factor_monthly(spark, sf).select("factor").distinct().where("factor in ('STANDARD', 'PROMO', 'SMALL')").withColumn("assumption", a)
+    priors = X.factor_monthly(spark, sf).select("factor").distinct().withColumn("assumption", a)
     return P.shrink_premia(X.factor_monthly(spark, sf), priors, min_observations=24)
 
 
@@ -395,10 +395,10 @@ def _(spark, sf):
 
 @query(
     "factor_implied", "P4", "ticker period:d expected_return:8",
-    "SELECT ticker, period, sum(beta * premium) + 0.02e0 AS expected_return FROM exposures JOIN premia USING (factor) GROUP BY 1, 2", "exposures premia",
+    "SELECT f.ticker, f.period, coalesce(sum(e.beta * p.premium), 0) + 0.02e0 AS expected_return FROM fits f LEFT JOIN exposures e USING (ticker, period) LEFT JOIN premia p USING (factor) GROUP BY 1, 2", "fits exposures premia",
 )
 def _(spark, sf):
-    return P.factor_implied_returns(X.exposures(spark, sf), premia(spark, sf), by=["period"], risk_free_rate=0.02)
+    return P.factor_implied_returns(X.exposures(spark, sf), premia(spark, sf), stocks=X.fits(spark, sf), by=["period"], risk_free_rate=0.02)
 
 
 @query(

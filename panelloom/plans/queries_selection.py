@@ -48,7 +48,7 @@ view(
 )
 def _(spark, sf):
     return CS.fill_unselected(
-        X.fits(spark, sf).select("ticker", "period"), X.exposures(spark, sf).select("ticker", "period", "factor", "beta"), ["ticker", "period"], CS.factor_table(WEIGHTS, DIRECTIONS)
+        X.fits(spark, sf).select("ticker", "period"), X.exposures(spark, sf).select("ticker", "period", "factor", "beta"), ["ticker", "period"], CS.factor_table(WEIGHTS, DIRECTIONS, X.FACTORS)
     )
 
 
@@ -81,8 +81,29 @@ def _(spark, sf):
 def _(spark, sf):
     li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     key = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    # the sliced plan is forced here whatever the table size
-    return ranked(li.withColumn("k", key), ["l_returnflag"], "l_quantity", "k", window_rows=10_000)
+    return ranked(li.withColumn("k", key), ["l_returnflag"], "l_quantity", "k")
+
+
+@query(
+    "rank_integer_tie", "W17 W18", "o_orderkey:i rank:i percentile:8",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY s, o_orderkey) AS rank, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0e0) / count(*) OVER () AS percentile
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE CAST(o_totalprice AS DOUBLE) END AS s FROM orders)""",
+)
+def _(spark, sf):
+    s = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice").cast("double"))
+    return ranked(X.table(spark, sf, "orders").select("o_orderkey", s.alias("s")), [], "s", "o_orderkey", ascending=True).select("o_orderkey", "rank", "percentile")
+
+
+@query(
+    "rank_text_tie", "W17 W18", "o_orderkey:i rank:i percentile:8",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY s DESC, concat('株式会社の名前', lpad(CAST(o_orderkey AS VARCHAR), 12, '0'))) AS rank, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0e0) / count(*) OVER () AS percentile
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0e0 ELSE CAST(o_totalprice AS DOUBLE) END AS s FROM orders)""",
+)
+def _(spark, sf):
+    s = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice").cast("double"))
+    name = F.concat(F.lit("株式会社の名前"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    rows = X.table(spark, sf, "orders").select("o_orderkey", s.alias("s"), name.alias("k"))
+    return ranked(rows, [], "s", "k").select("o_orderkey", "rank", "percentile")
 
 
 _G1 = f"""SELECT ticker, period, beta, selected, score, {_by(_RANK, 'period', 'score')} AS rank, 100 * {_by(_PCT, 'period', 'score')} AS percentile, beta * ret AS contribution FROM (
@@ -133,7 +154,7 @@ def _(spark, sf):
 
 def _scored(spark, sf):
     keys = ["ticker", "period"]
-    long = CS.fill_unselected(X.fits(spark, sf).select(*keys), _e(spark, sf), keys, CS.factor_table(WEIGHTS, DIRECTIONS))
+    long = CS.fill_unselected(X.fits(spark, sf).select(*keys), _e(spark, sf), keys, CS.factor_table(WEIGHTS, DIRECTIONS, X.FACTORS))
     return CS.composite(long, ["period"])
 
 
@@ -152,7 +173,7 @@ _SCREEN = f"""SELECT ticker, period, passed, composite, percentile, CASE WHEN pa
 def _(spark, sf):
     filters = {"sectors": ["ASIA", "EUROPE", "AFRICA"], "beta": {"min": -0.6}, "adjusted_r2": {"max": 0.2}}
     return screening.screen_preview(
-        X.fits(spark, sf), _e(spark, sf), WEIGHTS, filters, directions=DIRECTIONS, regimes={"SMALL": -0.5}, by=["period"]
+        X.fits(spark, sf), _e(spark, sf), WEIGHTS, filters, directions=DIRECTIONS, regimes={"SMALL": -0.5}, by=["period"], known=X.FACTORS
     )
 
 
@@ -171,7 +192,7 @@ def _(spark, sf):
     e = X.exposures(spark, sf).join(fits.select("ticker", "as_of"), ["ticker", "as_of"], "left_semi")
     as_group = lambda df: df.withColumn("run", F.lit(1))
     preview = screening.screen_preview(
-        as_group(fits), as_group(e.select("ticker", "factor", "beta")), WEIGHTS, {"sectors": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}, directions=DIRECTIONS, by=["run"]
+        as_group(fits), as_group(e.select("ticker", "factor", "beta")), WEIGHTS, {"sectors": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}, directions=DIRECTIONS, by=["run"], known=X.FACTORS
     )
     model = top_n(preview.where("passed and ticker <> 'NATION_4'").select("run", "ticker", "composite"), ["run"], "composite", "ticker", 6)
     manual = X.table(spark, sf, "nation").where("n_name in ('NATION_2', 'NATION_5')").select(F.col("n_name").alias("ticker"), F.lit("manual").alias("source"))
@@ -186,7 +207,7 @@ view("selections", _SELECT, "composites", "fits")
 
 def selected(spark, sf):
     return screening.selection(
-        X.fits(spark, sf), _e(spark, sf), WEIGHTS, directions=DIRECTIONS, top=5, manual=["NATION_1"], by=["period"],
+        X.fits(spark, sf), _e(spark, sf), WEIGHTS, directions=DIRECTIONS, top=5, manual=["NATION_1"], by=["period"], known=X.FACTORS,
         minimum_days=26, minimum_adjusted_r2=-0.05, excluded=["NATION_2"],
     )
 

@@ -34,16 +34,24 @@ def random_book(spark, tickers, n=420, seed=12):
     return wide, book(spark, wide)
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
+@pytest.mark.parametrize("parts", [1, 7])
 @pytest.mark.parametrize("ascending", [False, True])
-def test_ranks_match_pandas_with_heavy_ties(spark, limit, ascending):
+def test_ranks_match_pandas_with_heavy_ties(spark, parts, ascending):
     rng = np.random.default_rng(3)
     n = 1500
     score = np.where(rng.random(n) < 0.4, 0.0, np.round(rng.normal(size=n), 1))
     pdf = pd.DataFrame({"g": rng.integers(0, 2, n).astype(str), "t": [f"NAME{i:05d}" for i in rng.permutation(n)], "s": score, "v": rng.random(n)})
     pdf.loc[::50, "s"] = None
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "g string, t string, s double, v double")
-    got = ranked(df, ["g"], "s", "t", ascending=ascending, running="v", window_rows=limit).toPandas().sort_values("t").reset_index(drop=True)
+    shuffles, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {c: spark.conf.get(c) for c in (shuffles, coalesce)}
+    try:
+        spark.conf.set(shuffles, parts)
+        spark.conf.set(coalesce, False)  # so that one score lies in several partitions
+        got = ranked(df, ["g"], "s", "t", ascending=ascending, running="v").toPandas().sort_values("t").reset_index(drop=True)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
     want = pdf.sort_values("t").reset_index(drop=True)
     order = want.dropna().sort_values(["s", "t"], ascending=[ascending, True])
     first = order.groupby("g").cumcount() + 1
@@ -54,6 +62,15 @@ def test_ranks_match_pandas_with_heavy_ties(spark, limit, ascending):
     assert np.allclose(got["running"].astype(float), before.reindex(want.index), equal_nan=True)
 
 
+def test_ranks_of_null_groups_number_ties_and_empty_input(spark):
+    rows = [(None, i, 1.0) for i in range(1, 13)] + [("a", 1, 2.0), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, id int, s double")
+    got = {(r.g, r.id): (r["rank"], r.percentile) for r in ranked(df, ["g"], "s", "id").collect()}
+    assert all(got[(None, i)] == (i, 6.5 / 12) for i in range(1, 13))
+    assert got[("a", 1)] == (1, 1.0) and got[("a", 2)] == (None, None)
+    assert ranked(df.where("false"), ["g"], "s", "id").count() == 0
+
+
 def test_normal_cdf(spark):
     import math
 
@@ -251,6 +268,37 @@ def screen_tables(spark):
     return fits, e
 
 
+def test_unknown_factors_raise(spark):
+    fits, e = screen_tables(spark)
+    for weights, regimes in (({"quality": 1, "qualty": 1}, None), ({"quality": 1}, {"rsk": 0.5})):
+        with pytest.raises(ValueError, match="unavailable"):
+            screening.screen_preview(fits, e, weights, {}, regimes=regimes, known=["quality", "risk"])
+    with pytest.raises(ValueError, match="unavailable"):
+        screening.selection(fits, e, {"qualty": 1.0}, known=["quality", "risk"])
+    screening.selection(fits, e, {"quality": 1.0, "qualty": 0.0}, known=["quality", "risk"])
+
+
+def test_forecasts_keep_every_stock_and_raise_on_unknown_premia(spark):
+    from panelloom.operators import forecasts
+
+    e = spark.createDataFrame([("A", "M", 2.0), ("B", "S", 1.0)], "ticker string, factor string, beta double")
+    stocks = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    premia = spark.createDataFrame([("M", 0.05)], "factor string, premium double")
+    got = {r.ticker: r.expected_return for r in forecasts.factor_implied_returns(e, premia, stocks=stocks, risk_free_rate=0.02).collect()}
+    assert got == pytest.approx({"A": 0.12, "B": 0.02, "C": 0.02})
+    with pytest.raises(Exception, match="unknown factor premium: Z"):
+        forecasts.factor_implied_returns(e, spark.createDataFrame([("M", 0.05), ("Z", 0.1)], premia.schema)).collect()
+    history = spark.createDataFrame([("M", 0.001 * i) for i in range(30)], "factor string, ret double")
+    priors = spark.createDataFrame([("M", 0.05), ("Z", 0.02)], "factor string, assumption double")
+    with pytest.raises(Exception, match="unknown factor premium: Z"):
+        forecasts.shrink_premia(history, priors, min_observations=24).collect()
+    with pytest.raises(Exception, match="insufficient factor history: M"):
+        forecasts.shrink_premia(history, priors.where("factor = 'M'"), min_observations=31).select("premium").collect()
+    for bad in (0.0, None, float("inf")):
+        with pytest.raises(Exception, match="variance must be positive"):
+            forecasts.equal_sharpe_returns(spark.createDataFrame([("A", bad)], "ticker string, variance double")).collect()
+
+
 def test_screen_directions_and_rules(spark):
     fits, e = screen_tables(spark)
     out = screening.screen_preview(fits, e, {"quality": 1, "risk": 1}, {"sectors": ["Y"]}, directions={"risk": -1}).orderBy("ticker").toPandas()
