@@ -71,17 +71,22 @@ def write_prices(prices: DataFrame, path: str) -> None:
     )
 
 
+def months_of_book(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """Rows of the given months ("yyyy-MM"); a partition filter, so that no other folder is read."""
+    return spark.read.schema(PRICES + ", batch long, month string").parquet(path).where(F.col("month").isin(months)).drop("month")
+
+
 def merge_into_book(spark: SparkSession, path: str, batch: DataFrame, stage: str) -> None:
     """Upsert ``batch(ticker, date, close, batch)`` into the book at ``path``.
 
-    Only touched months are read; the result is staged before partitions are replaced.
+    Only partitions of touched months are read; their names, at most one per calendar month of the batch, come to
+    the driver.  The result is staged before partitions are replaced.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     batch = batch.withColumn("month", F.date_format("date", "yyyy-MM"))
     if exists:
-        months = batch.select("month").distinct()
-        stored = spark.read.schema(PRICES + ", batch long, month string").parquet(path).join(months, "month", "left_semi").drop("month")
+        stored = months_of_book(spark, path, [r.month for r in batch.select("month").distinct().collect()])
     else:
         stored = spark.createDataFrame([], PRICES + ", batch long")
     merged = upsert_prices(stored, batch.drop("month"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import compound, week_ending_friday
 from ..operators.versioning import affected_months, diff_observations, keep_latest, update_summary
 from ..schemas import PRICES
 from ..sources.prices import merge_into_book
@@ -35,12 +35,15 @@ def upsert_stream(stream: DataFrame, book: str, state: str):
 def refit_stream(stream: DataFrame, stored: Callable[[], DataFrame], month_ends: DataFrame, sink: str, state: str):
     """Diff each micro-batch of factor observations and append the months to fit again.
 
-    ``stored`` re-reads the current observations for every batch.
+    ``stored`` re-reads the current observations for every batch; only dates inside the batch's range are compared.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = stored()
-        summary = update_summary(diff_observations(batch, current), current)
+        first, last = batch.agg(F.min("date"), F.max("date")).first()
+        changes = diff_observations(batch, current.where(F.col("date").between(F.lit(first), F.lit(last))))
+        found = update_summary(changes, current)
+        summary = batch.sparkSession.createDataFrame([found.first()], found.schema)  # one row, evaluated once
         months = affected_months(summary, month_ends)
         s = summary.select("mode", "changed_observations", F.lit(1).alias("k"))
         months.withColumn("k", F.lit(1)).join(s, "k").drop("k").withColumn("batch_id", F.lit(batch_id)).write.mode(
@@ -50,72 +53,66 @@ def refit_stream(stream: DataFrame, stored: Callable[[], DataFrame], month_ends:
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
 
 
-def weekly_stream(stream: DataFrame, ts: str = "ts", value: str = "ret", key: str = "ticker", delay: str = "7 days"):
-    """Friday-ending weekly compounding of a return stream with a watermark for late rows."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(key, F.window(ts, "7 days", "7 days", "2 days").alias("w"))
-        .agg((F.product(1 + F.col(value)) - 1).alias(value))
-        .select(key, F.date_sub(F.to_date("w.end"), 1).alias("week"), value)
-    )
+def weekly_stream(stream: DataFrame, sink: str, state: str, ts: str = "ts", value: str = "ret", key: str = "ticker"):
+    """Friday-ending weekly compounding of a return stream; a late row corrects its week, however old.
 
-
-def weekly_to_table(stream: DataFrame, sink: str, state: str):
-    """Write changed weekly bars per micro-batch; :func:`weekly_table` keeps the newest of each."""
+    Rows are kept by week under ``{sink}/rows``, the latest batch of a (key, ts) counting.  Each micro-batch compounds the
+    weeks it touches again and appends them to ``{sink}/bars``; :func:`weekly_table` keeps the newest of each.
+    Replaying a batch changes nothing.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink)
-
-    return (
-        weekly_stream(stream).writeStream.outputMode("update").foreachBatch(apply)
-        .option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
-    )
+        spark = batch.sparkSession
+        rows = batch.select(key, F.col(ts).alias("ts"), F.col(value).alias("ret"), F.lit(batch_id).cast("long").alias("batch"), week_ending_friday(F.to_date(ts)).alias("week"))
+        rows.hint("rebalance", F.col("week")).write.mode("append").partitionBy("week").parquet(f"{sink}/rows")
+        touched = rows.select(key, "week").distinct()
+        weeks = [r.week for r in touched.select("week").distinct().collect()]  # dates only: one value per calendar week of the batch
+        kept = spark.read.schema(rows.schema).parquet(f"{sink}/rows").where(F.col("week").isin(weeks))
+        kept = keep_latest(kept.join(touched, [key, "week"], "left_semi"), [key, "week", "ts"], "batch")
+        bars = kept.groupBy(key, "week").agg(compound("ret").alias(value), F.lit(batch_id).cast("long").alias("batch"))
+        bars.write.mode("append").parquet(f"{sink}/bars")
 
-
-def weekly_table(spark: SparkSession, sink: str) -> DataFrame:
-    return keep_latest(spark.read.parquet(sink), ["ticker", "week"], "batch")
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
 
 
-BREACH_EVENTS = "limit_id string, event string, as_of date, observed_value double, slack double"
+def weekly_table(spark: SparkSession, sink: str, key: str = "ticker") -> DataFrame:
+    return keep_latest(spark.read.parquet(f"{sink}/bars"), [key, "week"], "batch").drop("batch")
 
 
 def breach_events(evaluations: DataFrame) -> DataFrame:
-    """Open / update / resolve events of risk limits, with one keyed state per limit.
+    """Open / update / resolve events of risk limits from ``evaluations(limit_id, as_of, value, slack)``.
 
-    ``evaluations(limit_id, as_of, value, slack)``; the state holds whether the limit is open.
+    A breached date opens an event or updates the one of the date before; the first date back inside resolves it.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    dates = Window.partitionBy("limit_id").orderBy("as_of")  # one row per evaluated date
+    breached = F.col("slack") < 0
+    was = F.coalesce(F.lag(breached).over(dates), F.lit(False))
+    event = F.when(breached & was, "update").when(breached, "open").when(was, "resolved")
+    return evaluations.select("limit_id", event.alias("event"), "as_of", F.col("value").alias("observed_value"), "slack").where("event is not null")
 
-    class Lifecycle(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._open = handle.getValueState("open", "is_open boolean")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            frames = list(rows)
-            pdf = pd.concat(frames).sort_values("as_of") if frames else pd.DataFrame()
-            opened = bool(self._open.get()[0]) if self._open.exists() else False
-            out = []
-            for r in pdf.itertuples(index=False):
-                breached = r.slack < 0
-                if breached:
-                    out.append((key[0], "update" if opened else "open", r.as_of, r.value, r.slack))
-                elif opened:
-                    out.append((key[0], "resolved", r.as_of, r.value, r.slack))
-                opened = breached
-            self._open.update((opened,))
-            yield pd.DataFrame(out, columns=["limit_id", "event", "as_of", "observed_value", "slack"])
+def breach_stream(stream: DataFrame, sink: str, state: str):
+    """Events of a stream of evaluations; a late or repeated date corrects the limit's history.
 
-        def close(self) -> None:
-            pass
-
-    return evaluations.groupBy("limit_id").transformWithStateInPandas(
-        statefulProcessor=Lifecycle(), outputStructType=BREACH_EVENTS, outputMode="Append", timeMode="None"
-    )
+    Evaluations, one per limit and date, are kept under ``{sink}/evaluations``.  Each micro-batch derives the events of the limits
+    it touches again and appends them to ``{sink}/events``; :func:`breach_table` keeps each limit's newest set.
+    """
 
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark, number = batch.sparkSession, F.lit(batch_id).cast("long").alias("batch")
+        rows = batch.select("limit_id", "as_of", "value", "slack", number)
+        rows.write.mode("append").parquet(f"{sink}/evaluations")
+        touched = rows.select("limit_id").distinct()
+        kept = spark.read.schema(rows.schema).parquet(f"{sink}/evaluations").join(touched, "limit_id", "left_semi")
+        events = breach_events(keep_latest(kept, ["limit_id", "as_of"], "batch").drop("batch"))
+        # a touched limit without events leaves a row too, so that it replaces an older set
+        touched.join(events, "limit_id", "left").select("*", number).write.mode("append").parquet(f"{sink}/events")
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keyed state of arbitrary operators needs the RocksDB provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def breach_table(spark: SparkSession, sink: str) -> DataFrame:
+    events = spark.read.parquet(f"{sink}/events")
+    newest = events.groupBy("limit_id").agg(F.max("batch").alias("batch"))
+    # a replayed batch may have written its set twice
+    return events.join(newest, ["limit_id", "batch"], "left_semi").where("event is not null").drop("batch").distinct()

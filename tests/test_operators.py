@@ -268,6 +268,31 @@ def screen_tables(spark):
     return fits, e
 
 
+def test_upserts_read_only_touched_months(spark, tmp_path):
+    from panelloom.sources.prices import months_of_book, write_prices
+
+    rows = [("A", dt.date(2020, m, 3), float(m), 0) for m in (1, 2, 3)]
+    write_prices(spark.createDataFrame(rows, "ticker string, date date, close double, batch long"), str(tmp_path / "book"))
+    part = months_of_book(spark, str(tmp_path / "book"), ["2020-02"])
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: ["):].split("PushedFilters")[0]
+    assert "month" in filters and "2020-02" in filters
+    assert [r.close for r in part.collect()] == [2.0]
+
+
+def test_late_weekly_rows_correct_old_weeks(spark, tmp_path):
+    from panelloom.streaming import flows
+
+    folder = str(tmp_path)
+    batches = [[("A", "2020-06-01 00:00:00", 0.1)], [("A", "2020-01-06 00:00:00", 0.2), ("A", "2020-06-02 00:00:00", 0.1)], [("A", "2020-06-01 00:00:00", 0.5)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ticker string, ts string, ret double").selectExpr("ticker", "cast(ts as timestamp) ts", "ret").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("ticker string, ts timestamp, ret double").parquet(f"{folder}/in")
+        flows.weekly_stream(stream, f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    got = {str(r.week): r.ret for r in flows.weekly_table(spark, f"{folder}/out").collect()}
+    assert got == pytest.approx({"2020-01-10": 0.2, "2020-06-05": 1.5 * 1.1 - 1})
+
+
 def test_unknown_factors_raise(spark):
     fits, e = screen_tables(spark)
     for weights, regimes in (({"quality": 1, "qualty": 1}, None), ({"quality": 1}, {"rsk": 0.5})):
