@@ -136,7 +136,10 @@ def exposure_grid(
         raise ValueError(f"at most {MAX_FACTORS} factors in one design")
     design = design_panel(factors, order)
     eff = effective_dates(design, calendar, ends, levels, order)
-    narrow = returns.where("ret is not null").select("ticker", "date", "idx", "ret")
+    # only rows inside a window of a requested month are shuffled, so a refit of one month does not move all history
+    place = F.explode("eff.idx").alias("i")
+    first, last = (eff.select(place).agg(edge("i").alias("i")).scalar() for edge in (F.min, F.max))
+    narrow = returns.where("ret is not null").where((F.col("idx") > first - window) & (F.col("idx") <= last)).select("ticker", "date", "idx", "ret")
     # A month is fitted while the trailing window can still hold the minimum.
     spare = int(window / 20) + 2
     spans = narrow.groupBy("ticker").agg(month_start(F.min("date")).alias("a"), month_start(F.max("date")).alias("b"))

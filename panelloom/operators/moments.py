@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
@@ -122,11 +122,10 @@ def covariance(
 
 def correlation(df: DataFrame, series: str, value: str, names: Sequence[str], *, last: int | None = 252):
     """Pairwise correlation over the last ``last`` dates of the panel."""
-    wide = wide_panel(df, series, value, names)
     if last is not None:
-        newest = Window.orderBy(F.desc("date"))  # one row per calendar date
-        wide = wide.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= last)
-    return _matrix(wide, names, (), "corr")
+        dates = df.where(F.col(series).isin(list(names))).select("date").distinct().orderBy(F.desc("date")).limit(last)
+        df = df.where(F.col("date") >= dates.agg(F.min("date").alias("date")).scalar())  # before the pivot
+    return _matrix(wide_panel(df, series, value, names), names, (), "corr")
 
 
 def complete_covariance(

@@ -443,3 +443,19 @@ def test_factor_model_layers(spark):
     assert counts["Market"] > counts["Rate"] > counts["S"] > counts["I"] > counts["C"] > counts["T"] > 0
     with pytest.raises(Exception, match="missing proxy"):
         factor_model.build_model(r, macro=(("Market", "raw", "M1", None, 1),), style=(), sectors={"S": "S1"}, industries={"I": "NONE"}, countries={}, themes=[])
+
+
+def test_fits_of_one_month_equal_those_of_all(spark):
+    _, book_df = random_book(spark, ["A", "B", "C"], n=420)
+    cal = calendar.trading_calendar(book_df)
+    rets = returns.simple_returns(book_df, cal)
+    factors = rets.where("ret is not null and ticker = 'C'").select(F.lit("M").alias("factor"), "date", "ret")
+    ends = calendar.month_ends(cal)
+    newest = ends.orderBy(F.desc("month_end")).limit(1)
+    settings = {"levels": {"base": ["M"]}, "window": 90, "minimum": 60, "selection_mode": "fixed"}
+    every = exposures.exposure_grid(rets, factors, cal, ends, **settings)
+    one = exposures.exposure_grid(rets, factors, cal, newest, **settings).toPandas().sort_values("ticker").reset_index(drop=True)
+    period = one["period"].iloc[0]
+    same = every.where(F.col("period") == F.lit(period)).toPandas().sort_values("ticker").reset_index(drop=True)
+    assert len(one) == 3
+    pd.testing.assert_frame_equal(one, same)
