@@ -70,16 +70,16 @@ COUNTRIES = {
 }
 
 THEMES = {
-    "Theme: AI Capex & Data Centers": "NVDA AMD AVGO ANET VRT DELL SMCI EQIX DLR MU MRVL",
-    "Theme: Space Economy": "LMT NOC RTX BA GD LHX TDY HEI IRDM VSAT",
-    "Theme: Quantum Computing": "IBM GOOGL MSFT HON INTC NVDA AMAT MU ACN",
-    "Theme: Electrification & Power Infrastructure": "ETN PWR HUBB AME GE VRT EME NVT PH ROK",
-    "Theme: Semiconductor Supply Chain": "ASML AMAT LRCX KLAC TER MCHP ON NXPI ADI SWKS QCOM",
-    "Theme: Cybersecurity": "PANW FTNT CHKP CRWD ZS OKTA AKAM GEN TENB RPD",
-    "Theme: Robotics & Automation": "ROK AME TER ISRG SYK DE CAT HON EMR ZBRA",
-    "Theme: Nuclear & Uranium": "CCJ BWXT LEU UEC NXE DNN UUUU EXC DUK VST",
-    "Theme: Defense & Autonomous Systems": "LMT NOC RTX GD LHX AVAV KTOS LDOS HII TXT",
-    "Theme: Digital Assets Infrastructure": "MSTR MARA RIOT CLSK HUT XYZ PYPL NVDA AMD CME",
+    "Theme: AI Capex & Data Centers": ("NVDA", "AMD", "AVGO", "ANET", "VRT", "DELL", "SMCI", "EQIX", "DLR", "MU", "MRVL"),
+    "Theme: Space Economy": ("LMT", "NOC", "RTX", "BA", "GD", "LHX", "TDY", "HEI", "IRDM", "VSAT"),
+    "Theme: Quantum Computing": ("IBM", "GOOGL", "MSFT", "HON", "INTC", "NVDA", "AMAT", "MU", "ACN"),
+    "Theme: Electrification & Power Infrastructure": ("ETN", "PWR", "HUBB", "AME", "GE", "VRT", "EME", "NVT", "PH", "ROK"),
+    "Theme: Semiconductor Supply Chain": ("ASML", "AMAT", "LRCX", "KLAC", "TER", "MCHP", "ON", "NXPI", "ADI", "SWKS", "QCOM"),
+    "Theme: Cybersecurity": ("PANW", "FTNT", "CHKP", "CRWD", "ZS", "OKTA", "AKAM", "GEN", "TENB", "RPD"),
+    "Theme: Robotics & Automation": ("ROK", "AME", "TER", "ISRG", "SYK", "DE", "CAT", "HON", "EMR", "ZBRA"),
+    "Theme: Nuclear & Uranium": ("CCJ", "BWXT", "LEU", "UEC", "NXE", "DNN", "UUUU", "EXC", "DUK", "VST"),
+    "Theme: Defense & Autonomous Systems": ("LMT", "NOC", "RTX", "GD", "LHX", "AVAV", "KTOS", "LDOS", "HII", "TXT"),
+    "Theme: Digital Assets Infrastructure": ("MSTR", "MARA", "RIOT", "CLSK", "HUT", "XYZ", "PYPL", "NVDA", "AMD", "CME"),
 }
 
 # Catalog name -> construction name, where the two differ.
@@ -125,7 +125,7 @@ TARGET_VOLATILITY = 0.10
 
 
 def theme_members(themes=THEMES) -> list[tuple[str, str]]:
-    return [(name, ticker) for name, text in themes.items() for ticker in text.split()]
+    return [(name, ticker) for name, members in themes.items() for ticker in members]
 
 
 def proxy_tickers() -> list[str]:

@@ -32,7 +32,7 @@ def specifications(spark: SparkSession) -> DataFrame:
     rows += [(n, "style", "strip", lo, None, h, 1, None) for n, lo, h in C.STYLE]
     for layer, table in (("sector", C.SECTORS), ("industry", C.INDUSTRIES), ("country", C.COUNTRIES)):
         rows += [(n, layer, "strip", etf, None, None, 1, None) for n, etf in table.items()]
-    rows += [(n, "thematic", "strip", None, None, None, 1, t.split()) for n, t in C.THEMES.items()]
+    rows += [(n, "thematic", "strip", None, None, None, 1, list(t)) for n, t in C.THEMES.items()]
     return spark.createDataFrame(
         rows,
         "construction string, layer string, spec_kind string, long_leg string, short_leg string, "
@@ -42,6 +42,7 @@ def specifications(spark: SparkSession) -> DataFrame:
 
 def construction_details(specs: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """User-facing construction metadata derived from the specs."""
+    # The labels below are part of the results.
     kind = (
         F.when((F.col("layer") == "macro") & F.col("short_leg").isNotNull(), "long_short")
         .when((F.col("layer") == "macro") & (F.col("sign") == -1), "inverted_etf")

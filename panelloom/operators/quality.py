@@ -47,6 +47,7 @@ def stock_coverage(fits: DataFrame, by=("level",)) -> DataFrame:
 
 def quality_flags(df: DataFrame, factor: str = "factor") -> DataFrame:
     f = F.col(factor)
+    # The flags are part of the results.
     flag = (
         F.when(f == "Liquidity", "weak_proxy_liquidity")
         .when(f.isin("LowVolatility", "BetaFactor"), "collinear_style_pair")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, normalize_ticker
 from ..operators.versioning import keep_latest
 
+# A column of the source file, the accepted range, defaults of missing texts.
 RATE_COLUMN = "13 WEEKS COUPON EQUIVALENT"
 RATE_RANGE = (-0.01, 0.25)
 TEXT_DEFAULTS = {"name": "", "asset_type": "stock", "sector": "", "industry": "", "exchange": "", "currency": "USD"}
