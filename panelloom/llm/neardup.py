@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
@@ -15,8 +15,8 @@ from .common import U64, shingles, slices, small_batches, word_hashes, word_span
 
 #: Words of a shingle; linked at PERCENT or more; bands of ROWS signature values; values compared at once; chance of pruning a true link.
 SHINGLE, PERCENT, BANDS, ROWS, BATCH, MISS = 4, 80, 25, 5, 25, 1e-5
-#: Documents in a block of a bucket; shingles in a block of a group; columns of an incidence matrix.
-BLOCK, SHINGLES, COLUMNS = 512, 1 << 17, 4096
+#: Documents in a block of a bucket; shingles in a block of a group; columns of an incidence matrix; members that meet a whole group at first.
+BLOCK, SHINGLES, COLUMNS, LEADS = 512, 1 << 17, 4096, 4
 HASHES = BANDS * ROWS
 _DRAW = np.random.default_rng(404)
 _FACTOR = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -103,8 +103,8 @@ def overlapping(left: list[np.ndarray], right: list[np.ndarray], percent: int =
     return np.nonzero((100 * counts >= percent * (total - counts)) & (counts > 0))
 
 
-def spanning(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For nodes with ascending ``ids`` linked by index pairs: (smallest id of the node's component, id), but for the smallest itself."""
+def spanning(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For nodes with ascending ``ids`` linked by index pairs: (smallest id of the node's component, id, number of links) of every linked node."""
     label = np.arange(len(ids))
     while len(p):
         low = np.minimum(label[p], label[q])
@@ -115,20 +115,26 @@ def spanning(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray,
         if (new == label).all():
             break
         label = new
-    own = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[own]], ids[own]
+    own = p != q
+    links = np.bincount(p[own], minlength=len(ids)) + np.bincount(q[own], minlength=len(ids))
+    at = np.flatnonzero(links)
+    return ids[label[at]], ids[at], links[at]
 
 
 def linked_in_blocks(members: DataFrame, load: str, most: int, test) -> DataFrame:
-    """Edges (a, b) that join what ``test`` links inside each group of ``members`` (grp, doc, payload).
+    """Edges (a, b, n) that join what ``test`` links between a lead and any member of its group, over ``members`` (grp, doc, payload, lead).
 
-    A group is dealt into blocks by a hash of doc, so many that a block holds about ``most`` of column ``load``; every pair of
-    blocks is one row, tested as a matrix in one go. A pair of blocks yields at most one edge a document, never its pairs.
+    A group is dealt into blocks by a hash of doc, leads apart from the others, so many that a block holds about ``most`` of
+    column ``load``; every block of leads meets every block of its group in one row, tested as a matrix in one go. A row is
+    copied once a block of leads, a lead once a block. A pair of blocks yields at most one edge a document, never its
+    pairs: a is the smallest id that b is joined to there (itself at times), n the number of b's links.
     ``test`` takes two lists of payloads and returns linked index pairs.
     """
-    sizes = members.groupBy("grp").agg(F.sum(load).alias("all"))
-    dealt = members.join(sizes, "grp").withColumn("k", F.ceil(F.col("all") / most).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    copies = dealt.select("grp", "blk", "doc", "payload", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    blocks_of = [F.ceil(F.coalesce(F.sum(F.when(side, F.col(load))), F.lit(0)) / most).cast("int") for side in (F.col("lead"), ~F.col("lead"))]
+    sizes = members.groupBy("grp").agg(blocks_of[0].alias("leads"), blocks_of[1].alias("others")).where("leads > 0")
+    dealt = members.join(sizes, "grp").withColumn("blk", F.expr("int(if(lead, pmod(xxhash64(doc), leads), leads + pmod(xxhash64(doc), others)))"))
+    meets = F.sequence(F.lit(0), F.expr("if(lead, leads + others, leads) - 1"))
+    copies = dealt.select("grp", "blk", "doc", "payload", F.explode(meets).alias("other"))
     copies = copies.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
     # dealt by all three, as rows that lie together by group already would all stay in one task
     rows = copies.repartition("grp", "i", "j").groupBy("grp", "i", "j").agg(
@@ -136,7 +142,7 @@ def linked_in_blocks(members: DataFrame, load: str, most: int, test) -> DataFram
 
     def run(batches):
         for b in batches:
-            edges = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            edges = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for i, j, docs in zip(b["i"].to_pylist(), b["j"].to_pylist(), b["docs"]):
                 docs = docs.values
                 ids, order = np.unique(docs.field("doc").to_numpy(), return_index=True)
@@ -148,9 +154,44 @@ def linked_in_blocks(members: DataFrame, load: str, most: int, test) -> DataFram
                 p, q = test([payload[x] for x in left], [payload[x] for x in right])
                 for side, found in zip(edges, spanning(ids, left[p], right[q])):
                     side.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in edges], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in edges], names=["a", "b", "n"])
 
-    return rows.select("i", "j", "docs").mapInArrow(run, "a bigint, b bigint").distinct()
+    found = rows.select("i", "j", "docs").mapInArrow(run, "a bigint, b bigint, n bigint")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def linked_components(members: DataFrame, load: str, most: int, test) -> DataFrame:
+    """(doc, comp) of what ``test`` links inside any group of ``members`` (grp, doc, payload, and the size of a row in ``load``).
+
+    Only what is joined counts, so pairs that are joined already need no test. First LEADS drawn members of each group meet
+    all of it, then, where a group isn't all joined, the LEADS with most links so far. At last every member outside the
+    group's largest part meets the whole group: with that, each pair is either joined or tested. A group of copies of one
+    text is thus settled in time linear in its size; only a large group that falls apart needs more.
+    """
+    drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(r))) for r in range(LEADS)]
+    leads = members.groupBy("grp").agg(F.array(*drawn).alias("leads"))
+    asked = members.join(leads, "grp").withColumn("lead", F.array_contains("leads", F.col("doc"))).drop("leads")
+    edges = scratch_table(linked_in_blocks(asked, load, most, test), "drawn-links")
+    comp = components(edges)
+    for last in (False, True):
+        placed = members.select("grp", "doc").distinct().join(comp, "doc", "left").select("grp", "doc", F.coalesce("comp", "doc").alias("part"))
+        parts = placed.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(
+            F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
+        # of two members one has met the other
+        apart = placed.join(parts.where("parts > 1 and size > 2"), "grp")
+        if last:
+            apart = apart.withColumn("lead", F.col("part") != F.col("main"))
+        else:
+            degree = edges.groupBy(F.col("b").alias("doc")).agg(F.sum("n").alias("links"))
+            best = Window.partitionBy("grp").orderBy(F.desc("links"), "doc")
+            liked = apart.select("grp", "doc").join(degree, "doc").withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADS)
+            apart = apart.join(liked.select("grp", "doc", F.lit(True).alias("liked")), ["grp", "doc"], "left").withColumn("lead", F.coalesce("liked", F.lit(False)))
+        apart = scratch_table(apart.select("grp", "doc", "lead"), "apart")
+        if apart.isEmpty():
+            return comp
+        edges = edges.unionByName(scratch_table(linked_in_blocks(members.join(apart, ["grp", "doc"]), load, most, test), "more-links"))
+        comp = components(edges)
+    return comp
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,9 +224,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Equal sets fall together by fingerprint, so one document of each set goes on. Sets that share a band of their signatures
     are candidates (a link at the threshold is missed with chance (1 - 0.8**5)**25 = 5e-5). The posterior of a candidate's
-    similarity prunes it after any batch of values; what is left falls into groups, and inside a group all pairs are
-    confirmed on full sets. Both tests run on pairs of blocks, so that neither a large bucket nor a large group is ever
-    expanded into rows of pairs or held by one task. Only texts of documents in groups are looked at again.
+    similarity prunes it after any batch of values; what is left falls into groups, and inside a group links are confirmed on
+    full sets, for all pairs but those that confirmed links join already. Both tests run on pairs of blocks, so that neither a large bucket
+    nor a large group is ever expanded into rows of pairs or held by one task. Only texts of documents in groups are looked at again.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     sigs = scratch_table(signatures(docs, size), "signatures")
@@ -206,10 +247,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             payload = [x.astype("<u8").tobytes() for x in text_shingles(b["text"], size)]
             yield pa.RecordBatch.from_arrays([b["grp"], b["doc"], pa.array(payload, type=pa.binary()), pa.array([len(x) // 8 for x in payload], type=pa.int64())], names=["grp", "doc", "payload", "n"])
 
-    groups = components(scratch_table(linked_in_blocks(buckets, "one", BLOCK, by_signature), "possible"))
+    groups = linked_components(scratch_table(buckets, "buckets"), "one", BLOCK, by_signature)
     texts = docs.join(groups, docs["doc_id"] == groups["doc"]).select(F.col("comp").alias("grp"), "doc", "text")
     full = scratch_table(texts.mapInArrow(load, "grp bigint, doc bigint, payload binary, n bigint"), "full-sets")
-    comp = components(scratch_table(linked_in_blocks(full, "n", SHINGLES, by_set), "links"))
+    comp = linked_components(full, "n", SHINGLES, by_set)
 
     classes = sets.join(comp, "doc", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "doc").alias("comp"))
     out = sigs.drop("sig").join(classes, ["fp1", "fp2", "n_shingles"], "left")

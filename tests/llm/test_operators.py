@@ -89,6 +89,30 @@ def test_one_large_group_spreads_over_blocks(spark, monkeypatch):
     assert {r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {0}
 
 
+def test_groups_that_fall_apart_lose_no_link(spark, monkeypatch):
+    """A star whose spokes are linked to its centre alone, a chain, and two texts next to the star but not linked with it."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SHINGLES", 400)
+    base = [f"w{i}" for i in range(103)]
+
+    def changed(*at):
+        return " ".join(f"y{k}.{at}" if k in at else w for k, w in enumerate(base))
+
+    texts = [changed(k, k + 40) for k in range(5, 35)] + [" ".join(base)] + [changed(*range(3, 100, 12)), changed(*range(6, 100, 12))]
+    texts += [" ".join(f"c{i}" for i in range(12 * k, 12 * k + 120)) for k in range(9)]
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    root = list(range(len(texts)))
+    for a in root[:]:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if v == hi else v for v in root]
+    assert root[:31] == [0] * 31 and len(set(root[33:])) == 1 and len(set(root)) == 4
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     real = table(spark, SF, "documents")
     rows = mixing.mix_sources(real).collect()
