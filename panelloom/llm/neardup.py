@@ -132,6 +132,7 @@ def linked_in_blocks(members: DataFrame, load: str, most: int, test) -> DataFram
     """
     blocks_of = [F.ceil(F.coalesce(F.sum(F.when(side, F.col(load))), F.lit(0)) / most).cast("int") for side in (F.col("lead"), ~F.col("lead"))]
     sizes = members.groupBy("grp").agg(blocks_of[0].alias("leads"), blocks_of[1].alias("others")).where("leads > 0")
+    sizes = scratch_table(sizes, "group-sizes")  # an aggregate inside the join's stage would keep Spark from splitting a hot group there
     dealt = members.join(sizes, "grp").withColumn("blk", F.expr("int(if(lead, pmod(xxhash64(doc), leads), leads + pmod(xxhash64(doc), others)))"))
     meets = F.sequence(F.lit(0), F.expr("if(lead, leads + others, leads) - 1"))
     copies = dealt.select("grp", "blk", "doc", "payload", F.explode(meets).alias("other"))
@@ -169,7 +170,7 @@ def linked_components(members: DataFrame, load: str, most: int, test) -> DataFra
     text is thus settled in time linear in its size; only a large group that falls apart needs more.
     """
     drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(r))) for r in range(LEADS)]
-    leads = members.groupBy("grp").agg(F.array(*drawn).alias("leads"))
+    leads = scratch_table(members.groupBy("grp").agg(F.array(*drawn).alias("leads")), "leads")
     asked = members.join(leads, "grp").withColumn("lead", F.array_contains("leads", F.col("doc"))).drop("leads")
     edges = scratch_table(linked_in_blocks(asked, load, most, test), "drawn-links")
     comp = components(edges)
@@ -178,7 +179,7 @@ def linked_components(members: DataFrame, load: str, most: int, test) -> DataFra
         parts = placed.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp").agg(
             F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("size"))
         # of two members one has met the other
-        apart = placed.join(parts.where("parts > 1 and size > 2"), "grp")
+        apart = placed.join(scratch_table(parts.where("parts > 1 and size > 2"), "parts"), "grp")
         if last:
             apart = apart.withColumn("lead", F.col("part") != F.col("main"))
         else:
@@ -233,7 +234,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     sets = sigs.where("sig is not null and doc_id is not null").groupBy("fp1", "fp2", "n_shingles", "sig").agg(F.min("doc_id").alias("doc"))
     sets = scratch_table(sets, "sets")
     bands = sets.select("doc", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)])).alias("grp"))
-    shared = bands.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    shared = scratch_table(bands.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "shared")
     buckets = bands.join(shared, "grp").join(sets.select("doc", F.col("sig").alias("payload")), "doc").withColumn("one", F.lit(1))
 
     def by_signature(left, right):
