@@ -1,9 +1,8 @@
-"""Covariance and Gram matrices of a named, bounded list of series.
+"""Covariance and Gram matrices of a named list of series.
 
-The series of a matrix (a factor catalog, the names of one portfolio) become columns of
-one row per date, and all entries come from a single partially aggregated pass: no
-self join and no pair rows per date.  Short lists use one SQL aggregate per entry;
-longer ones multiply each Arrow batch with itself and add up the batch moments.
+The series of a matrix (a factor catalog, the names of one portfolio) become one row of places and values per date.  Each
+Arrow batch of dates gives the moments of a tile of series against another, and the blocks add up in one partially
+aggregated pass: no self join and no pair rows per date.  There is one route for every number of series.
 Matrices leave in long form ``(row, col, value)``, both triangles.
 """
 
@@ -15,16 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_corr
-
-MAX_SERIES = 512
-SQL_SERIES = 10
+#: Series of a tile; a task holds the moments of two tiles per group at once.
+TILE = 256
 
 
 def wide_panel(df: DataFrame, series: str, value: str, names: Sequence[str], by: Sequence[str] = ("date",)):
     """One row per ``by`` with one column ``v0..vk`` per name, in order."""
-    if len(names) > MAX_SERIES:
-        raise ValueError(f"at most {MAX_SERIES} series per matrix; use the factor form of the covariance")
     return (
         df.where(F.col(series).isin(list(names)))
         .groupBy(*by)
@@ -32,155 +27,125 @@ def wide_panel(df: DataFrame, series: str, value: str, names: Sequence[str], by:
     )
 
 
-def _entries(aggregated: DataFrame, names: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
-    k = len(names)
-    cells = []
-    for i in range(k):
-        for j in range(k):
-            a, b = min(i, j), max(i, j)
-            cells.append(F.struct(F.lit(names[i]).alias("row"), F.lit(names[j]).alias("col"), F.col(f"m_{a}_{b}").alias(value)))
-    return aggregated.select(*by, F.explode(F.array(*cells)).alias("__c")).select(*by, "__c.*")
+def dated_rows(df: DataFrame, series: str, value: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, date, at, v): the places in ``names`` of the series present on a date and their values; the largest of repeated ones."""
+    places = df.sparkSession.createDataFrame(list(enumerate(names)), "__at int, __name string")
+    cells = df.where(F.col(value).isNotNull() & ~F.isnan(value)).join(places, F.col(series) == F.col("__name"))
+    cells = cells.groupBy(*by, "date", "__at").agg(F.max(F.col(value).cast("double")).alias("__v"))
+    rows = cells.groupBy(*by, "date").agg(F.sort_array(F.collect_list(F.struct("__at", "__v"))).alias("__c"))
+    return rows.select(*by, "date", F.col("__c.__at").alias("at"), F.col("__c.__v").alias("v"))
 
 
-def _batch_moments(wide: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _moments(rows: DataFrame, names: Sequence[str], by: Sequence[str], tile: int) -> DataFrame:
     """(by, row, col, n, cxy, cxx, cyy): pairwise-complete sums of centred products.
 
-    Every batch gives one K x K block per group, centred on its own pairwise means;
+    Every batch gives one block per group and pair of tiles, centred on its own pairwise means;
     blocks combine with the means of the batches, so no large sums cancel.
     """
     k = len(names)
-    columns = [f"v{i}" for i in range(k)]
-    types = {c: wide.schema[c].dataType.simpleString() for c in by}
+    tiles = -(-k // tile)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(tiles) for b in range(a, tiles)])
+    split = rows.withColumn("p", F.explode(pairs)).select(*by, "p.a", "p.b", F.arrays_zip("at", "v").alias("c"))
+    split = split.withColumn("c", F.filter("c", lambda c: F.floor(c["at"] / tile).isin(F.col("a"), F.col("b"))))
+    split = split.select(*by, "a", "b", F.col("c.at").alias("at"), F.col("c.v").alias("v"))
+    types = {c: rows.schema[c].dataType.simpleString() for c in by}
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for pdf in batches:
-            parts = pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]
-            for key, part in parts:
-                x = part[columns].to_numpy(dtype=float)
-                seen = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x)
-                n = seen.T @ seen
-                sx = x.T @ seen
-                sy = sx.T
+            for key, part in pdf.groupby([*by, "a", "b"], dropna=False, sort=False):
+                a, b = key[-2:]
+                line = np.repeat(np.arange(len(part)), [len(v) for v in part["at"]])
+                place, value = np.concatenate(part["at"].to_list()), np.concatenate(part["v"].to_list())
+                sides = []
+                for t in (a, b):
+                    own = place // tile == t
+                    x, seen = np.zeros((2, len(part), min(tile, k - t * tile)))
+                    x[line[own], place[own] - t * tile] = value[own]
+                    seen[line[own], place[own] - t * tile] = 1
+                    sides.append((x, seen))
+                (x, xs), (y, ys) = sides
+                n, sx, sy = xs.T @ ys, x.T @ ys, xs.T @ y
                 safe = np.where(n > 0, n, 1.0)
+                i, j = np.indices(n.shape)
                 out = {
-                    "i": np.repeat(np.arange(k), k), "j": np.tile(np.arange(k), k), "n": n.ravel(), "sx": sx.ravel(), "sy": sy.ravel(),
-                    "cxy": (x.T @ x - sx * sy / safe).ravel(),
-                    "cxx": ((x * x).T @ seen - sx * sx / safe).ravel(),
+                    "i": i + a * tile, "j": j + b * tile, "n": n, "sx": sx, "sy": sy,
+                    "cxy": x.T @ y - sx * sy / safe, "cxx": (x * x).T @ ys - sx * sx / safe, "cyy": xs.T @ (y * y) - sy * sy / safe,
                 }
-                frame = pd.DataFrame(out)
-                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
-                    frame[name] = value
+                frame = pd.DataFrame({c: v.ravel() for c, v in out.items()})
+                for name, level in zip(by, key):
+                    frame[name] = level
                 yield frame[frame["n"] > 0]
 
-    schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], "i int, j int, n double, sx double, sy double, cxy double, cxx double"])
-    order = [*by, "i", "j", "n", "sx", "sy", "cxy", "cxx"]
-    raw = wide.select(*by, *columns).mapInPandas(lambda it: (f[order] for f in blocks(it)), schema)
-    n, sx, sy = F.sum("n"), F.sum("sx"), F.sum("sy")
-    sums = raw.groupBy(*by, "i", "j").agg(
-        n.alias("n"),
-        (F.sum(F.col("cxy") + F.col("sx") * F.col("sy") / F.col("n")) - sx * sy / n).alias("cxy"),
-        (F.sum(F.col("cxx") + F.col("sx") * F.col("sx") / F.col("n")) - sx * sx / n).alias("cxx"),
-    )
-    back = sums.select(*by, F.col("i").alias("j"), F.col("j").alias("i"), F.col("cxx").alias("cyy"))
-    labels = F.array(*[F.lit(x) for x in names])
-    return sums.join(back, [*by, "i", "j"]).select(
-        *by, F.element_at(labels, F.col("i") + 1).alias("row"), F.element_at(labels, F.col("j") + 1).alias("col"), "n", "cxy", "cxx", "cyy"
-    )
+    sums = ["n", "sx", "sy", "cxy", "cxx", "cyy"]
+    order = [*by, "i", "j", *sums]
+    schema = ", ".join([*[f"{c} {t}" for c, t in types.items()], "i int, j int", *[f"{c} double" for c in sums]])
+    raw = split.mapInPandas(lambda it: (f[order] for f in blocks(it)), schema)
 
+    def joint(c: str, x: str, y: str):
+        return (F.sum(F.col(c) + F.col(x) * F.col(y) / F.col("n")) - F.sum(x) * F.sum(y) / F.sum("n")).alias(c)
 
-def _matrix(wide: DataFrame, names: Sequence[str], by: Sequence[str], kind: str, scale: float = 1.0) -> DataFrame:
-    """Covariance or correlation entries by the route that suits the number of series."""
-    k = len(names)
-    if k <= SQL_SERIES:
-        stat = (lambda a, b: F.covar_samp(a, b) * scale) if kind == "cov" else safe_corr
-        return _entries(_pairwise(wide, k, stat, by), names, by, "value")
-    m = _batch_moments(wide, names, by)
-    if kind == "cov":
-        value = F.when(F.col("n") > 1, F.col("cxy") / (F.col("n") - 1) * scale)
-    else:
-        root = F.sqrt(F.col("cxx") * F.col("cyy"))
-        value = F.when((F.col("n") > 1) & (root > 0), F.col("cxy") / root)
-    return m.select(*by, "row", "col", value.alias("value"))
-
-
-def _pairwise(wide: DataFrame, k: int, stat, by: Sequence[str]) -> DataFrame:
-    aggs = [stat(f"v{i}", f"v{j}").alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)]
-    return wide.groupBy(*by).agg(*aggs) if by else wide.agg(*aggs)
+    total = raw.groupBy(*by, "i", "j").agg(F.sum("n").alias("n"), joint("cxy", "sx", "sy"), joint("cxx", "sx", "sx"), joint("cyy", "sy", "sy"))
+    entry = F.struct("i", "j", "cxx", "cyy")
+    mirrored = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("cyy").alias("cxx"), F.col("cxx").alias("cyy"))
+    both = F.when(F.floor(F.col("i") / tile) == F.floor(F.col("j") / tile), F.array(entry)).otherwise(F.array(entry, mirrored))
+    labels = F.array(*[F.lit(x) for x in names])
+    return total.select(*by, "n", "cxy", F.explode(both).alias("e")).select(
+        *by, F.element_at(labels, F.col("e.i") + 1).alias("row"), F.element_at(labels, F.col("e.j") + 1).alias("col"), "n", "cxy", "e.cxx", "e.cyy"
+    )
 
 
 def covariance(
-    df: DataFrame, series: str, value: str, names: Sequence[str], *, annualize: int = 252, by: Sequence[str] = ()
+    df: DataFrame, series: str, value: str, names: Sequence[str], *, annualize: int = 252, by: Sequence[str] = (), tile: int = TILE
 ) -> DataFrame:
     """Pairwise-complete sample covariance, annualised; undefined entries are 0."""
-    wide = wide_panel(df, series, value, names, [*by, "date"])
-    out = _matrix(wide, names, by, "cov", annualize)
-    return out.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    m = _moments(dated_rows(df, series, value, names, by), names, by, tile)
+    known = m.select(*by, "row", "col", F.when(F.col("n") > 1, F.col("cxy") / (F.col("n") - 1) * annualize).alias("value"))
+    labels = F.array(*[F.lit(x) for x in names])
+    groups = df.where(F.col(series).isin(list(names))).select(*by).distinct() if by else df.sparkSession.range(1).select()
+    cells = groups.select(*by, F.explode(labels).alias("row")).select(*by, "row", F.explode(labels).alias("col"))
+    return cells.join(known, [*by, "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def correlation(df: DataFrame, series: str, value: str, names: Sequence[str], *, last: int | None = 252):
-    """Pairwise correlation over the last ``last`` dates of the panel."""
+def correlation(df: DataFrame, series: str, value: str, names: Sequence[str], *, last: int | None = 252, tile: int = TILE):
+    """Pairwise correlation over the last ``last`` dates of the panel; only pairs with a common date have a row."""
     if last is not None:
         dates = df.where(F.col(series).isin(list(names))).select("date").distinct().orderBy(F.desc("date")).limit(last)
         df = df.where(F.col("date") >= dates.agg(F.min("date").alias("date")).scalar())  # before the pivot
-    return _matrix(wide_panel(df, series, value, names), names, (), "corr")
+    root = F.sqrt(F.col("cxx") * F.col("cyy"))
+    value_ = F.when((F.col("n") > 1) & (root > 0), F.col("cxy") / root)
+    return _moments(dated_rows(df, series, value, names), names, (), tile).select("row", "col", value_.alias("value"))
 
 
 def complete_covariance(
-    df: DataFrame, series: str, value: str, names: Sequence[str], method: str = "ledoit_wolf", annualize: int = 252
+    df: DataFrame, series: str, value: str, names: Sequence[str], method: str = "ledoit_wolf", annualize: int = 252, tile: int = TILE
 ) -> DataFrame:
     """Covariance over the dates on which every series is present.
 
     Fewer than two such dates give no rows.  ``sample``, ``diagonal`` or ``ledoit_wolf``: shrinkage toward a scaled identity with
     the published optimal intensity, from sums of squares and products only.
     """
+    if method not in ("sample", "diagonal", "ledoit_wolf"):
+        raise ValueError(f"unknown covariance estimator: {method}")
     k = len(names)
-    wide = wide_panel(df, series, value, names).dropna(subset=[f"v{i}" for i in range(k)])
-    if method == "sample":
-        return _matrix(wide, names, (), "cov", annualize).where("value is not null")
-    if method == "diagonal":
-        out = _matrix(wide, names, (), "cov", annualize).where("value is not null")
-        return out.withColumn("value", F.when(F.col("row") == F.col("col"), F.col("value")).otherwise(F.lit(0.0)))
+    rows = dated_rows(df, series, value, names).where(F.size("at") == k)
+    m = _moments(rows, names, (), tile).where("n > 1")
+    same = F.col("row") == F.col("col")
     if method != "ledoit_wolf":
-        raise ValueError(f"unknown covariance estimator: {method}")
-    means = wide.agg(*[F.avg(f"v{i}").alias(f"a{i}") for i in range(k)])
-    # one-row side: the means of k columns
-    centred = wide.join(means, F.lit(True)).select(
-        *[(F.col(f"v{i}") - F.col(f"a{i}")).alias(f"v{i}") for i in range(k)]
-    )
-    norm2 = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(k)), F.lit(0.0))
-    moments = centred.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(norm2 * norm2).alias("fourth"),
-        *[F.avg(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)],
-    )
-    frob = sum(
-        ((1.0 if i == j else 2.0) * F.col(f"m_{i}_{j}") * F.col(f"m_{i}_{j}") for i in range(k) for j in range(i, k)),
-        F.lit(0.0),
-    )
-    trace = sum((F.col(f"m_{i}_{i}") for i in range(k)), F.lit(0.0))
-    sized = (
-        moments.where("n >= 2").withColumn("mu", trace / k)
-        .withColumn("frob", frob)
-        .withColumn("delta", (F.col("frob") - k * F.col("mu") * F.col("mu")) / k)
-        .withColumn("b", (F.col("fourth") / F.col("n") - F.col("frob")) / (k * F.col("n")))
-        .withColumn("shrink", F.when(F.col("delta") > 0, F.least("b", "delta") / F.col("delta")).otherwise(F.lit(0.0)))
-    )
-    cells = [
-        F.struct(
-            F.lit(names[i]).alias("row"),
-            F.lit(names[j]).alias("col"),
-            (
-                ((1 - F.col("shrink")) * F.col(f"m_{min(i, j)}_{max(i, j)}")
-                 + (F.col("shrink") * F.col("mu") if i == j else F.lit(0.0))) * annualize
-            ).alias("value"),
-        )
-        for i in range(k)
-        for j in range(k)
-    ]
-    return sized.select("shrink", F.explode(F.array(*cells)).alias("__c")).select("__c.*", "shrink")
+        entry = F.col("cxy") / (F.col("n") - 1) * annualize
+        return m.select("row", "col", (entry if method == "sample" else F.when(same, entry).otherwise(F.lit(0.0))).alias("value"))
+    m = m.select("row", "col", "n", (F.col("cxy") / F.col("n")).alias("m"))
+    cells = rows.select("date", F.explode(F.arrays_zip("at", "v")).alias("c")).select("date", "c.at", "c.v")
+    centred = cells.join(cells.groupBy("at").agg(F.avg("v").alias("mean")), "at").withColumn("d", F.col("v") - F.col("mean"))
+    lengths = centred.groupBy("date").agg(F.sum(F.col("d") * F.col("d")).alias("q"))
+    fourth = lengths.agg(F.sum(F.col("q") * F.col("q")).alias("q")).scalar()
+    sums = m.agg(F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("frob"), (F.sum(F.when(same, F.col("m"))) / k).alias("mu"))
+    sums = sums.withColumn("delta", (F.col("frob") - k * F.col("mu") * F.col("mu")) / k).withColumn("b", (fourth / F.col("n") - F.col("frob")) / (k * F.col("n")))
+    sums = sums.withColumn("shrink", F.when(F.col("delta") > 0, F.least("b", "delta") / F.col("delta")).otherwise(F.lit(0.0)))
+    out = m.withColumn("s", sums.select(F.struct("shrink", "mu").alias("s")).scalar())
+    diagonal = F.when(same, F.col("s.shrink") * F.col("s.mu")).otherwise(F.lit(0.0))
+    return out.select("row", "col", (((1 - F.col("s.shrink")) * F.col("m") + diagonal) * annualize).alias("value"), "s.shrink")
 
 
 def gram(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:

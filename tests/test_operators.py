@@ -353,19 +353,33 @@ def test_bounds_greedy_and_audit(spark):
     assert list(bad["kind"]) == ["turnover_cap"]
 
 
-def test_batched_moments_equal_sql_moments(spark, monkeypatch):
+def test_moments_by_tiles(spark):
     wide, p = random_book(spark, list("ABCDEF"), 300)
     wide.iloc[5:90, 2] = None
     p = book(spark, wide)
     r = returns.simple_returns(p, calendar.trading_calendar(p)).where("ret is not null")
     ret = wide.pct_change(fill_method=None)
-    for size in (0, 100):
-        monkeypatch.setattr(moments, "SQL_SERIES", size)
-        cov = moments.covariance(r, "ticker", "ret", list("ABCDEF")).toPandas().pivot(index="row", columns="col", values="value")
-        corr = moments.correlation(r, "ticker", "ret", list("ABCDEF"), last=None).toPandas().pivot(index="row", columns="col", values="value")
+    for tile in (4, 256):
+        cov = moments.covariance(r, "ticker", "ret", list("ABCDEF"), tile=tile).toPandas().pivot(index="row", columns="col", values="value")
+        corr = moments.correlation(r, "ticker", "ret", list("ABCDEF"), last=None, tile=tile).toPandas().pivot(index="row", columns="col", values="value")
         assert np.allclose(cov, ret.cov() * 252) and np.allclose(corr, ret.corr())
 
 
+def test_covariance_of_many_series(spark):
+    x = np.random.default_rng(6).normal(size=(40, 600))
+    rows = [(f"S{j:03d}", i, float(x[i, j])) for i in range(40) for j in range(600)]
+    df = spark.createDataFrame(rows, "ticker string, day int, ret double").withColumn("date", F.expr("date_add(date'2020-01-01', day)"))
+    names = [f"S{j:03d}" for j in range(600)]
+    out = moments.complete_covariance(df, "ticker", "ret", names).toPandas()
+    c = x - x.mean(axis=0)
+    m = c.T @ c / 40
+    mu, frob = np.trace(m) / 600, (m * m).sum()
+    delta = (frob - 600 * mu * mu) / 600
+    shrink = min((((c * c).sum(axis=1) ** 2).sum() / 40 - frob) / (600 * 40), delta) / delta
+    got = out.pivot(index="row", columns="col", values="value").to_numpy()
+    assert got.shape == (600, 600) and np.allclose(got, ((1 - shrink) * m + shrink * mu * np.eye(600)) * 252)
+
+
 def test_shrinkage_edges(spark):
     rng = np.random.default_rng(1)
     rows = [(t, float(v)) for t in "AB" for v in rng.normal(0, 0.01, 100)]
