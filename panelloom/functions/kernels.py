@@ -263,9 +263,3 @@ def allocate(
             break
     unit = grad / size
     return w, float(np.abs(project_budget(w - unit, low, high) - w).max()) < 1e-5
-
-
-def psd_repair(matrix: np.ndarray, floor: float = 1e-10) -> np.ndarray:
-    sym = (matrix + matrix.T) / 2
-    values, vectors = np.linalg.eigh(sym)
-    return (vectors * np.maximum(values, floor)) @ vectors.T

@@ -93,29 +93,6 @@ def gershgorin_floor(matrix: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("low").alias("eigenvalue_floor"), F.count(F.lit(1)).alias("size"))
 
 
-def repair_psd(matrix: DataFrame, key: str, floor: float = 1e-10) -> DataFrame:
-    """Raise eigenvalues to ``floor``; one (size-checked) matrix per group."""
-    packed = bounded_names(
-        matrix.groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("v")), [key]
-    ).select(key, "row", F.col("v.col").alias("cols"), F.col("v.value").alias("values"))
-    key_type = matrix.schema[key].dataType.simpleString()
-
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        from ..functions.kernels import psd_repair
-
-        pdf = pdf.sort_values("row")
-        fixed = psd_repair(np.stack(pdf["values"].to_numpy()), floor)
-        return pd.DataFrame({key: pdf[key], "row": pdf["row"], "cols": pdf["cols"], "values": list(fixed)})
-
-    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = packed.repartition(parts, key).groupBy(key).applyInPandas(fix, f"{key} {key_type}, row string, cols array<string>, values array<double>")
-    return out.select(key, "row", F.explode(F.arrays_zip("cols", "values")).alias("c")).select(
-        key, "row", F.col("c.cols").alias("col"), F.col("c.values").alias("value")
-    )
-
-
 def effective_bounds(
     names: DataFrame,
     *,

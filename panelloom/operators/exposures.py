@@ -21,7 +21,8 @@ from .calendar import per_date
 WINDOW_DAYS = 756
 MINIMUM_DAYS = 252
 HAC_LAGS = 5
-MAX_FACTORS = 128
+#: A design of so many factors at most is hinted for broadcast; for a wider one Catalyst picks the join by size.
+HINTED_FACTORS = 128
 # Labels stored with a fit.
 LABELS = {
     "fixed": "Fixed-model OLS/HAC",
@@ -132,8 +133,6 @@ def exposure_grid(
         raise ValueError("selection_mode must be elastic_net or fixed")
     levels = {k: list(v) for k, v in levels.items() if v}
     order = list(dict.fromkeys(f for names in levels.values() for f in names))
-    if len(order) > MAX_FACTORS:
-        raise ValueError(f"at most {MAX_FACTORS} factors in one design")
     design = design_panel(factors, order)
     eff = effective_dates(design, calendar, ends, levels, order)
     # only rows inside a window of a requested month are shuffled, so a refit of one month does not move all history
@@ -150,7 +149,8 @@ def exposure_grid(
     events = narrow.unionByName(marks, allowMissingColumns=True)
     # An explicit count keeps one solver task per core: adaptive coalescing looks at bytes only.
     parts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = events.repartition(parts, "ticker").join(per_date(design), "date", "left")
+    side = per_date(design) if len(order) <= HINTED_FACTORS else design
+    joined = events.repartition(parts, "ticker").join(side, "date", "left")
     fits = joined.groupBy("ticker").applyInPandas(
         _solver(levels, order, window, minimum, selection_mode, hac_lags), FIT_SCHEMA
     )

@@ -99,7 +99,7 @@ def holdings(spark, sf) -> DataFrame:
 
 def cash_rates(spark, sf) -> DataFrame:
     return (
-        table(spark, sf, "events").where("event_type = 'error'")
+        table(spark, sf, "events")
         .groupBy(F.col("ts").cast("date").alias("date"))
         .agg((F.max("value") / F.lit(10000.0)).alias("annualized_rate"))
     )

@@ -41,7 +41,7 @@ view(
 )
 view(
     "cash_rates",
-    "SELECT CAST(ts AS DATE) AS date, max(value) / 10000.0 AS annualized_rate FROM events WHERE event_type = 'error' GROUP BY 1",
+    "SELECT CAST(ts AS DATE) AS date, max(value) / 10000.0 AS annualized_rate FROM events GROUP BY 1",
 )
 
 

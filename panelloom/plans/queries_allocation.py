@@ -88,13 +88,6 @@ def _(spark, sf):
     return K.gershgorin_floor(sigma(spark, sf), BY)
 
 
-@query("psd_repair", "K2", "matrix row col value:4")
-def _(spark, sf):
-    m = sigma(spark, sf).withColumn("matrix", F.concat_ws("|", "portfolio", F.col("period").cast("string")))
-    # shifting the diagonal down makes the input indefinite
-    return K.repair_psd(m.withColumn("value", F.col("value") - F.when(F.col("row") == F.col("col"), F.lit(500.0)).otherwise(F.lit(0.0))), "matrix")
-
-
 @query("median_residual_volatility", "A20", "portfolio period:d filled:5", "SELECT portfolio, period, median(residual_volatility) AS filled FROM modelled WHERE ticker <> 'NATION_3' GROUP BY 1, 2", "modelled")
 def _(spark, sf):
     hidden = modelled(spark, sf).withColumn("residual_volatility", F.when(F.col("ticker") != "NATION_3", F.col("residual_volatility")))

@@ -303,7 +303,7 @@ def _(spark, sf):
 @query("exposure_grid_elastic_net", "F9 F12", "ticker level period:d active_factor_count:i observation_count:i adjusted_r2:6")
 def _(spark, sf):
     levels = {"three": ["STANDARD", "PROMO", "SMALL"], "six": list(X.FACTORS)}
-    return exposures.fit_rows(_grid(spark, sf, levels, "elastic_net", lambda cal: month_ends(cal, max_months=24)))
+    return exposures.fit_rows(_grid(spark, sf, levels, "elastic_net", month_ends))
 
 
 @query("latest_exposures", "F11", "ticker level as_of:d factor beta:6 standard_error:6 p_value:6")

@@ -267,7 +267,7 @@ def _(spark, sf):
     from .queries_risk import BY
 
     b = K.effective_bounds(names(spark, sf), max_weight=0.15, by=BY)
-    w = K.allocation_grid(b, sigma(spark, sf), by=BY, objectives=("min_variance",), risk_free_rate=0.02)
+    w = K.allocation_grid(b, sigma(spark, sf), by=BY, risk_free_rate=0.02)
     d = w.select(F.concat_ws("|", "portfolio", "objective").alias("strategy"), F.col("period").alias("signal_date"), "ticker", F.col("optimized_weight").alias("weight"))
     original = names(spark, sf).select(F.concat_ws("|", "portfolio", F.lit("original")).alias("strategy"), F.col("period").alias("signal_date"), "ticker", F.col("previous").alias("weight"))
     return replay.replay(d.unionByName(original), X.stock_monthly(spark, sf), X.month_calendar(spark, sf))

@@ -64,12 +64,12 @@ def _(spark, sf):
 
 @query(
     "factor_cov_pairwise", "A4", "row col value:5",
-    """SELECT x.t AS row, y.t AS col, coalesce(covar_samp(a.ret, b.ret), 0) * 252 AS value FROM (VALUES ('NATION_1'), ('NATION_2'), ('NATION_3'), ('NATION_4')) x(t) CROSS JOIN (VALUES ('NATION_1'), ('NATION_2'), ('NATION_3'), ('NATION_4')) y(t)
+    """SELECT x.t AS row, y.t AS col, coalesce(covar_samp(a.ret, b.ret), 0) * 252 AS value FROM (SELECT n_name AS t FROM nation) x CROSS JOIN (SELECT n_name AS t FROM nation) y
     LEFT JOIN (SELECT * FROM stock_ret WHERE ret IS NOT NULL) a ON a.ticker = x.t LEFT JOIN (SELECT * FROM stock_ret WHERE ret IS NOT NULL) b ON b.ticker = y.t AND b.date = a.date GROUP BY 1, 2""",
     "stock_ret",
 )
 def _(spark, sf):
-    return moments.covariance(X.stock_returns(spark, sf).where("ret is not null"), "ticker", "ret", [f"NATION_{i}" for i in (1, 2, 3, 4)])
+    return moments.covariance(X.stock_returns(spark, sf).where("ret is not null"), "ticker", "ret", [f"NATION_{i}" for i in range(25)])
 
 
 view("complete_days", "SELECT date FROM proxy_ret WHERE ret IS NOT NULL GROUP BY 1 HAVING count(*) = 6", "proxy_ret")

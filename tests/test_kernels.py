@@ -113,8 +113,3 @@ def test_allocations_beat_random_feasible_weights(objective):
     for _ in range(300):
         other = K.project_budget(w + rng.normal(size=8) * 0.1, low, high)
         assert loss(w) <= loss(other) + 1e-9
-
-
-def test_psd_repair():
-    fixed = K.psd_repair(np.array([[1.0, 2.0], [2.0, 1.0]]))
-    assert np.linalg.eigvalsh(fixed).min() >= 0

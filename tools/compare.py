@@ -68,6 +68,4 @@ if __name__ == "__main__":
             line = "ERROR " + str(exc)[:1500]
         counts[line[:5].strip()] = counts.get(line[:5].strip(), 0) + 1
         print(f"{name:40s} {line}", flush=True)
-        with open("/tmp/compare.log", "a") as log:
-            log.write(f"{name:40s} {line}\n")
     print(counts)
