@@ -18,8 +18,9 @@ UNDETERMINED = "und"
 PER_LANGUAGE, EXCERPT, DICTIONARY_BYTES = 320, 360, 110 << 10
 #: Texts are encoded in independent blocks of so many bytes, so that all parts of a long text weigh alike.
 BLOCK_BYTES, LEVEL = 4096, 6
-#: A prediction is rejected if its lead is below this share of the best size; sizes under EVIDENCE bytes can't show that and are kept.
-MARGIN, EVIDENCE = 0.002, 256
+#: A prediction is rejected if its lead in bytes is below MARGIN * best size + ALLOWANCE * its square root, at every size: leads of texts between
+#: two languages wander with the root of the size. As a share of the size the allowance shrinks smoothly with length; a tie never passes.
+MARGIN, ALLOWANCE = 0.002, 0.25
 SEED = 29
 
 
@@ -65,7 +66,7 @@ def fit_languages(docs: DataFrame, modulus: int = 4, held: int = 2, per_language
 
 
 def predict_language(docs: DataFrame, model: LanguageDictionaries, text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """``docs`` with lang_pred, score (share of the best under weights 2 ** -bytes) and rejected (lead below ``margin``).
+    """``docs`` with lang_pred, score (share of the best under weights 2 ** -bytes) and rejected (see MARGIN).
 
     A null text, one without a letter, and a model without languages give ``und``, score 0, rejected. Equal sizes go to the
     language with more documents. Extra columns pass through; those three names are replaced.
@@ -81,8 +82,8 @@ def predict_language(docs: DataFrame, model: LanguageDictionaries, text: str = "
                 s = sizes(t, compressors)
                 best = int(s.argmin())
                 others = np.delete(s, best)
-                lead = (others.min() - s[best]) / s[best] if len(others) else 1.0
-                out.append((names[best], float(1 / np.exp2(-(s - s[best]).astype(float)).sum()), bool(lead < margin and s[best] >= EVIDENCE)))
+                lead = others.min() - s[best] if len(others) else np.inf
+                out.append((names[best], float(1 / np.exp2(-(s - s[best]).astype(float)).sum()), bool(lead < margin * s[best] + ALLOWANCE * np.sqrt(s[best]))))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     lettered = F.col(text).rlike(r"\p{L}") if names else F.lit(False)

@@ -57,6 +57,28 @@ def test_language_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.95
 
 
+def test_narrow_leads_are_rejected_at_every_size(spark, monkeypatch):
+    best = [12, 60, 200, 255, 256, 1000, 100000]
+    model = language.LanguageDictionaries({"aa": b"", "bb": b"", "cc": b""})
+
+    def judged(lead):  # texts "x<best>"; the second language needs ``lead`` bytes more
+        def run(text, compressors):
+            return np.array([int(text[1:]), int(text[1:]) + lead(int(text[1:])), 10**9])
+
+        monkeypatch.setattr(language, "sizes", run)
+        rows = language.predict_language(docs(spark, [(n, f"x{n}", None, None, None, None) for n in best]), model).collect()
+        return [r.rejected for r in sorted(rows, key=lambda r: r.doc_id)]
+
+    assert judged(lambda n: 0) == [True] * len(best)
+    assert judged(lambda n: 1)[1:] == [True] * (len(best) - 1)
+    assert judged(lambda n: n // 10 + 1) == [False] * len(best)
+    real = language.LanguageDictionaries({"en": b"the cat sat on the mat and the dog ran over the old green hill ", "de": b"der hund lief durch den alten wald und die katze lag auf dem dach "})
+    monkeypatch.undo()
+    texts = ["qwzx", "the cat sat on the mat and the dog ran", "der hund lief durch den alten wald", "the cat sat on der hund lief d"]
+    got = {r.text: r for r in language.predict_language(docs(spark, [(i, t, None, None, None, None) for i, t in enumerate(texts)]), real).collect()}
+    assert [got[t].rejected for t in texts] == [True, False, False, True]
+
+
 def test_near_duplicates_against_brute_force(spark):
     real = table(spark, SF, "documents").select("doc_id", "text").where("doc_id < 400").collect()
     rows = [(r.doc_id, r.text) for r in real] + [(1001, None), (1002, ""), (1003, " \t "), (1004, "one TWO"), (1005, "One two"), (1006, real[0].text.upper()), (None, "one two"), (1007, " ".join(map(str, range(30000))))]
