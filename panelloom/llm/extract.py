@@ -18,6 +18,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_TAGS = frozenset("nav header footer aside form button select menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Their text is no text of the page, but they may stand inside a sentence.
+EMBEDDED = frozenset("svg math object iframe template".split())
+#: HTML that ends an open svg or math, unless inside one of HOLDS_HTML.
+BREAKOUT = ASIDE_TAGS | MAIN_TAGS | frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing meta nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext object iframe template".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header comment comments respond reply replies disqus "
@@ -28,7 +35,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|noscript|template|textarea|iframe|svg|math|object|option)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|noscript|textarea)(?=[\s/>])(?!\s*/>)[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-z][^>]*(?:>|\Z)",
@@ -68,7 +75,8 @@ class Block:
 def blocks(page: str | None) -> list[Block]:
     """Text between block-level tags, white space collapsed, character references decoded; empty ones are left out.
 
-    Comments, scripts, styles and titles are no text. An end tag closes up to the last open tag of its name and is
+    Comments, scripts, styles and titles are no text, nor is what stands in EMBEDDED elements up to their end or their parent's;
+    one that closes itself or has no end tag behind it on the page holds nothing. An end tag closes up to the last open tag of its name and is
     ignored without one. A container marked by its tag, or by its class, id or role, places all blocks inside it until a
     container inside is marked otherwise.
     """
@@ -76,7 +84,8 @@ def blocks(page: str | None) -> list[Block]:
     open_tags: list[tuple[str, int]] = []  # name, place from here on
     parts: list[str] = []
     linked: list[str] = []
-    heading = inside_link = 0
+    heading = inside_link = embedded = 0  # embedded: open tags of EMBEDDED
+    ends: dict[str, int] = {}  # where the last end tag of a name begins
 
     def flush() -> None:
         nonlocal parts, linked
@@ -87,11 +96,21 @@ def blocks(page: str | None) -> list[Block]:
         parts, linked = [], []
 
     def add(text: str) -> None:
-        if text:
+        if text and not embedded:
             parts.append(text)
             if inside_link:
                 linked.append(text)
 
+    def cut(i: int) -> None:
+        nonlocal embedded
+        embedded -= sum(t in EMBEDDED for t, _ in open_tags[i:])
+        del open_tags[i:]
+
+    def ended(name: str) -> bool:
+        if name not in ends:
+            ends[name] = max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
+        return ends[name] >= at
+
     at, page = 0, page or ""
     for m in TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -100,6 +119,24 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if embedded and not m["close"] and name in BREAKOUT:
+            i = next(i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] in EMBEDDED)
+            if open_tags[i][0] in ("svg", "math") and not any(t in HOLDS_HTML for t, _ in open_tags[i:]):
+                cut(i)
+        if name in EMBEDDED or embedded:
+            if m["close"]:
+                i = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), -1)
+                first = next((i for i, (t, _) in enumerate(open_tags) if t in EMBEDDED), len(open_tags))
+                if i >= first:
+                    cut(i)
+                if i < 0 or i >= first:
+                    continue
+                cut(first)  # the end of a parent
+            else:
+                if name not in VOID and not m["attrs"].endswith("/") and (name not in EMBEDDED or ended(name)):
+                    open_tags.append((name, -1))
+                    embedded += name in EMBEDDED
+                continue
         if name in INLINE:
             if name == "br":
                 add(" ")
@@ -113,7 +150,7 @@ def blocks(page: str | None) -> list[Block]:
                 heading = 0
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == name:
-                    del open_tags[i:]
+                    cut(i)
                     break
             continue
         if name in HEADINGS:
@@ -124,10 +161,16 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if open_tags and (open_tags[-1][0] == "p" or open_tags[-1][0] == name == "li"):
             open_tags.pop()  # such a start ends an open paragraph, a list item the one before
+        if open_tags and open_tags[-1][0] == "option" and (name in ("option", "optgroup") or not any(t in ("select", "datalist") for t, _ in open_tags)):
+            open_tags.pop()  # an option ends before the next, outside a list before any block
+        if name == "optgroup" and open_tags and open_tags[-1][0] == name:
+            open_tags.pop()
         outer = open_tags[-1][1] if open_tags else 0
         place = outer
         if name in MAIN_TAGS:
             place = 1
+        elif name in ("option", "optgroup"):
+            place = -1
         elif name in ASIDE_TAGS and not (name == "header" and outer == 1):
             place = -1
         if m["attrs"] and name not in ("html", "body"):

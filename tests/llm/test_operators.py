@@ -227,6 +227,26 @@ def test_extraction(spark):
     assert got[4].text == ("word " * 40).strip() and got[5].n_chars == 99999
 
 
+def texts_of(*pages):
+    return [r[0] for r in extract.main_texts(list(pages), extract.block_tree())]
+
+
+def test_embedded_elements_lose_no_article():
+    body = "word " * 40
+    article = f"<article><p>{body}</p></article>"
+    for before in (
+        "<select><option>A<option selected>B</select>", "<select><optgroup label=x><option>A<optgroup label=y><option>B</select>", "<datalist><option value=a><option value=b></datalist>", "<option>A<option>B",
+        "<svg width='1'/>", "<svg viewBox='0'><path d='M0'/><title>Icon</title><text>Icon</text></svg>", "<svg><path d='M0'><g>", "<div><svg><g></div>", "<svg><g><p></p><svg></svg>",
+        "<math/>", "<object data='a'/>", "<object data='a'>", "<object><p>no plugin</p></object>", "<iframe src='a'/>", "<iframe src='a'>", "<iframe>old browser</iframe>", "<svg><title/></svg>",
+        "<option-list>", "<title-bar></title-bar>", "<svg-icon name='a'></svg-icon>", "<object-view>", "<style-guide>", "<template><div><template></template>x</div></template>",
+    ):
+        assert texts_of(before + article) == [body.strip()], before
+    for inner in ("<svg><path/></svg>", "<math><mi>x</mi></math>", "<object>y</object>", "<iframe>y</iframe>", "<svg/>", "<svg><title>t</title><text>y</text></svg>", "<math><mtext><b>y</b></mtext></math>"):
+        assert texts_of(f"<article><p>{body}{inner} end</p></article>") == [body + "end"], inner
+    assert texts_of(f"<article><p>{body}<svg><text>y</p><p>{body}</p></svg></article>") == [body.strip() + "\n" + body.strip()]
+    assert texts_of(f"<script>a</scripts></script >{article}") == [body.strip()]
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
