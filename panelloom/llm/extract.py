@@ -31,6 +31,8 @@ ASIDE_WORDS = frozenset(
     "share sharing social related recommended widget widgets pagination pager toolbar copyright legal disclaimer login search contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("article content post entry main story".split())
+#: Parts of a class name that make it tell the state of a container rather than what it is, before or after an aside word.
+STATE_BEFORE, STATE_AFTER = frozenset("with without no has have".split()), frozenset("open opened closed enabled disabled none on off".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
@@ -46,11 +48,13 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 
 FEATURES = ("place", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: The labelled table the tree learns from: FEATURES and whether a reader would count the block to the article. ``place`` is that of
-#: the innermost marked container: -1 boilerplate, 0 none, 1 article. ``links`` are shares of a block's words inside links.
+#: the innermost marked container: -2 boilerplate by its tag or hidden, -1 boilerplate by its words alone, which may be wrong, 0 none, 1 article. ``links`` are shares of a block's words inside links.
 LABELLED = (
     (-1, 0, 6, 1.0, 0, 0.0, 5, 1.0, 0), (-1, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (-1, 0, 8, 0.0, 1, 1.0, 12, 0.0, 0), (-1, 0, 25, 0.0, 90, 0.0, 0, 0.0, 0),
     (-1, 0, 60, 0.1, 40, 0.0, 30, 0.0, 0), (-1, 1, 4, 0.0, 30, 0.0, 20, 0.0, 0), (-1, 0, 120, 0.0, 80, 0.0, 80, 0.0, 0), (-1, 0, 15, 0.5, 15, 0.5, 0, 0.0, 0),
     (-1, 0, 2, 0.0, 1, 0.0, 2, 0.0, 0), (-1, 0, 30, 0.9, 10, 1.0, 10, 1.0, 0), (-1, 1, 12, 0.0, 3, 1.0, 70, 0.0, 0), (-1, 0, 45, 0.3, 6, 1.0, 50, 0.0, 0),
+    (-1, 0, 200, 0.0, 80, 0.0, 80, 0.0, 1), (-1, 0, 300, 0.1, 120, 0.0, 20, 0.0, 1), (-1, 0, 240, 0.0, 5, 1.0, 6, 1.0, 1), (-1, 0, 200, 0.9, 5, 1.0, 30, 0.0, 0), (-1, 0, 300, 0.8, 0, 0.0, 0, 0.0, 0),
+    (-2, 0, 200, 0.0, 80, 0.0, 80, 0.0, 0), (-2, 0, 300, 0.1, 120, 0.0, 20, 0.0, 0), (-2, 0, 240, 0.0, 5, 1.0, 6, 1.0, 0), (-2, 0, 4, 1.0, 0, 0.0, 5, 1.0, 0), (-2, 1, 4, 0.0, 30, 0.0, 20, 0.0, 0),
     (1, 1, 12, 0.0, 8, 0.0, 90, 0.0, 1), (1, 0, 1, 0.0, 70, 0.0, 20, 0.0, 1), (1, 0, 90, 0.0, 12, 0.0, 100, 0.0, 1), (1, 0, 30, 0.2, 40, 0.0, 15, 0.0, 1),
     (1, 0, 3, 0.0, 100, 0.0, 25, 0.1, 1), (1, 0, 8, 0.4, 30, 0.0, 40, 0.0, 1), (1, 1, 2, 0.0, 50, 0.0, 60, 0.0, 1), (1, 0, 250, 0.05, 10, 0.0, 0, 0.0, 1),
     (1, 0, 20, 0.5, 60, 0.0, 12, 0.0, 1), (1, 0, 5, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0, 40, 0.0, 6, 1.0, 8, 1.0, 1), (1, 1, 6, 1.0, 0, 0.0, 80, 0.0, 1),
@@ -72,13 +76,42 @@ class Block:
     links: float  # share of its words inside links
 
 
+def marked(name: str, attrs: str, outer: int) -> int:
+    """Place inside a container with this tag and these attributes, in a container of place ``outer``.
+
+    A class, id or role is an aside name if a part of it is an aside word and none tells a state (no-sidebar, comments-open), a
+    main name if a part is a main word and it is no aside name. article and main keep 1 whatever they are called, except for an
+    aside name alone inside boilerplate (the comments of a comment list); elsewhere a main name beats an aside name, and undoes
+    one further out. What is hidden, or inside a tag of boilerplate, is not undone by names.
+    """
+    if name in ("option", "optgroup") or HIDDEN.search(attrs) and name not in ("html", "body"):
+        return -2
+    aside = main = False
+    if attrs and name not in ("html", "body"):
+        for v in MARKS.findall(attrs):
+            for whole in "".join(v).lower().split():
+                parts = [p for p in re.split(r"[^a-z0-9]+", whole) if p]
+                at = next((i for i, p in enumerate(parts) if p in ASIDE_WORDS), -1)
+                if at < 0:
+                    main = main or not MAIN_WORDS.isdisjoint(parts)
+                elif STATE_BEFORE.isdisjoint(parts[:at]) and STATE_AFTER.isdisjoint(parts[at + 1 :]):
+                    aside = True
+    if name in MAIN_TAGS:
+        return -1 if aside and not main and outer < 0 else 1
+    if name in ASIDE_TAGS - {"form"} and not (name == "header" and outer == 1):
+        return -2
+    if main and outer > -2:
+        return 1
+    return min(outer, -1) if aside or name == "form" else outer  # some sites put the whole page into a form
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text between block-level tags, white space collapsed, character references decoded; empty ones are left out.
 
     Comments, scripts, styles and titles are no text, nor is what stands in EMBEDDED elements up to their end or their parent's;
     one that closes itself or has no end tag behind it on the page holds nothing. An end tag closes up to the last open tag of its name and is
     ignored without one. A container marked by its tag, or by its class, id or role, places all blocks inside it until a
-    container inside is marked otherwise.
+    container inside is marked otherwise (``marked``).
     """
     out: list[Block] = []
     open_tags: list[tuple[str, int]] = []  # name, place from here on
@@ -166,20 +199,7 @@ def blocks(page: str | None) -> list[Block]:
         if name == "optgroup" and open_tags and open_tags[-1][0] == name:
             open_tags.pop()
         outer = open_tags[-1][1] if open_tags else 0
-        place = outer
-        if name in MAIN_TAGS:
-            place = 1
-        elif name in ("option", "optgroup"):
-            place = -1
-        elif name in ASIDE_TAGS and not (name == "header" and outer == 1):
-            place = -1
-        if m["attrs"] and name not in ("html", "body"):
-            words = {w for v in MARKS.findall(m["attrs"]) for w in re.split(r"[^a-z0-9]+", "".join(v).lower())}
-            if words & ASIDE_WORDS or HIDDEN.search(m["attrs"]):
-                place = -1
-            elif words & MAIN_WORDS and outer == 0:
-                place = 1
-        open_tags.append((name, place))
+        open_tags.append((name, marked(name, m["attrs"], outer)))
     add(page[at:])
     flush()
     return out

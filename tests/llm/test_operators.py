@@ -247,6 +247,26 @@ def test_embedded_elements_lose_no_article():
     assert texts_of(f"<script>a</scripts></script >{article}") == [body.strip()]
 
 
+def test_marked_wrappers_lose_no_article():
+    body, short = "word " * 40, "Short."
+    inside = f"<p>{body}</p><p>{short}</p>"
+    whole = body.strip() + "\n" + short
+    for start, end in (
+        ("<main class='layout with-sidebar'>", "</main>"), ("<article class='post comments-open'>", "</article>"), ("<article class='related'>", "</article>"), ("<main id=main role=main class='widget'>", "</main>"),
+        ("<div class='content with-sidebar'>", "</div>"), ("<div class='sidebar content'>", "</div>"), ("<div class='sidebar'><div class='content'>", "</div></div>"), ("<div class='layout social'><main>", "</main></div>"),
+        ("<div id='page' class='no-sidebar'><div class='entry-content'>", "</div></div>"), ("<div class='comments-closed post'>", "</div>"), ("<div class='layout--has-sidebar'><article>", "</article></div>"), ("<form id=aspnet><div id=content>", "</div></form>"),
+    ):
+        assert texts_of(start + inside + end) == [whole], start
+    assert texts_of(f"<div id='page' class='no-sidebar'><p>{body}</p></div>") == [body.strip()]
+    long = "word " * 250
+    assert texts_of(f"<div class='sidebar'><p>{long}</p></div>", f"<aside><p>{long}</p></aside>", f"<div hidden><p>{long}</p></div>") == [long.strip(), "", ""]
+    for aside in (
+        f"<div class='sidebar'><p>{body}</p></div>", f"<div class='site-footer'><p>{body}</p></div>", f"<div class='post-navigation'><p>{body}</p></div>", f"<aside><div class='content'><p>{body}</p></div></aside>",
+        f"<div id='comments'><article class='comment-body'><div class='comment-content'><p>{body}</p></div></article></div>", f"<div class='content' style='display:none'><p>{body}</p></div>",
+    ):
+        assert texts_of(aside + f"<article>{inside}</article>") == [whole], aside
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
