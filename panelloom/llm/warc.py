@@ -124,19 +124,51 @@ def parse(data: bytes) -> tuple[dict, int]:
     }, start + n + 4
 
 
-def unzip(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and length of the gzip member at ``at``; ValueError if it is damaged or cut short."""
+def unzip(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and length of the gzip member at ``at``; for one that is damaged or cut short, what comes out before that, its bytes, and why."""
     z, out, pos = zlib.decompressobj(31), [], at
     try:
         while not z.eof:
             piece = data[pos : pos + READ]
             if not piece:
-                raise ValueError("member cut short")
+                return b"".join(out), pos - at, "member cut short"
             out.append(z.decompress(piece))
             pos += len(piece)
+        return b"".join(out), pos - len(z.unused_data) - at, None
     except zlib.error as e:
-        raise ValueError(f"member damaged: {e}") from None
-    return b"".join(out), pos - len(z.unused_data) - at
+        why = f"member damaged: {e}"
+    z, out = zlib.decompressobj(31), []
+    for i in range(at, pos, READ):
+        out.append(z.decompress(data[i : min(i + READ, pos)]))
+    try:  # byte by byte, so that nothing before the error is lost
+        while pos < len(data):
+            out.append(z.decompress(data[pos : pos + 1]))
+            pos += 1
+    except zlib.error:
+        pass
+    return b"".join(out), pos - at, why
+
+
+def record_at(data: bytes, at: int, most: int) -> tuple[dict, int]:
+    """``parse`` at a place of ``data``, for headers of at most ``most`` bytes, without a copy of all that follows."""
+    end = data.find(b"\r\n\r\n", at, at + most)
+    told = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:end]) if end > 0 and data.startswith(b"WARC/1.", at) else None
+    return parse(data[at : end + 8 + int(told[1])] if told else data[at : at + READ])
+
+
+def records_of(inner: bytes) -> list[dict | str]:
+    """Sound records of a member's content, and the first failure of every stretch between them; the search goes on at the next version line."""
+    out, at, reason = [], 0, None
+    while 0 <= at < len(inner):
+        try:
+            found, length = record_at(inner, at, len(inner))
+        except ValueError as e:
+            reason = reason or ("bytes after the record" if at and not inner.startswith(b"WARC/1.", at) else str(e))
+            at = inner.find(b"WARC/1.", at + 1)
+            continue
+        out += [reason, found] if reason else [found]
+        at, reason = at + length, None
+    return out + [reason] if reason else out
 
 
 def salvage(data: bytes):
@@ -145,22 +177,34 @@ def salvage(data: bytes):
     At each place a gzip member or a plain record is tried. After a failed check the search goes on at the next byte that
     begins a member or a version line, until one passes all checks; the bytes in between are one gap with the first failure as
     reason. Empty members count as padding.
+
+    A member may hold any number of records; they, and gaps between them, have the member's place. So do records that come out of
+    a damaged member before the damage; its bytes are a gap besides.
     """
-    at = gap = 0
-    reason = None
+    at = gap = until = 0
+    reason, early = None, []  # early: records out of damaged members, the bytes of which end at ``until``
     while at < len(data):
         try:
             if data.startswith(MAGIC, at):
-                inner, length = unzip(data, at)
-                found = None
-                if inner:
-                    found, used = parse(inner)
-                    if used != len(inner):
-                        raise ValueError("bytes after the record")
+                inner, length, damage = unzip(data, at)
+                inside = records_of(inner)
+                if damage:
+                    early = early if at < until else []
+                    records = [x for x in inside if isinstance(x, dict)]
+                    if records:
+                        if reason:
+                            yield gap, at, reason
+                        for x in records:
+                            yield at, at + length, x
+                        gap, until, early, reason = at, max(until, at + length), early + records, None
+                    raise ValueError(damage)
+                if inside and not any(isinstance(x, dict) for x in inside):
+                    reason = reason or inside[0]
+                    at += length
+                    continue
             else:
-                end = data.find(b"\r\n\r\n", at, at + READ)
-                told = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:end]) if end > 0 and data.startswith(b"WARC/1.", at) else None
-                found, length = parse(data[at : end + 8 + int(told[1])] if told else data[at : at + READ])
+                found, length = record_at(data, at, READ)
+                inside = [found] if at >= until or found not in early else []  # a damaged member may have held it uncompressed
         except ValueError as e:
             reason = reason or str(e)
             later = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x > 0]
@@ -168,8 +212,8 @@ def salvage(data: bytes):
             continue
         if reason:
             yield gap, at, reason
-        if found:
-            yield at, at + length, found
+        for x in inside:
+            yield at, at + length, x
         at = gap = at + length
         reason = None
     if reason:

@@ -1,5 +1,6 @@
 """The operators on small tables with nulls, ties, repeats, long texts and clashing columns, against brute force."""
 
+import gzip
 import re
 
 import numpy as np
@@ -214,6 +215,35 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_of_members_with_many_records():
+    rng = np.random.default_rng(3)
+    records = [warc.record(i, "u", rng.integers(32, 127, 30000, dtype=np.uint8).tobytes(), None) for i in range(12)]
+
+    def ids(data):
+        return [x["record_id"] for *_, x in warc.salvage(data) if isinstance(x, dict)]
+
+    def reasons(data):
+        return [x for *_, x in warc.salvage(data) if isinstance(x, str)]
+
+    names = [f"<urn:page:{i}>" for i in range(12)]
+    one = gzip.compress(b"".join(records))
+    assert ids(one) == names and not reasons(one)
+    assert ids(one + warc.member(records[0])) == [*names, names[0]]
+    bad = bytearray(records[1])
+    bad[-100] ^= 1
+    inner = gzip.compress(records[0] + bytes(bad) + records[2] + b"junk" + records[3])
+    assert ids(inner) == [names[0], names[2], names[3]] and reasons(inner) == ["block digest differs", "bytes after the record"]
+    cut = one[: len(one) * 2 // 3] + warc.member(records[11])
+    assert ids(cut)[:7] == names[:7] and ids(cut)[-1] == names[11] and len(reasons(cut)) == 1
+    hurt = bytearray(one)
+    hurt[len(one) // 2 : len(one) // 2 + 2000] = bytes(2000)
+    assert ids(bytes(hurt))[:5] == names[:5]
+    stored = gzip.compress(b"".join(records), compresslevel=0)
+    assert ids(stored[:-20]) == names[:11]
+    assert ids(one[:-9] + inner[:-9]) == [*names, names[0], names[2], names[3]]
+    assert ids(gzip.compress(records[0])[:-4] + records[1]) == names[:2]
+
+
 def test_extraction(spark):
     html = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>'</script></head><body class='has-sidebar'><nav><ul><li><a href='/'>Home</a></ul></nav>"
