@@ -40,10 +40,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def unit_draw(key: str, seed: int) -> Column:
-    """A number strictly between 0 and 1 from the MD5 of seed and key."""
-    cell = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
-    return (cell + 0.5) / float(1 << 48)
+def unit_draw(key: str, seed: int, nth: str) -> Column:
+    """A number strictly between 0 and 1 from the MD5 of seed, key, hash of the text (column __text) and number among rows equal in these."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.col("__text").cast("string"), F.lit(":"), F.col(nth).cast("string"))
+    return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def mix_sources(
@@ -54,26 +54,38 @@ def mix_sources(
     A document expects target / source_size copies (times its relative ``weight``, a positive column, if one is named;
     null counts as 1), ``most`` at the outside. Whole copies are certain. The fractions p are settled by Pareto order sampling:
     documents of a source are ranked by the odds of a uniform draw over the odds of p, and the head of that ranking whose
-    words come nearest to what the whole copies leave of the target gets one more copy. Draws depend on seed and ``key``
-    alone, so reruns agree; rows with equal key share a draw, and equal ranks enter together.
+    words come nearest to what the whole copies leave of the target gets one more copy. Draws depend on seed, ``key``, text and
+    a number among rows that are equal in source, weight, key and text, so reruns agree, and rows without or with equal ids are drawn one by one.
 
     The head is found without sorting a source: words are added up in CELLS cells of the ranking, and only the cell in which
-    the target falls is ranked row by row. The texts are read twice and never shuffled: sizes, targets and cuts (one row a
+    the target falls is ranked row by row. The texts are read twice and not shuffled, but for rows with equal key and text, which are numbered: sizes, targets and cuts (one row a
     source) are written to the shared folder, and Catalyst broadcasts the latter if their files are below its threshold.
     Null text or no words: size 0, taken 0. Columns named like results are replaced.
     """
     spark, results = docs.sparkSession, ("size", "source_size", "target", "copies", "taken")
     relative = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-9)) if weight else F.lit(1.0)
-    slim = scratch_table(docs.select("source", F.col(key).alias("key"), word_count().alias("size"), relative.alias("w")), "mix-sizes")
+    slim = scratch_table(docs.select("source", F.col(key).alias("key"), word_count().alias("size"), relative.alias("w"), F.xxhash64("text").alias("__text")), "mix-sizes")
+    same = lambda key, w: F.xxhash64("source", F.col(key), w, "__text")
+    twins = scratch_table(slim.groupBy(same("key", F.col("w")).alias("__twin")).count().where("count > 1").select("__twin"), "mix-twins")
+    repeats = not twins.isEmpty()
     sums = scratch_table(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("wsize")), "mix-sums")
     goals = source_targets(sums.select("source", "source_size"), weights, most).withColumnRenamed("source", "__s").join(sums.select(F.col("source").alias("__s2"), "wsize"), F.expr("__s <=> __s2"))
     goals = scratch_table(goals.select("__s", "source_size", "target", F.col("wsize").alias("__wsize")), "mix-targets")
 
+    def numbered(rows: DataFrame, key: str, w: Column) -> DataFrame:
+        """``rows`` with __nth, 1 for rows without a twin; which of two equal rows comes first does not change the draws."""
+        if not repeats:
+            return rows.withColumn("__nth", F.lit(1))
+        rows = rows.withColumn("__same", same(key, w))
+        order = F.xxhash64(*(F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind))
+        more = rows.join(twins, F.expr("__same = __twin"), "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("__same").orderBy("source", key, order)))
+        return rows.join(twins, F.expr("__same = __twin"), "left_anti").withColumn("__nth", F.lit(1)).unionByName(more).drop("__same")
+
     def ranked(rows: DataFrame, size: str, w: Column, draw: str) -> DataFrame:
-        rows = rows.join(goals, F.expr("source <=> __s")).drop("__s")
+        rows = numbered(rows, draw, w).join(goals, F.expr("source <=> __s")).drop("__s")
         expected = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("__wsize") * w)).otherwise(0.0)
         rows = rows.withColumn("__e", expected).withColumn("__whole", F.floor("__e")).withColumn("__p", F.col("__e") - F.col("__whole"))
-        u = unit_draw(draw, seed)
+        u = unit_draw(draw, seed, "__nth")
         rows = rows.withColumn("__q", F.when((F.col("__p") > 0) & (F.col(size) > 0), (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))))
         return rows.withColumn("__cell", F.floor(F.lit(CELLS) * F.col("__q") / (1 + F.col("__q"))))
 
@@ -94,8 +106,8 @@ def mix_sources(
     cut = last.where("abs(upto - r) <= abs(upto - size - r)").groupBy("source").agg(F.max("__q").alias("__cut"))
     cut = scratch_table(ends.join(cut, F.expr("__s <=> source"), "left").select("__s", "__end", "__cut"), "mix-cuts")
 
-    base = docs.drop(*results).withColumn("size", word_count())
+    base = docs.drop(*results).withColumn("size", word_count()).withColumn("__text", F.xxhash64("text"))
     rows = ranked(base, "size", relative, key).join(cut, F.expr("source <=> __s"), "left").drop("__s")
     extra = F.coalesce((F.col("__cell") < F.col("__end")) | (F.col("__q") <= F.col("__cut")), F.lit(False))
     rows = rows.withColumn("copies", F.col("__whole") + extra.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("__wsize", "__e", "__whole", "__p", "__q", "__cell", "__end", "__cut")
+    return rows.drop("__wsize", "__e", "__whole", "__p", "__q", "__cell", "__end", "__cut", "__text", "__nth")

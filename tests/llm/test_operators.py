@@ -17,6 +17,19 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score string, target string")
 
 
+def test_rows_without_id_are_drawn_one_by_one(spark):
+    def mixed(text):  # source b is cut to less than its words; a third of them in rows without id
+        rows = [(i, "w " * 20, None, "a", None, None) for i in range(300)] + [(i, "w " * 20, None, "b", None, None) for i in range(1000, 1200)]
+        rows += [(None, text(i), None, "b", None, None) for i in range(100)]
+        out = [r for r in mixing.mix_sources(docs(spark, rows)).select("doc_id", "source", "text", "copies", "taken", "target").collect() if r.source == "b"]
+        return out, sorted((r.doc_id or 0, r.text, r.copies) for r in out)
+
+    for text in (lambda i: "w " * 20, lambda i: f"{i} " * 20):
+        out, found = mixed(text)
+        assert abs(sum(r.taken for r in out) - out[0].target) <= 10 and found == mixed(text)[1]
+        assert len({r.copies for r in out if r.doc_id is None}) == 2
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     long = "the quick brown fox jumps over it " * 9000
