@@ -118,18 +118,21 @@ def nearest(
                 # tables overlap: one entry a pair, then the best of each query, with room for equal scores
                 _, first = np.unique(np.stack([q, c]), axis=1, return_index=True) if len(q) else (None, np.empty(0, dtype=np.int64))
                 at = first[head(q[first], c[first], s[first], 2 * (k + 1))]
-                # one list a query: entries lie together by query, best first; rounded, so that a pair found twice is the same twice
+                # one list a query: entries lie together by query, best first
                 start = np.flatnonzero(np.concatenate(([True], q[at][1:] != q[at][:-1]))) if len(at) else np.empty(0, dtype=np.int64)
-                entries = pa.StructArray.from_arrays([pa.array(-np.round(s[at].astype(float), 12)), pa.array(c[at])], names=["n", "c"])
+                entries = pa.StructArray.from_arrays([pa.array(c[at]), pa.array(-s[at].astype(float))], names=["c", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), type=pa.int32()), entries)
                 yield pa.RecordBatch.from_arrays([pa.array(q[at][start]), lists], names=["q", "found"])
 
-        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, found array<struct<n: double, c: bigint>>")
+        return pairs.select("qblk_rows", "cblk_rows").mapInArrow(run, "q bigint, found array<struct<c: bigint, n: double>>")
 
     def leading(rows):
         """(q, c): the best of each query by the scores of matrix products, with room for their rounding, before vectors are joined again."""
-        merged = F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("found")))), 1, 2 * (k + 1))
-        return rows.groupBy("q").agg(merged.alias("found")).select("q", F.explode("found").alias("x")).select("q", F.col("x.c").alias("c")).distinct()
+        sorted_ = rows.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("a"))
+        # a pair found twice may differ in its last bits: one entry a candidate, then the cut on scores as they are
+        once = F.expr("filter(a, (x, i) -> i = 0 or x.c <> a[greatest(i - 1, 0)].c)")
+        merged = F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x["n"].alias("n"), x["c"].alias("c")))), 1, 2 * (k + 1))
+        return sorted_.select("q", F.explode(merged).alias("x")).select("q", F.col("x.c").alias("c")).distinct()
 
     cells = ["dim", "tbl", "bucket"]
     held = in_blocks(hashed(classes, longest, False, tables, functions, width, 1), cells, BLOCK, "cblk")

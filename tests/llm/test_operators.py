@@ -207,6 +207,17 @@ def test_ann_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_nearest_of_very_short_vectors(spark):
+    x = np.random.default_rng(8).normal(size=(120, 6)) * 1e-8
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 30 = 0"), k=5, probes=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, found in got.items():
+        assert found == [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:5]
+    assert len(got) == 4
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     rows = [(1, "http://a/é b", "<p>x</p>"), (2, None, None), (3, "u", "<p>x</p>"), (4, "u", ""), (None, "u", "<p>x</p>"), (5, "u", "日本" * 70000)]
     path = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1))
