@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, warc
+from . import alignment, ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, vectordup, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,22 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     encoded = pieces.encode(docs)
     return pieces.with_decoded(encoded).select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf, "documents"))
+
+
+@query
+def op13_vectordup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectordup.vector_duplicates(table(spark, sf, "embeddings"))
+
+
+SQL["op13_vectordup"] = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, coalesce(e.vec_id = c.c, true) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id"""
