@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, vectordup, warc
+from . import alignment, ann, extract, language, mixing, neardup, pieces, quality, topk, toxicity, turntrie, vectordup, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,24 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, coalesce(e.vec_id = c.c, true) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id"""
+
+
+@query
+def op11_turntrie(spark: SparkSession, sf: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf, "conversations"))
+
+
+SQL["op11_turntrie"] = """WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+ FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, count(*) AS n, c - c % 5 AS s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, w: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h FROM t GROUP BY c),
+m AS (SELECT k.c, k.n, k.s, k.h, least(k.h, coalesce(b.n, 0)) AS m, least(k.h, coalesce(b.n, 0)) + greatest(k.n - k.h, 0) AS len FROM k LEFT JOIN k b ON b.c = k.s),
+u AS (SELECT m.c, t.p, t.r, t.x FROM m JOIN t ON t.c = m.s AND t.p <= m.m UNION ALL SELECT m.c, t.p - m.h + m.m, t.r, t.x FROM m JOIN t ON t.c = m.c AND t.p > m.h),
+a AS (SELECT c, p AS d, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY p) AS key, strlen(x) AS b FROM u UNION ALL SELECT c, 0, list_filter([{'r': '', 'x': ''}], lambda z: false), 0 FROM m),
+g AS (SELECT a.key, a.d, min(a.c) AS conv, count(*) AS n, max(a.b) AS b, string_agg(CAST(a.c AS VARCHAR), ',' ORDER BY a.c) FILTER (WHERE m.len = a.d) AS ends FROM a JOIN m USING (c) GROUP BY 1, 2),
+ch AS (SELECT list_slice(key, 1, d - 1) AS key, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY 1, 2),
+h AS (SELECT g.*, coalesce(ch.n, 0) AS children FROM g LEFT JOIN ch ON ch.d = g.d AND ch.key = g.key),
+f AS (SELECT x.key, x.d, count(*) FILTER (WHERE y.children = 0) AS leaves, sum((y.n - 1) * y.b) AS saved FROM h x JOIN h y ON y.d >= x.d AND list_slice(y.key, 1, x.d) = x.key GROUP BY 1, 2)
+SELECT h.conv AS conv_id, CAST(h.d AS BIGINT) AS depth, q.conv AS parent_conv_id, CAST(h.n AS BIGINT) AS n_convs, CAST(h.children AS BIGINT) AS n_children, CAST(f.leaves AS BIGINT) AS n_leaves,
+ CAST(f.saved AS BIGINT) AS saved_tokens, sha256(coalesce(h.ends, '')) AS ends_sha256
+FROM h JOIN f ON f.d = h.d AND f.key = h.key LEFT JOIN g q ON q.d = h.d - 1 AND q.key = list_slice(h.key, 1, h.d - 1)"""
