@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import month_ends
 from ..session import shared_folder
-from ..streaming import flows
+from ..streaming import flows, keyed
 from . import fixtures as X
 from .oracle import query
 from .queries_sources import price_updates
@@ -81,3 +81,53 @@ def _(spark, sf):
         stream = spark.readStream.schema("limit_id string, as_of date, value double, slack double").parquet(f"{root}/in")
         flows.breach_stream(stream, f"{root}/out", f"{root}/state").start().awaitTermination()
     return flows.breach_table(spark, f"{root}/out")
+
+
+_ARRIVALS = "CASE WHEN month(period) % 5 = 0 THEN DATE '2010-06-01' WHEN month(period) % 3 = 0 THEN DATE '2011-06-01' ELSE period END"
+
+
+@query(
+    "stream_breach_lifecycle", "X3 R6", "limit_id event as_of:d observed_value:5 slack:5",
+    f"""SELECT limit_id, event, period AS as_of, value AS observed_value, slack FROM (SELECT *, CASE WHEN slack < 0 THEN CASE WHEN coalesce(p, 0) < 0 THEN 'update' ELSE 'open' END ELSE 'resolved' END AS event FROM (
+    SELECT concat_ws('|', portfolio, metric) AS limit_id, *, lag(slack) OVER (PARTITION BY portfolio, metric ORDER BY period) AS p FROM evaluations) WHERE slack < 0 OR p < 0)
+    UNION ALL SELECT limit_id, 'silent', period, value, slack FROM (SELECT concat_ws('|', portfolio, metric) AS limit_id, arg_max(period, period) AS period, arg_max(value, period) AS value, arg_max(slack, period) AS slack, max({_ARRIVALS}) AS seen
+    FROM evaluations GROUP BY 1) WHERE slack < 0 AND seen + INTERVAL 45 DAY <= (SELECT max({_ARRIVALS}) FROM evaluations)""",
+    "evaluations",
+)
+def _(spark, sf):
+    """Three arrivals: most months in time, every fifth and then every third month late; breaches of limits that fall silent are reported."""
+    from .queries_risk import evaluations
+
+    root = _folder(spark, "lifecycle")
+    rows = evaluations(spark, sf).select(F.concat_ws("|", "portfolio", "metric").alias("limit_id"), F.col("period").alias("as_of"), "value", "slack")
+    month = F.month("as_of")
+    arrived = F.when(month % 5 == 0, F.lit("2010-06-01").cast("date")).when(month % 3 == 0, F.lit("2011-06-01").cast("date")).otherwise(F.col("as_of"))
+    rows = rows.withColumn("arrived", arrived.cast("timestamp"))
+    late = [month % 5 == 0, (month % 3 == 0) & (month % 5 != 0)]
+    for part in (rows.where(~(late[0] | late[1])), rows.where(late[0]), rows.where(late[1])):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("limit_id string, as_of date, value double, slack double, arrived timestamp").parquet(f"{root}/in")
+        keyed.breach_lifecycle(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return keyed.lifecycle_table(spark, f"{root}/out")
+
+
+@query(
+    "stream_closed_weeks", "X1 W8", "ticker week:d ret:6 n:i",
+    """SELECT ticker, week, product(1 + ret) - 1 AS ret, count(*) AS n FROM (SELECT ticker, ret, date, CAST(date + (12 - dayofweek(date)) % 7 * INTERVAL 1 DAY AS DATE) AS week FROM stock_ret WHERE ret IS NOT NULL)
+    WHERE week + INTERVAL 1 DAY <= (SELECT max(date) FROM stock_ret WHERE ret IS NOT NULL) - INTERVAL 7 DAY GROUP BY 1, 2""",
+    "stock_ret",
+)
+def _(spark, sf):
+    """Three arrivals: the first years in time, the rest, then rows of old weeks that were closed long before."""
+    root = _folder(spark, "windows")
+    r = X.stock_returns(spark, sf).where("ret is not null").select("ticker", F.col("date").cast("timestamp").alias("ts"), "ret")
+    newest = r.agg(F.max("ts").alias("newest")).withColumn("k", F.lit(1))
+    late = (F.pmod(F.xxhash64("ticker", "ts"), F.lit(10)) == 0) & (F.year("ts") < 1998)
+    r = r.withColumn("k", F.lit(1)).join(newest, "k").withColumn("arrived", F.when(late, F.col("newest")).otherwise(F.col("ts"))).drop("k", "newest")
+    early = F.col("ts") < "1996-01-01"
+    for part in (r.where(~late & early), r.where(~late & ~early), r.where(late)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("ticker string, ts timestamp, ret double, arrived timestamp").parquet(f"{root}/in")
+        for q in keyed.closed_weeks(stream, f"{root}/out", f"{root}/state"):
+            q.awaitTermination()
+    return keyed.closed_week_table(spark, f"{root}/out")
