@@ -168,7 +168,7 @@ def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, key: str,
         def pairs_of_block():
             # kept as (pair) once a document, so equal ones count documents
             pair, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, dtype=np.int64),) * 2
-            cols = [pa.array([block], type=pa.int64())] + [pa.nulls(1, type=f.type) for f in kinds[1:-2]]
+            cols = [pa.array([block], type=pa.int64())] + [pa.nulls(1, type=f.type) for f in list(kinds)[1:-2]]
             cols += [pa.array([pair], type=pa.list_(pa.int64())), pa.array([n.astype(np.int32)], type=pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -244,7 +244,7 @@ def link_counts(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
     totals = scratch_table(totals.withColumn("id", F.shiftright("pair", 16)), "pair-counts")
     best = totals.groupBy("id").agg(F.max("count").alias("most"))
     known = totals.join(F.broadcast(best), "id").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    answers = asked.drop("docs").join(known, "pair").select("block", "pair", "count", "best")
+    answers = asked.drop("docs").join(known, "pair").select(F.col("block").alias("asker"), "pair", "count", "best")
     schema = f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
     def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
@@ -260,4 +260,4 @@ def link_counts(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
         return out.add_column(5, "n_best", pa.array(sums[:, 0])).add_column(6, "count_sum", pa.array(sums[:, 1]))
 
     texts = blocks.where("docs is null").drop("pairs", "docs")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("key", key)
+    return texts.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(run, schema).withColumnRenamed("key", key)
