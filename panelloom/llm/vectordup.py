@@ -18,7 +18,7 @@ COSINE, MISS, SEED = 0.93, 5e-4, 1313
 #: Half-width of a window in units of the distance at the threshold; projections whose collisions are counted at least.
 REACH, COUNTED = 2.0, 24
 #: Vectors of a cell and of a block of a cell; vectors drawn as centres of dense groups, and the size from which a group counts as dense.
-CELL, BLOCK, CENTRES, DENSE = 4096, 1024, 256, 512
+CELL, BLOCK, CENTRES, DENSE = 4096, 2048, 256, 512
 #: Share of a sorted projection of unit vectors in one strip, about: what one more sorting level leaves of a cell.
 LEFT = 0.5
 #: Allowance for rounding of angles, in radians.
