@@ -75,30 +75,28 @@ def _load(byte_model: bytes, piece_model: bytes) -> Tokenizers:
     return Tokenizers(byte_model, piece_model)
 
 
-def groups(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
+def groups(left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places behind the last token of every group, in both end lists (ascending, with the same last end).
 
     While ends at the current shift between the two indexes are equal, tokens pair one to one: slices are compared whose
     length doubles with each success and halves after a failure, so a stretch of n pairs costs log n comparisons. An
     irregular group is closed by stepping the side that is behind; the shift changes by what one side had more.
     """
-    a: list[int] = []
-    b: list[int] = []
+    runs: list[tuple[int, int, int]] = []  # first places of both sides, groups that follow one to one
     i = shift = 0
     n = len(left)
     while i < n:
-        step, growing = 1, True
+        first, step, growing = i, 4, True
         while step:
             run = left[i : i + step]
             if run and run == right[i + shift : i + shift + step]:
-                end = i + len(run)
-                a.extend(range(i + 1, end + 1))
-                b.extend(range(i + shift + 1, end + shift + 1))
-                i = end
+                i += len(run)
                 step = 2 * step if growing else step // 2
             else:
                 growing = False
                 step //= 2
+        if i > first:
+            runs.append((first, first + shift, i - first))
         if i == n:
             break
         j = i + shift
@@ -110,11 +108,12 @@ def groups(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = right[j]
-        i, j = i + 1, j + 1
-        a.append(i)
-        b.append(j)
-        shift = j - i
-    return a, b
+        runs.append((i, j, 1))
+        i += 1
+        shift = j + 1 - i
+    a, b, size = np.array(runs, dtype=np.int64).reshape(-1, 3).T
+    within = np.arange(1, size.sum() + 1) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(a, size) + within, np.repeat(b, size) + within
 
 
 def spelled(t: Tokenizers, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> str:
@@ -147,84 +146,98 @@ def linked_ids(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray
         first = end
 
 
-ALIGNED = "block bigint, key {}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, a binary, b binary, a_ends binary, b_ends binary, pairs array<bigint>, docs array<int>"
+def distinct_links(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id pairs linked in a text, ascending, and how often each is."""
+    parts = [np.unique(pair, return_counts=True) for _, pair in linked_ids(left, right, a, b)]
+    if len(parts) < 2:
+        return parts[0] if parts else (np.empty(0, dtype=np.int64),) * 2
+    pair, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    return pair, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, key: str, text: str) -> DataFrame:
-    """One row a document with its ids (16 bits each) and flags of the tokens that end a group, dealt into blocks of about BLOCK_BYTES of text.
+def aligned(t: Tokenizers, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids of both sides and the places behind the last token of each group, of every text."""
+    for left, right in t.encode(texts):
+        yield left, right, *groups(*[np.cumsum(size[ids]).tolist() for ids, size in zip((left, right), t.sizes)])
 
-    One more row a block holds the id pairs linked in it and in how many of its documents each is.
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64) if n else np.empty(0, dtype=np.int64)
+
+
+#: One row a document; ``pairs`` and ``docs`` are filled in one more row a block.
+BLOCKS = "block bigint, key {}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_pairs int, at binary, times binary, pairs array<bigint>, docs array<int>"
+
+
+def linked_blocks(docs: DataFrame, byte_model: str, piece_model: str, key: str, text: str) -> DataFrame:
+    """Documents with their distinct id pairs, dealt into blocks of about BLOCK_BYTES of text.
+
+    A block has one row with its pairs, ascending, and the number of its documents that hold each; a document's row has places in
+    that list (``at``) and how often it has each pair (``times``), in as few bytes as they need.
     """
     data = _model(docs, byte_model), _model(docs, piece_model)
     rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = ALIGNED.format(rows.schema["key"].dataType.simpleString())
+    schema = BLOCKS.format(rows.schema["key"].dataType.simpleString())
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         t, block = _load(*data), TaskContext.get().partitionId() << 33
-        found: list[np.ndarray] = []
-        names = [c.split()[0] for c in schema.split(", ")]
-        held = 0
-
-        def pairs_of_block():
-            # kept as (pair) once a document, so equal ones count documents
-            pair, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, dtype=np.int64),) * 2
-            cols = [pa.array([block], type=pa.int64())] + [pa.nulls(1, type=f.type) for f in list(kinds)[1:-2]]
-            cols += [pa.array([pair], type=pa.list_(pa.int64())), pa.array([n.astype(np.int32)], type=pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+        kinds = [pa.int64(), None, *[pa.int64()] * 4, pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        held: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        keys: list[pa.Array] = []
+        size = 0
+
+        def closed():
+            pair, at, n = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True, return_counts=True)
+            ends = np.cumsum([len(p) for p, _ in found])
+            own = [(*row, len(p), _narrow(at[end - len(p) : end]), _narrow(times)) for row, (p, times), end in zip(held, found, ends)]
+            cols = [pa.array([block] * len(own), type=kinds[0]), pa.concat_arrays(keys)]
+            cols += [pa.array(list(c), type=k) for c, k in zip(zip(*own), kinds[2:-2])] + [pa.nulls(len(own), type=k) for k in kinds[-2:]]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [pa.array([block], type=kinds[0]), pa.nulls(1, type=keys[0].type)] + [pa.nulls(1, type=k) for k in kinds[2:-2]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([pair], type=kinds[-2]), pa.array([n.astype(np.int32)], type=kinds[-1])], names=names)
 
         for batch in batches:
-            kinds = pa.schema([("block", pa.int64()), pa.field("key", batch.schema.field("key").type)] + [(c, pa.int64()) for c in names[2:6]] + [("groups_sha256", pa.string())] + [(c, pa.binary()) for c in names[7:11]] + [("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32()))])
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
+            for first in range(0, len(batch), 64):
+                part = batch.slice(first, 64)
                 texts = part["text"].to_pylist()
-                out: list[tuple] = []
-                for left, right in t.encode(texts):
-                    ends = [np.cumsum(size[ids]).tolist() for ids, size in zip((left, right), t.sizes)]
-                    a, b = (np.array(x, dtype=np.int64) for x in groups(*ends))
-                    seen = [np.unique(pair) for _, pair in linked_ids(left, right, a, b)]
-                    if seen:
-                        found.append(seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen)))
+                for left, right, a, b in aligned(t, texts):
+                    found.append(distinct_links(left, right, a, b))
                     n_links = int((np.diff(a, prepend=0) * np.diff(b, prepend=0)).sum())
-                    digest = hashlib.sha256(spelled(t, left, right, a, b).encode()).hexdigest() if len(a) else ""
-                    flags = [np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)]
-                    flags[0][a - 1] = flags[1][b - 1] = True
-                    out.append((len(left), len(right), len(a), n_links, digest, left.astype("<u2").tobytes(), right.astype("<u2").tobytes(), *(np.packbits(f).tobytes() for f in flags)))
-                cols = [pa.array([block] * len(out), type=pa.int64()), part["key"]]
-                cols += [pa.array(list(c), type=f.type) for c, f in zip(zip(*out), list(kinds)[2:-2])] + [pa.nulls(len(out), type=f.type) for f in list(kinds)[-2:]]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-                held += sum(len(x) for x in texts if x)
-                if held >= BLOCK_BYTES:
-                    yield pairs_of_block()
-                    found, held, block = [], 0, block + 1
-        if found:
-            yield pairs_of_block()
+                    held.append((len(left), len(right), len(a), n_links, hashlib.sha256(spelled(t, left, right, a, b).encode()).hexdigest() if len(a) else ""))
+                keys.append(part["key"])
+                size += sum(len(x) for x in texts if x)
+                if size >= BLOCK_BYTES:
+                    yield from closed()
+                    held, found, keys, size, block = [], [], [], 0, block + 1
+        if held:
+            yield from closed()
 
     return rows.mapInArrow(run, schema)
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    left, right = (np.frombuffer(row[c] or b"", dtype="<u2").astype(np.int64) for c in "ab")
-    cuts = (np.flatnonzero(np.unpackbits(np.frombuffer(row[c] or b"", dtype=np.uint8), count=n)) + 1 for c, n in (("a_ends", len(left)), ("b_ends", len(right))))
-    return left, right, *cuts
-
-
 def align(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, groups) of every row of ``docs``: groups is an array of structs of two id arrays, in text order.
 
     Null and empty texts, and texts that either vocabulary can't give back byte for byte, have no groups.
     """
-    blocks = aligned_blocks(docs, byte_model, piece_model, key, text).where("docs is null")
-    kind = blocks.schema["key"].dataType.simpleString()
+    data = _model(docs, byte_model), _model(docs, piece_model)
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
+        t = _load(*data)
         for b in batches:
-            for k, row in zip(b["key"], b.select(["a", "b", "a_ends", "b_ends"]).to_pylist()):
-                left, right, a, c = _unpacked(row)
-                sides = [pa.ListArray.from_arrays(pa.array(np.append(0, cut).astype(np.int32)), pa.array(ids.astype(np.int32))) for ids, cut in ((left, a), (right, c))]
+            for r, (left, right, *cuts) in enumerate(aligned(t, b["text"].to_pylist())):
+                sides = [pa.ListArray.from_arrays(pa.array(np.append(0, cut).astype(np.int32)), pa.array(ids.astype(np.int32))) for ids, cut in zip((left, right), cuts)]
                 group = pa.StructArray.from_arrays(sides, names=["a_ids", "b_ids"])
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], type=b["key"].type), pa.ListArray.from_arrays(pa.array([0, len(group)], type=pa.int32()), group)], names=["key", "groups"])
+                yield pa.RecordBatch.from_arrays([b["key"].slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(group)], type=pa.int32()), group)], names=["key", "groups"])
 
-    return blocks.mapInArrow(run, f"key {kind}, groups array<struct<a_ids: array<int>, b_ids: array<int>>>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, groups array<struct<a_ids: array<int>, b_ids: array<int>>>").withColumnRenamed("key", key)
 
 
 def link_counts(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,11 +246,11 @@ def link_counts(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
     Every row is a document, whatever its key: rows that repeat count as often as they occur. Null and empty texts, and texts
     that either vocabulary can't give back byte for byte, have zeros and an empty digest.
 
-    Documents are aligned once, in blocks. A block asks for each id pair once, so what is shuffled for the counts grows with the
+    Documents are aligned once, in blocks; of their links the distinct pairs are kept. A block asks for each id pair once, so what is shuffled for the counts grows with the
     distinct pairs of a block and not with its links; the highest count of each left id (at most one row an id) is broadcast.
     Counts then meet the block's documents again.
     """
-    blocks = scratch_table(aligned_blocks(docs, byte_model, piece_model, key, text), "aligned")
+    blocks = scratch_table(linked_blocks(docs, byte_model, piece_model, key, text), "linked")
     kind = blocks.schema["key"].dataType.simpleString()
     asked = blocks.where("docs is not null").select("block", F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("block", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
     totals = asked.groupBy("pair").agg(F.sum("docs").alias("count"))
@@ -248,14 +261,12 @@ def link_counts(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
     schema = f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
     def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        pair = counts["pair"].to_numpy()
-        order = np.argsort(pair)
-        pair, count, top = pair[order], counts["count"].to_numpy()[order], counts["best"].to_numpy()[order]
+        order = np.argsort(counts["pair"].to_numpy())  # a block asks for all its pairs, so this is the order of its list
+        count, top = counts["count"].to_numpy()[order], counts["best"].to_numpy()[order]
         sums = np.zeros((rows.num_rows, 2), dtype=np.int64)
-        for r, row in enumerate(rows.select(["a", "b", "a_ends", "b_ends"]).to_pylist()):
-            for _, found in linked_ids(*_unpacked(row)):
-                at = np.searchsorted(pair, found)
-                sums[r] += int(top[at].sum()), int(count[at].sum())
+        for r, (n, at, times) in enumerate(zip(*(rows[c].to_pylist() for c in ("n_pairs", "at", "times")))):
+            at, times = _wide(at, n), _wide(times, n)
+            sums[r] = int(times[top[at]].sum()), int((times * count[at]).sum())
         out = rows.select(["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
         return out.add_column(5, "n_best", pa.array(sums[:, 0])).add_column(6, "count_sum", pa.array(sums[:, 1]))
 

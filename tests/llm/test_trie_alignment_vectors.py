@@ -168,7 +168,7 @@ def test_groups_step_over_runs():
             cuts = [sorted({n * 3, *np.flatnonzero(rng.random(n * 3) < share).tolist()} - {0}) for _ in range(2)]
             a, b = alignment.groups(*cuts)
             both = sorted(set(cuts[0]) & set(cuts[1]))
-            assert [cuts[0][i - 1] for i in a] == both == [cuts[1][i - 1] for i in b]
+            assert [cuts[0][i - 1] for i in a] == both == [cuts[1][i - 1] for i in b], (n, share)
 
 
 def brute_vectors(rows, least=0.93):
