@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocation as K
 from ..operators import risk
+from ..operators.factor_allocation import factor_allocation
 from ..operators.forecasts import factor_implied_returns
 from . import fixtures as X
 from .oracle import query, view
@@ -94,10 +95,47 @@ def _(spark, sf):
     return K.filled_specific(hidden, BY).groupBy(*BY).agg(F.median("residual_volatility").alias("filled"))
 
 
+@X.stored
+def allocations(spark, sf):
+    b = K.effective_bounds(names(spark, sf), max_weight=0.15, by=BY)
+    return factor_allocation(b, _exposures(spark, sf), omega(spark, sf), by=BY, risk_free_rate=0.02)
+
+
 @query("allocation_grid", "K5 K3", "portfolio period:d objective ticker optimized_weight:6 status")
 def _(spark, sf):
-    b = K.effective_bounds(names(spark, sf), max_weight=0.15, by=BY)
-    return K.allocation_grid(b, sigma(spark, sf), by=BY, risk_free_rate=0.02)
+    return allocations(spark, sf)
+
+
+@query(
+    "allocation_kkt", "K5 K1", "portfolio period:d objective names:i status budget_ok:b inside:b optimal:b",
+    """SELECT portfolio, period, objective, names, CASE WHEN ok THEN 'succeeded' ELSE 'fallback_equal' END AS status, true AS budget_ok, CASE WHEN ok THEN true END AS inside, CASE WHEN ok THEN true END AS optimal FROM (
+    SELECT portfolio, period, objective, names, 0.15e0 * names >= 1 - 1e-9 AND (objective <> 'max_sharpe' OR best > 0.02e0) AS ok FROM (
+    SELECT portfolio, period, count(*) AS names, sum(expected_return * greatest(0, least(0.15e0, 1 - 0.15e0 * (r - 1)))) AS best FROM (SELECT *, row_number() OVER (PARTITION BY portfolio, period ORDER BY expected_return DESC) AS r FROM names) GROUP BY 1, 2)
+    CROSS JOIN (VALUES ('min_variance'), ('mean_variance'), ('max_sharpe'), ('max_diversification')) v(objective))""",
+    "names",
+)
+def _(spark, sf):
+    """First-order conditions of every solve: no name that can give weight has a higher gradient than one that can take it."""
+    keys = [*BY, "objective"]
+    w = allocations(spark, sf).join(names(spark, sf).drop("previous"), [*BY, "ticker"]).withColumn("previous", F.lit(0.0))
+    e, o = _exposures(spark, sf), omega(spark, sf)
+    own = risk.factor_marginals(e.withColumnRenamed("beta", "exposure"), o, [*BY, "ticker"]).groupBy(*BY, "ticker").agg(F.sum(F.col("exposure") * F.col("marginal")).alias("common"))
+    every = w.select(*keys, "ticker").join(e, [*BY, "ticker"])
+    g = K.ex_ante(w, every, o, by=keys, weight="optimized_weight").join(own, [*BY, "ticker"], "left")
+    alone = F.sqrt(F.coalesce("common", F.lit(0.0)) + F.col("residual_volatility") * F.col("residual_volatility"))
+    vol, cov = F.col("expected_volatility"), F.col("marginal_risk") * F.col("expected_volatility")
+    sums = g.groupBy(*keys).agg(F.sum(F.col("optimized_weight") * alone).alias("alone_sum"))
+    kind = lambda *values: F.coalesce(*[F.when(F.col("objective") == o, v) for o, v in zip(("min_variance", "mean_variance", "max_sharpe", "max_diversification"), values)])
+    # the gradient downhill; that of a ratio times its volatility
+    price = kind(F.lit(1.0), F.lit(1.0), (F.col("portfolio_return") - 0.02) / vol / vol, F.col("alone_sum") / vol / vol)
+    gain = kind(F.lit(0.0), F.col("expected_return"), F.col("expected_return"), alone)
+    rows = g.join(sums, keys).withColumn("slope", price * cov - gain).withColumn("scale", F.abs(price * cov) + F.abs(gain))
+    x, gives = F.col("optimized_weight"), F.col("optimized_weight") > 1e-7
+    out = rows.groupBy(*keys, "status").agg(
+        F.count("*").alias("names"), (F.abs(F.sum(x) - 1) < 1e-7).alias("budget_ok"), F.bool_and(x.between(-1e-9, 0.15 + 1e-9)).alias("inside"),
+        (F.max(F.when(gives, F.col("slope"))) - F.min(F.when(x < 0.15 - 1e-7, F.col("slope"))) <= 1e-5 * F.max("scale")).alias("optimal"))
+    solved = F.col("status") == "succeeded"
+    return out.withColumn("inside", F.when(solved, F.col("inside"))).withColumn("optimal", F.when(solved, F.coalesce("optimal", F.lit(True))))
 
 
 view(

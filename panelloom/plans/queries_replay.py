@@ -263,11 +263,9 @@ def _(spark, sf):
 @query("optimized_history", "H12 K5 J15", "strategy date:d gross:6 turnover:6")
 def _(spark, sf):
     """Replay of every allocation objective over the monthly bars, one strategy each."""
-    from .queries_allocation import K, names, sigma
-    from .queries_risk import BY
+    from .queries_allocation import allocations, names
 
-    b = K.effective_bounds(names(spark, sf), max_weight=0.15, by=BY)
-    w = K.allocation_grid(b, sigma(spark, sf), by=BY, risk_free_rate=0.02)
+    w = allocations(spark, sf)
     d = w.select(F.concat_ws("|", "portfolio", "objective").alias("strategy"), F.col("period").alias("signal_date"), "ticker", F.col("optimized_weight").alias("weight"))
     original = names(spark, sf).select(F.concat_ws("|", "portfolio", F.lit("original")).alias("strategy"), F.col("period").alias("signal_date"), "ticker", F.col("previous").alias("weight"))
     return replay.replay(d.unionByName(original), X.stock_monthly(spark, sf), X.month_calendar(spark, sf))
