@@ -174,3 +174,15 @@ def rebalance_audit(targets: DataFrame, trades: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("names"),
     )
     return held.join(trades, ["strategy", "exec_idx"])
+
+
+def decision_turnover(weights: DataFrame, returns: DataFrame, calendar: DataFrame, *, by: str = "portfolio", on: str = "period") -> DataFrame:
+    """(by, on, execution_date, names, turnover): what each decision trades against the drifted weights of the one before.
+
+    ``weights(by, on, ticker, weight)`` are the decisions; those without a later trading day are left out.
+    """
+    asked = weights.select(F.col(by).alias("strategy"), F.col(on).alias("signal_date"), "ticker", F.col("weight").cast("double").alias("weight"))
+    targets = schedule(asked, calendar, returns)
+    trades = rebalance_turnover(targets, holding_values(targets, returns))
+    held = targets.groupBy("strategy", "exec_idx", "signal_date", "execution_date").agg(F.count_if(F.col("weight") > 0).alias("names"))
+    return held.join(trades, ["strategy", "exec_idx"]).select(F.col("strategy").alias(by), F.col("signal_date").alias(on), "execution_date", "names", "turnover")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from .calendar import as_of_backward
+from .forecasts import UNINFORMATIVE_ERROR
 
 
 def holding_weights(holdings: DataFrame, prices: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -288,3 +290,60 @@ def restate_contributions(df: DataFrame, column: str, volatility: str) -> DataFr
     return df.withColumn(column, F.transform_values(column, lambda k, v: safe_div(v, F.col(volatility))))
 
 
+
+
+def limits_in_force(metrics: DataFrame, limits: DataFrame, on: str = "as_of", keys: Sequence[str] = ("portfolio", "metric", "factor")) -> DataFrame:
+    """Known metrics with the limit that holds on their date: slack and breach as in :func:`evaluate_limits`.
+
+    ``limits(keys, lower_bound, upper_bound, valid_from, valid_to)``; of several started limits the newest counts, and none after its
+    ``valid_to``.  The interval is found by an as-of lookup on its start, and its end is checked on the row found, so no range join is needed.
+    """
+    starts = limits.select(*keys, F.col("valid_from").alias(on), "lower_bound", "upper_bound", "valid_to", F.lit(True).alias("limited"))
+    found = as_of_backward(metrics.where("value is not null"), starts, ["lower_bound", "upper_bound", "valid_to", "limited"], by=keys, on=on)
+    held = found.where(F.col("limited") & (F.col("valid_to").isNull() | (F.col(on) <= F.col("valid_to")))).drop("valid_to", "limited")
+    slack = F.least(F.col("value") - F.col("lower_bound"), F.col("upper_bound") - F.col("value"))
+    return held.withColumn("slack", slack).withColumn("breached", F.coalesce(slack < 0, F.lit(False)))
+
+
+def breach_states(evaluations: DataFrame, on: str = "as_of", keys: Sequence[str] = ("portfolio", "metric", "factor")) -> DataFrame:
+    """``evaluations`` with ``state``: open, update or resolved against the limit's evaluation before; null where nothing is breached."""
+    before = F.coalesce(F.lag("breached").over(Window.partitionBy(*keys).orderBy(on)), F.lit(False))  # one row per evaluated date
+    state = F.when(F.col("breached") & before, "update").when(F.col("breached"), "open").when(before, "resolved")
+    return evaluations.withColumn("state", state)
+
+
+def risk_inputs(
+    members: DataFrame,
+    fits: DataFrame,
+    exposures: DataFrame,
+    factors: DataFrame,
+    rates: DataFrame,
+    benchmark: DataFrame,
+    *,
+    by: Sequence[str] = ("portfolio",),
+    on: str = "as_of",
+    default_rate: float = 0.0,
+    missing: str = "raise",
+) -> DataFrame:
+    """What a risk run needs of every member at every signal date, one row per design factor.
+
+    ``members(by, on, ticker)`` for all runs at once; ``fits(ticker, as_of, residual_volatility)`` and ``exposures(ticker, as_of, factor,
+    beta, standard_error)`` are looked up at the newest fit on or before the date, ``rates(date, annualized_rate)`` likewise (else
+    ``default_rate``).  Factors of the design (``factors(factor)``, a catalog) that a fit left out have a beta of 0 and an uninformative
+    standard error.  A member without any fit raises, or with ``missing="flag"`` keeps null betas.  ``benchmark(factor, beta)`` is set beside.
+    """
+    if missing not in ("raise", "flag"):
+        raise ValueError(f"unknown treatment of missing fits: {missing}")
+    known = fits.select("ticker", F.col("as_of").alias(on), F.col("as_of").alias("fit_as_of"), "residual_volatility")
+    rows = as_of_backward(members.select(*by, on, "ticker"), known, ["fit_as_of", "residual_volatility"], by=["ticker"], on=on)
+    rate = as_of_backward(members.select(on).distinct(), rates.select(F.col("date").alias(on), "annualized_rate"), ["annualized_rate"], on=on)
+    rows = rows.join(rate, on).withColumn("annualized_rate", F.coalesce("annualized_rate", F.lit(float(default_rate)))).withColumn("has_fit", F.col("fit_as_of").isNotNull())
+    if missing == "raise":
+        problem = F.raise_error(F.concat(F.lit("no stock model on or before "), F.col(on).cast("string"), F.lit(" for "), F.col("ticker")))
+        rows = rows.withColumn("has_fit", F.when(F.col("has_fit"), F.lit(True)).otherwise(problem.cast("boolean")))
+    design = factors.select("factor").distinct().join(benchmark.select("factor", F.col("beta").alias("benchmark_beta")), "factor", "left")
+    packed = design.agg(F.collect_list(F.struct("factor", F.coalesce("benchmark_beta", F.lit(0.0)).alias("benchmark_beta"))).alias("__f")).withColumn("__k", F.lit(1))
+    grid = rows.withColumn("__k", F.lit(1)).join(packed, "__k").select(*rows.columns, F.explode("__f").alias("__d")).select(*rows.columns, "__d.factor", "__d.benchmark_beta")
+    e = exposures.select("ticker", F.col("as_of").alias("fit_as_of"), "factor", "beta", "standard_error")
+    return grid.join(e, ["ticker", "fit_as_of", "factor"], "left").withColumn("beta", F.when(F.col("has_fit"), F.coalesce("beta", F.lit(0.0)))).withColumn(
+        "standard_error", F.coalesce("standard_error", F.lit(UNINFORMATIVE_ERROR)))

@@ -271,7 +271,19 @@ def _(spark, sf):
     return replay.replay(d.unionByName(original), X.stock_monthly(spark, sf), X.month_calendar(spark, sf))
 
 
-@query("rebalance_risk", "H13 R2 R5", "strategy signal_date:d factor_variance:4 specific_variance:4 predicted_volatility:5")
+view(
+    "screen_w",
+    "SELECT s.period, s.ticker, weight, residual_volatility FROM (SELECT period, ticker, 1.0e0 / count(*) OVER (PARTITION BY period) AS weight FROM selections WHERE included) s JOIN fits USING (period, ticker)", "selections", "fits",
+)
+view("screen_b", "SELECT period, factor, sum(weight * beta) AS x FROM screen_w JOIN exposures USING (period, ticker) GROUP BY 1, 2", "screen_w", "exposures")
+
+
+@query(
+    "rebalance_risk", "H13 R2 R5", "strategy signal_date:d factor_variance:4 specific_variance:4 predicted_volatility:5",
+    """SELECT 'screen' AS strategy, period AS signal_date, v AS factor_variance, s AS specific_variance, sqrt(v + s) AS predicted_volatility FROM (SELECT a.period, sum(a.x * o.value * b.x) AS v FROM screen_b a JOIN omega o ON o.row = a.factor JOIN screen_b b ON b.period = a.period AND b.factor = o.col GROUP BY 1)
+    JOIN (SELECT period, sum(pow(weight * residual_volatility, 2)) AS s FROM screen_w GROUP BY 1) USING (period)""",
+    "screen_b screen_w omega",
+)
 def _(spark, sf):
     from .queries_risk import omega
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecasts as P
-from ..operators import moments, risk
+from ..operators import moments, replay, risk
 from ..operators.calendar import latest_per_key
 from . import fixtures as X
 from .oracle import query, view
@@ -256,18 +256,34 @@ def _(spark, sf):
     return risk.portfolio_daily_returns(w, X.stock_returns(spark, sf), ["portfolio"])
 
 
+view(
+    "drift",
+    """SELECT m.portfolio, n.date AS period, m.ticker, m.weight * (1 + coalesce(r.ret, 0)) AS v FROM modelled m JOIN month_cal c ON c.date = m.period JOIN month_cal n ON n.idx = c.idx + 1 LEFT JOIN stock_mret r ON r.ticker = m.ticker AND r.date = n.date""",
+    "modelled", "month_cal", "stock_mret",
+)
+view(
+    "turnovers",
+    """SELECT portfolio, period, sum(abs(w)) AS turnover FROM (SELECT portfolio, period, ticker, sum(w) AS w FROM (SELECT portfolio, period, ticker, weight AS w FROM modelled UNION ALL SELECT portfolio, period, ticker, -v / sum(v) OVER (PARTITION BY portfolio, period) FROM drift) GROUP BY 1, 2, 3)
+    SEMI JOIN (SELECT DISTINCT portfolio, period FROM modelled) USING (portfolio, period) WHERE period < (SELECT max(date) FROM month_cal) GROUP BY 1, 2""",
+    "modelled", "drift", "month_cal",
+)
 view(
     "snapshot",
-    """SELECT portfolio, period, vol AS total_volatility, tracking_error, coverage, concentration, sector_weight, specific_variance / predicted_variance AS residual_risk_share FROM ptotals JOIN tracking USING (portfolio, period)
+    """SELECT portfolio, period, vol AS total_volatility, tracking_error, coverage, concentration, stock_weight, sector_weight, specific_variance / predicted_variance AS residual_risk_share, turnover FROM ptotals JOIN tracking USING (portfolio, period)
     JOIN (SELECT portfolio, period, max(coverage) AS coverage FROM modelled GROUP BY 1, 2) USING (portfolio, period)
-    JOIN (SELECT portfolio, period, sum(h) AS concentration, max(s) AS sector_weight FROM (SELECT portfolio, period, sector, sum(weight * weight) AS h, sum(weight) AS s FROM modelled GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (portfolio, period)""",
-    "ptotals", "tracking", "modelled",
+    JOIN (SELECT portfolio, period, sum(h) AS concentration, max(t) AS stock_weight, max(s) AS sector_weight FROM (SELECT portfolio, period, sector, sum(weight * weight) AS h, max(weight) AS t, sum(weight) AS s FROM modelled GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (portfolio, period) LEFT JOIN turnovers USING (portfolio, period)""",
+    "ptotals", "tracking", "modelled", "turnovers",
+)
+METRICS = ("total_volatility", "tracking_error", "coverage", "concentration", "stock_weight", "sector_weight", "residual_risk_share", "turnover")
+_METRICS = ", ".join(METRICS)
+FACTOR_METRICS = ("factor_beta", "factor_risk_contribution")
+_LIMITS = (
+    ("total_volatility", None, 28.0), ("coverage", 0.9, None), ("sector_weight", 0.1, 0.3), ("residual_risk_share", None, 0.5), ("tracking_error", 1.0, 30.0), ("factor_beta", -0.05, 0.2),
+    ("concentration", None, 0.05), ("stock_weight", None, 0.08), ("turnover", None, 0.2), ("factor_risk_contribution", -0.5, 3.0),
 )
-METRICS = ("total_volatility", "tracking_error", "coverage", "concentration", "sector_weight", "residual_risk_share")
-_LIMITS = (("total_volatility", None, 28.0), ("coverage", 0.9, None), ("sector_weight", 0.1, 0.3), ("residual_risk_share", None, 0.5), ("tracking_error", 1.0, 30.0), ("factor_beta", -0.05, 0.2))
 view(
     "limits",
-    "SELECT DISTINCT portfolio, m AS metric, CASE WHEN m = 'factor_beta' THEN 'PROMO' ELSE '' END AS factor, lo AS lower_bound, hi AS upper_bound FROM holdings CROSS JOIN (VALUES "
+    "SELECT DISTINCT portfolio, m AS metric, CASE WHEN m IN ('factor_beta', 'factor_risk_contribution') THEN 'PROMO' ELSE '' END AS factor, lo AS lower_bound, hi AS upper_bound FROM holdings CROSS JOIN (VALUES "
     + ", ".join(f"('{m}', {'NULL' if a is None else f'{a}e0'}, {'NULL' if b is None else f'{b}e0'})" for m, a, b in _LIMITS) + ") v(m, lo, hi)",
     "holdings",
 )
@@ -277,7 +293,7 @@ def limits(spark, sf):
     table = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).cast("double").alias("lower_bound"), F.lit(b).cast("double").alias("upper_bound")) for m, a, b in _LIMITS])
     return (
         X.holdings(spark, sf).select("portfolio").distinct().select("portfolio", F.explode(table).alias("l")).select("portfolio", "l.*")
-        .withColumn("factor", F.when(F.col("metric") == "factor_beta", "PROMO").otherwise(""))
+        .withColumn("factor", F.when(F.col("metric").isin(*FACTOR_METRICS), "PROMO").otherwise(""))
     )
 
 
@@ -288,24 +304,33 @@ def metrics(spark, sf):
     totals = risk.decompose(b, s, o, BY)
     te, _ = risk.active_risk(b, benchmark_betas(spark, sf), s, o, BY)
     cover = m.groupBy(*BY).agg(F.max("coverage").alias("coverage"))
-    snap = totals.join(te, BY).join(cover, BY).join(risk.concentration(m, BY), BY).select(
-        *BY, F.col("predicted_volatility").alias("total_volatility"), "tracking_error", "coverage", "concentration", "sector_weight",
-        F.col("specific_risk_percent").alias("residual_risk_share"),
+    traded = replay.decision_turnover(m, X.stock_monthly(spark, sf), X.month_calendar(spark, sf)).select(*BY, "turnover")
+    snap = totals.join(te, BY).join(cover, BY).join(risk.concentration(m, BY), BY).join(traded, BY, "left").select(
+        *BY, F.col("predicted_volatility").alias("total_volatility"), "tracking_error", "coverage", "concentration", "stock_weight", "sector_weight",
+        F.col("specific_risk_percent").alias("residual_risk_share"), "turnover",
     )
-    factor_rows = b.select(*BY, F.lit("factor_beta").alias("metric"), F.col("exposure").alias("value"), "factor")
-    return risk.unpivot_metrics(snap, BY, METRICS).unionByName(factor_rows)
+    split = risk.euler_split(b, s, o, BY).select(*BY, F.lit("factor_risk_contribution").alias("metric"), F.col("contribution").alias("value"), "factor")
+    factor_rows = b.select(*BY, F.lit("factor_beta").alias("metric"), F.col("exposure").alias("value"), "factor").unionByName(split)
+    return risk.unpivot_metrics(snap, BY, METRICS).unionByName(factor_rows).where("value is not null")
+
+
+view(
+    "monitor",
+    f"""SELECT portfolio, period, name AS metric, '' AS factor, value FROM (UNPIVOT snapshot ON {_METRICS} INTO NAME name VALUE value) UNION ALL SELECT portfolio, period, 'factor_beta', factor, exposure FROM pbetas
+    UNION ALL SELECT m.portfolio, m.period, 'factor_risk_contribution', factor, exposure * marginal / vol FROM pmarg m JOIN ptotals USING (portfolio, period)""",
+    "snapshot", "pbetas", "pmarg", "ptotals",
+)
 
 
-@query("monitor_metrics", "R4 R5", "portfolio period:d metric value:5", "SELECT portfolio, period, name AS metric, value FROM (UNPIVOT snapshot ON total_volatility, tracking_error, coverage, concentration, sector_weight, residual_risk_share INTO NAME name VALUE value)", "snapshot")
+@query("monitor_metrics", "R4 R5", "portfolio period:d metric factor value:5", "SELECT * FROM monitor", "monitor")
 def _(spark, sf):
-    return metrics(spark, sf).where("metric <> 'factor_beta'")
+    return metrics(spark, sf)
 
 
 view(
     "evaluations",
-    """SELECT l.portfolio, l.metric, l.factor, period, value, least(value - lower_bound, upper_bound - value) AS slack FROM limits l JOIN (SELECT portfolio, period, name AS metric, value, '' AS factor FROM (UNPIVOT snapshot ON total_volatility, tracking_error, coverage, concentration, sector_weight, residual_risk_share INTO NAME name VALUE value)
-    UNION ALL SELECT portfolio, period, 'factor_beta', exposure, factor FROM pbetas) m ON m.portfolio = l.portfolio AND m.metric = l.metric AND m.factor = l.factor""",
-    "limits", "snapshot", "pbetas",
+    """SELECT l.portfolio, l.metric, l.factor, period, value, least(value - lower_bound, upper_bound - value) AS slack FROM limits l JOIN monitor m ON m.portfolio = l.portfolio AND m.metric = l.metric AND m.factor = l.factor""",
+    "limits", "monitor",
 )
 
 
@@ -329,6 +354,72 @@ def _(spark, sf):
     return risk.breach_episodes(evaluations(spark, sf), ["portfolio", "metric"], "period")
 
 
+# each limit as set until the middle of 1999, then tighter until the end of 2000, then none
+view(
+    "dated_limits",
+    """SELECT portfolio, metric, factor, lower_bound, upper_bound, DATE '1992-01-01' AS valid_from, DATE '1999-06-30' AS valid_to FROM limits
+    UNION ALL SELECT portfolio, metric, factor, lower_bound, upper_bound * 0.9e0, DATE '1999-07-01', DATE '2000-12-31' FROM limits""",
+    "limits",
+)
+view(
+    "rebalance_states",
+    """SELECT *, CASE WHEN slack < 0 THEN CASE WHEN p < 0 THEN 'update' ELSE 'open' END WHEN p < 0 THEN 'resolved' END AS state FROM (SELECT *, lag(slack) OVER (PARTITION BY portfolio, metric, factor ORDER BY period) AS p FROM (
+    SELECT m.portfolio, m.period, m.metric, m.factor, value AS observed, least(value - lower_bound, upper_bound - value) AS slack FROM monitor m JOIN dated_limits l ON l.portfolio = m.portfolio AND l.metric = m.metric AND l.factor = m.factor AND m.period BETWEEN valid_from AND valid_to
+    SEMI JOIN turnovers t ON t.portfolio = m.portfolio AND t.period = m.period))""",
+    "monitor", "dated_limits", "turnovers",
+)
+
+
+def rebalances(spark, sf):
+    return replay.decision_turnover(modelled(spark, sf), X.stock_monthly(spark, sf), X.month_calendar(spark, sf))
+
+
+def rebalance_states(spark, sf):
+    """State of every limit in force at each rebalance of the portfolios."""
+    date = lambda d: F.lit(d).cast("date")
+    base = limits(spark, sf)
+    dated = base.withColumns({"valid_from": date("1992-01-01"), "valid_to": date("1999-06-30")}).unionByName(
+        base.withColumns({"upper_bound": F.col("upper_bound") * 0.9, "valid_from": date("1999-07-01"), "valid_to": date("2000-12-31")}))
+    traded = metrics(spark, sf).join(rebalances(spark, sf).select(*BY, "execution_date"), BY)
+    return risk.breach_states(risk.limits_in_force(traded, dated, "period"), "period")
+
+
+@query(
+    "rebalance_limits", "H13 R5 R6", "portfolio execution_date:d metric factor observed:5 slack:5 state",
+    "SELECT s.portfolio, n.date AS execution_date, metric, factor, observed, slack, state FROM rebalance_states s JOIN month_cal c ON c.date = s.period JOIN month_cal n ON n.idx = c.idx + 1 WHERE state IS NOT NULL", "rebalance_states month_cal",
+)
+def _(spark, sf):
+    return rebalance_states(spark, sf).where("state is not null").withColumnRenamed("value", "observed")
+
+
+@query(
+    "rebalance_limit_audit", "H13", "portfolio period:d names:i turnover:6 limits:i breached:i opened:i resolved:i",
+    """SELECT portfolio, period, names, turnover, limits, breached, opened, resolved FROM (SELECT portfolio, period, count(*) AS names FROM modelled WHERE weight > 0 GROUP BY 1, 2) JOIN turnovers USING (portfolio, period) JOIN (SELECT portfolio, period, count(*) AS limits, count(*) FILTER (slack < 0) AS breached,
+    count(*) FILTER (state = 'open') AS opened, count(*) FILTER (state = 'resolved') AS resolved FROM rebalance_states GROUP BY 1, 2) USING (portfolio, period)""",
+    "modelled turnovers rebalance_states",
+)
+def _(spark, sf):
+    counted = rebalance_states(spark, sf).groupBy(*BY).agg(
+        F.count("*").alias("limits"), F.count_if("breached").alias("breached"), F.count_if(F.col("state") == "open").alias("opened"), F.count_if(F.col("state") == "resolved").alias("resolved"))
+    return rebalances(spark, sf).join(counted, BY)
+
+
+@query(
+    "risk_inputs", "K3 J7 J6", "portfolio as_of:d ticker factor beta:6 standard_error:6 fit_as_of:d residual_volatility:5 annualized_rate:8 benchmark_beta:6 has_fit:b",
+    """SELECT m.portfolio, m.as_of, m.ticker, x.factor, CASE WHEN f.as_of IS NOT NULL THEN coalesce(e.beta, 0) END AS beta, coalesce(e.standard_error, 1000000) AS standard_error, f.as_of AS fit_as_of, f.residual_volatility, coalesce(r.annualized_rate, 0.02e0) AS annualized_rate, coalesce(b.beta, 0) AS benchmark_beta, f.as_of IS NOT NULL AS has_fit
+    FROM (SELECT portfolio, CAST(as_of + 10 AS DATE) AS as_of, ticker FROM holdings CROSS JOIN ends) m ASOF LEFT JOIN (SELECT * FROM fits WHERE ticker <> 'NATION_3') f ON f.ticker = m.ticker AND m.as_of >= f.as_of ASOF LEFT JOIN cash_rates r ON m.as_of >= r.date
+    CROSS JOIN (SELECT DISTINCT factor FROM factor_mret) x LEFT JOIN exposures e ON e.ticker = m.ticker AND e.as_of = f.as_of AND e.factor = x.factor LEFT JOIN bench_fit b ON b.factor = x.factor""",
+    "holdings ends fits cash_rates factor_mret exposures bench_fit",
+)
+def _(spark, sf):
+    """All portfolios ten days after each month end; one member never had a fit."""
+    dates = X.month_end_dates(spark, sf).agg(F.collect_set(F.date_add("as_of", 10)).alias("d")).withColumn("k", F.lit(1))
+    members = X.holdings(spark, sf).select("portfolio", "ticker", F.lit(1).alias("k")).join(dates, "k").select("portfolio", "ticker", F.explode("d").alias("as_of"))
+    return risk.risk_inputs(
+        members, X.fits(spark, sf).where("ticker <> 'NATION_3'"), X.exposures(spark, sf), X.factor_monthly(spark, sf).select("factor").distinct(), X.cash_rates(spark, sf), benchmark_betas(spark, sf), default_rate=0.02, missing="flag",
+    )
+
+
 @query(
     "holdings_matrix", "R7 J10", "portfolio ticker factor beta:6",
     """SELECT h.portfolio, h.ticker, f.factor, CASE WHEN m.ticker IS NOT NULL THEN coalesce(e.beta, 0) END AS beta FROM holdings h CROSS JOIN (SELECT DISTINCT factor FROM factor_mret) f LEFT JOIN (SELECT DISTINCT ticker FROM fits WHERE period = DATE '1999-06-01' AND sector <> 'ASIA') m ON m.ticker = h.ticker

@@ -445,6 +445,44 @@ def _(spark, sf):
     return catalog.top_by_cap(catalog.market_caps(sec, X.stock_prices(spark, sf)), 3, "sector")
 
 
+def _universe(spark, sf, **choice):
+    sec = X.securities(spark, sf).withColumn("market_cap", F.lit(None).cast("double")).withColumn("asset_type", F.when(F.col("sector") == "EUROPE", "fund").otherwise("stock"))
+    prices = X.stock_prices(spark, sf).unionByName(X.benchmark_prices(spark, sf))
+    return catalog.exposure_universe(sec, prices, benchmark="ALL", **choice)
+
+
+@query(
+    "universe_all_and_benchmark", "F13", "ticker", "SELECT ticker FROM securities SEMI JOIN stock_prices USING (ticker) WHERE sector <> 'EUROPE' UNION ALL SELECT 'ALL' FROM (SELECT count(*) AS n FROM benchmark_prices) WHERE n > 0",
+    "securities stock_prices benchmark_prices",
+)
+def _(spark, sf):
+    return _universe(spark, sf)
+
+
+@query(
+    "universe_requested", "F13", "ticker", "SELECT min(ticker) AS ticker FROM securities SEMI JOIN stock_prices USING (ticker) WHERE sector <> 'EUROPE' GROUP BY sector", "securities stock_prices",
+)
+def _(spark, sf):
+    """An explicit list, written carelessly: the first stock of every sector."""
+    sec = X.securities(spark, sf).join(X.stock_prices(spark, sf).select("ticker").distinct(), "ticker", "left_semi").where("sector <> 'EUROPE'")
+    first = [r.t for r in sec.groupBy("sector").agg(F.min("ticker").alias("t")).collect()]  # one row a sector
+    return _universe(spark, sf, requested=[f" {t.lower()} " for t in first] + first[:1] + [" "])
+
+
+_LEVELS = {"base": ("STANDARD", "PROMO", "MISSING"), "base_sector": ("STANDARD", "PROMO", "SMALL", "LARGE"), "full": ("STANDARD", "SMALL", "UNKNOWN", "MEDIUM", "LARGE", "ECONOMY", "PROMO")}
+
+
+@query(
+    "level_columns", "F15", "level factor position:i",
+    "SELECT level, factor, row_number() OVER (PARTITION BY level ORDER BY i) - 1 AS position FROM (VALUES "
+    + ", ".join(f"('{level}', '{f}', {i})" for level, names in _LEVELS.items() for i, f in enumerate(names)) + ") v(level, factor, i) SEMI JOIN factor_mret USING (factor)",
+    "factor_mret",
+)
+def _(spark, sf):
+    available = [r.factor for r in X.factor_monthly(spark, sf).select("factor").distinct().collect()]  # the catalog
+    return catalog.catalog_members(spark, catalog.level_columns(_LEVELS, available, list(_LEVELS)))
+
+
 @query("equal_weight_allocation", "K4", "portfolio ticker equal_weight:8", "SELECT portfolio, ticker, 1.0e0 / count(*) OVER (PARTITION BY portfolio) AS equal_weight FROM holdings", "holdings")
 def _(spark, sf):
     return equal_weights(X.holdings(spark, sf))
