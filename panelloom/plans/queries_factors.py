@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.ranks import top_n
-from ..operators import catalog, exposures, moments, regression, returns, versioning
+from ..operators import catalog, exposures, moments, refit, regression, returns, versioning
 from ..operators.calendar import month_ends, trading_calendar
 from ..operators.signals import factor_groups
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from . import factor_model as M
 from . import fixtures as X
 from .oracle import VIEWS, arg_max_null, normal_p_sql, query, view
@@ -406,6 +408,76 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query(
+    "refit_partitions", "F22 S9 F12", "step mode changed:i partitions:i level ticker period:d observation_count:i adjusted_r2:6",
+    """SELECT step, mode, changed, partitions, level, ticker, period, n AS observation_count, adjusted_r2 FROM (
+    SELECT 'two' AS level, ticker, period, n, 1 - ((syy - b1 * s1y - b2 * s2y) / (n - 3)) / (syy / (n - 1)) AS adjusted_r2 FROM grid_moments UNION ALL
+    SELECT 'six', s.ticker, m.date, count(*), NULL FROM month_cal m JOIN stock_mret s ON s.idx > m.idx - 36 AND s.idx <= m.idx AND s.ret IS NOT NULL SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = s.date GROUP BY 1, 2, 3 HAVING count(*) >= 24)
+    CROSS JOIN (SELECT 'update' AS step, 'correction' AS mode, 1 + (SELECT count(*) FROM factor_mret WHERE date >= DATE '2001-06-01') AS changed, 2 * count(*) AS partitions FROM month_cal WHERE date >= DATE '1999-03-01')""",
+    "grid_moments month_cal stock_mret factor_mret",
+)
+def _(spark, sf):
+    """A store is built from the older panel and brought up to date: its fits equal a full build from the newer one."""
+    new, old = _stored(spark, sf, True)
+    cal = X.month_calendar(spark, sf)
+    root = shared_folder(spark, "stores", f"fits-{uuid.uuid4().hex}")
+    for panel in (old, new):
+        summary = refit.update_fit_store(
+            root, panel, X.stock_monthly(spark, sf), cal, month_ends(cal), {"two": ["STANDARD", "PROMO"], "six": list(X.FACTORS)}, window=36, minimum=24, selection_mode="fixed")
+    told = summary.select(F.lit("update").alias("step"), "mode", F.col("changed_observations").alias("changed"), F.col("refit_partitions").alias("partitions"), F.lit(1).alias("k"))
+    fits = refit.read_fits(spark, root).withColumn("adjusted_r2", F.when(F.col("level") == "two", F.col("adjusted_r2")))
+    return fits.withColumn("k", F.lit(1)).join(told, "k")
+
+
+def normal_equations(fits, returns, factors, window):
+    """(ticker, level, period, observation_count, regressors, orthogonal): whether residuals, recomputed from returns, are orthogonal to 1 and all regressors kept."""
+    wide = factors.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("factor", "ret"))).alias("x"))
+    rows = returns.where("ret is not null").select("ticker", "date", "idx", F.col("ret").alias("y")).join(wide, "date")
+    span = fits.select("ticker", "level", "period", "alpha", "factors", "beta", "end_idx", "design", F.explode(F.sequence(F.col("end_idx") - window + 1, F.col("end_idx"))).alias("idx"))
+    j = span.join(rows, ["ticker", "idx"]).where(F.forall("design", lambda f: F.try_element_at("x", f).isNotNull()))
+    fitted = F.aggregate(F.arrays_zip("factors", "beta"), F.col("alpha"), lambda s, z: s + z["beta"] * F.element_at("x", z["factors"]))
+    e = j.withColumn("e", F.col("y") - fitted).select("ticker", "level", "period", "e", F.explode(F.concat(F.array(F.struct(F.lit("1").alias("f"), F.lit(1.0).alias("v"))), F.transform("factors", lambda f: F.struct(f.alias("f"), F.element_at("x", f).alias("v"))))).alias("r"))
+    cells = e.groupBy("ticker", "level", "period", "r.f").agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("r.v")).alias("c"), F.sqrt(F.sum(F.col("e") * F.col("e")) * F.sum(F.col("r.v") * F.col("r.v"))).alias("scale"))
+    return cells.groupBy("ticker", "level", "period").agg(F.max("n").alias("observation_count"), (F.count("*") - 1).alias("regressors"), F.bool_and(F.abs("c") <= 1e-7 * F.col("scale") + 1e-12).alias("orthogonal"))
+
+
+_SIX_ROWS = "SELECT s.ticker, m.date AS period, count(*) AS n FROM month_cal m JOIN stock_mret s ON s.idx > m.idx - {w} AND s.idx <= m.idx AND s.ret IS NOT NULL SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = s.date {where} GROUP BY 1, 2 HAVING count(*) >= {least}"
+
+
+def _checked(spark, sf, fits, window, design=X.FACTORS):
+    places = X.month_calendar(spark, sf).select(F.col("date").alias("as_of"), F.col("idx").alias("end_idx"))
+    marked = fits.join(places, "as_of").withColumn("design", F.array(*[F.lit(f) for f in design]))
+    return normal_equations(marked, X.stock_monthly(spark, sf), X.factor_monthly(spark, sf), window)
+
+
+@query(
+    "exposure_orthogonality", "F8 F12", "ticker period:d observation_count:i regressors:i orthogonal:b",
+    f"SELECT ticker, period, n AS observation_count, 6 AS regressors, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "month_cal stock_mret factor_mret",
+)
+def _(spark, sf):
+    """Six-factor fits of all months: residuals recomputed from returns are orthogonal to every regressor."""
+    return _checked(spark, sf, _grid(spark, sf, {"six": list(X.FACTORS)}), 36)
+
+
+@query(
+    "elastic_net_orthogonality", "F9 F12", "ticker period:d observation_count:i chosen:b orthogonal:b",
+    f"SELECT ticker, period, n AS observation_count, true AS chosen, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "month_cal stock_mret factor_mret",
+)
+def _(spark, sf):
+    """Fits after selection: at least one and at most six factors, and residuals orthogonal to all that were kept."""
+    out = _checked(spark, sf, _grid(spark, sf, {"six": list(X.FACTORS)}, "elastic_net"), 36)
+    return out.withColumn("chosen", F.col("regressors").between(1, 6))
+
+
+@query(
+    "latest_exposure_orthogonality", "F11", "ticker observation_count:i orthogonal:b",
+    f"SELECT ticker, n AS observation_count, true AS orthogonal FROM ({_SIX_ROWS.format(w=252, where='WHERE m.idx = (SELECT max(idx) FROM month_cal)', least=60)})", "month_cal stock_mret factor_mret",
+)
+def _(spark, sf):
+    out = exposures.latest_exposures(X.stock_monthly(spark, sf), X.factor_monthly(spark, sf), X.month_calendar(spark, sf), X.FACTORS, selection_mode="fixed")
+    return _checked(spark, sf, out, 252)
+
+
 @query("incremental_update", "F22", "ticker level period:d observation_count:i adjusted_r2:6")
 def _(spark, sf):
     new, old = _stored(spark, sf, True)
