@@ -1,10 +1,9 @@
-"""Risk matrices, closed-form and batched allocations, bounds and constraint audit."""
+"""Risk matrices, closed-form allocations, bounds and constraint audit."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,56 +142,6 @@ def greedy_max_return(names: DataFrame, by: Sequence[str] = ("portfolio",)) -> D
     )
 
 
-def allocation_grid(
-    names: DataFrame,
-    matrix: DataFrame,
-    *,
-    by: Sequence[str],
-    objectives: Sequence[str] = OBJECTIVES,
-    risk_aversion: float = 1.0,
-    risk_free_rate: float = 0.0,
-) -> DataFrame:
-    """Box-and-budget optimal weights for every (portfolio, objective).
-
-    ``names(by, ticker, expected_return, lower, upper)``, ``matrix(by, row, col, value)``.
-    Groups are size-checked; a solve that does not converge falls back to equal weight.
-    """
-    by = list(by)
-    rows = matrix.groupBy(*by, F.col("row").alias("ticker")).agg(
-        F.array_sort(F.collect_list(F.struct("col", "value"))).alias("v")
-    ).select(*by, "ticker", F.col("v.value").alias("cov"))
-    groups = bounded_names(names.select(*by, "ticker", "expected_return", "lower", "upper").join(rows, [*by, "ticker"]), by)
-    tasks = groups.withColumn("objective", F.explode(F.array(*[F.lit(o) for o in objectives])))
-    types = ", ".join(f"{c} {names.schema[c].dataType.simpleString()}" for c in by)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        from ..functions.kernels import allocate
-
-        pdf = pdf.sort_values("ticker")
-        low, high = pdf["lower"].to_numpy(), pdf["upper"].to_numpy()
-        n = len(pdf)
-        ok = low.sum() <= 1 + 1e-9 and high.sum() >= 1 - 1e-9
-        w = np.full(n, 1.0 / n)
-        if ok:
-            got, ok = allocate(
-                np.stack(pdf["cov"].to_numpy()), pdf["expected_return"].fillna(0.0).to_numpy(), low, high,
-                pdf["objective"].iloc[0], risk_aversion, risk_free_rate,
-            )
-            w = got if ok else w
-        out = pdf[[*by, "objective", "ticker"]].copy()
-        out["optimized_weight"] = w
-        out["status"] = "succeeded" if ok else "fallback_equal"
-        return out
-
-    # an explicit count: adaptive coalescing would weigh bytes, not solver time
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(parts, *by, "objective").groupBy(*by, "objective").applyInPandas(
-        solve, f"{types}, objective string, ticker string, optimized_weight double, status string"
-    )
-
-
 def ex_ante(
     names: DataFrame,
     exposures: DataFrame,
@@ -237,6 +186,22 @@ def ex_ante(
     )
 
 
+_BOUND = "array<struct<name: string, lower: double, upper: double>>"
+_SETTINGS = f"sectors {_BOUND}, bounds {_BOUND}, relative {_BOUND}, benchmark map<string, double>, caps array<struct<name: string, maximum: double>>, omega array<struct<factor: string, row: map<string, double>>>"
+
+
+def _settings(weights: DataFrame, sector_bounds, factor_bounds, relative_factor_bounds, benchmark_betas, component_caps, omega) -> DataFrame:
+    """All settings of an audit as one row: its lists are as long as the catalog of factors or sectors, which the driver may hold."""
+    bounds = lambda df, name: [] if df is None else [(r[0], r[1], r[2]) for r in df.select(name, "lower", "upper").collect()]
+    benchmark = None if benchmark_betas is None else {r[0]: r[1] for r in benchmark_betas.select("factor", "beta").collect()}
+    caps = [] if component_caps is None else [(r[0], r[1]) for r in component_caps.select("factor", "maximum").collect()]
+    rows: dict[str, dict[str, float]] = {}
+    for r in [] if omega is None else omega.select("row", "col", "value").collect():
+        rows.setdefault(r[0], {})[r[1]] = r[2]
+    one = (bounds(sector_bounds, "sector"), bounds(factor_bounds, "factor"), bounds(relative_factor_bounds, "factor"), benchmark, caps, list(rows.items()))
+    return weights.sparkSession.createDataFrame([one], _SETTINGS)
+
+
 def audit(
     weights: DataFrame,
     *,
@@ -257,89 +222,68 @@ def audit(
     ``weights(by, ticker, sector, weight, previous, lower, upper, residual_volatility)``;
     bound tables hold (sector | factor, lower, upper), caps (factor, maximum),
     ``benchmark_betas(factor, beta)`` without which the previous weights are the benchmark.
+
+    One pass over the weights adds up what all constraints need, by kind and name; a portfolio's sums are then a few maps on one
+    row, from which its slacks are exploded.  Name bounds are read off the weights themselves.
     """
     by = list(by)
-    out = []
-    row = lambda df, kind, name, slack, tol: df.select(
-        *by,
-        F.lit(kind).alias("kind"),
-        (F.col(name) if name else F.lit("")).alias("name"),
-        slack.alias("slack"),
-        (slack < -tol).alias("violated"),
-    )
-    sums = weights.groupBy(*by).agg(
-        F.sum("weight").alias("w"), F.sum(F.abs(F.col("weight") - F.col("previous"))).alias("t")
-    )
-    out.append(row(sums, "fully_invested", None, F.lit(BUDGET_TOLERANCE) - F.abs(F.col("w") - 1), 0.0))
-    out.append(row(weights, "minimum_weight", "ticker", F.col("weight") - F.col("lower"), BOUND_TOLERANCE))
-    out.append(row(weights, "maximum_weight", "ticker", F.col("upper") - F.col("weight"), BOUND_TOLERANCE))
+    zero = F.lit(0.0)
+    part = lambda kind, name, value, prior=zero: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"), prior.cast("double").alias("prior"))
+    none = F.lit("")
+    move = F.col("weight") if benchmark_betas is not None else F.col("weight") - F.col("previous")
+    parts = F.array(
+        part("budget", none, F.col("weight")), part("turnover", none, F.abs(F.col("weight") - F.col("previous"))), part("sector", F.col("sector"), F.col("weight")),
+        part("specific", none, F.pow(move * F.coalesce("residual_volatility", zero), 2)))
+    rows = weights
+    if exposures is not None:
+        shared = [c for c in [*by, "ticker"] if c in exposures.columns]
+        betas = exposures.groupBy(*shared).agg(F.map_from_entries(F.collect_list(F.struct("factor", "beta"))).alias("__b"))
+        rows = weights.join(betas, shared, "left")
+        entries = F.map_entries(F.coalesce("__b", F.create_map().cast("map<string, double>")))
+        parts = F.concat(parts, F.transform(entries, lambda e: part("factor", e["key"], F.col("weight") * e["value"], F.col("previous") * e["value"])))
+    long = rows.select(*by, F.explode(parts).alias("p")).select(*by, "p.*").groupBy(*by, "kind", "name").agg(F.sum("value").alias("value"), F.sum("prior").alias("prior"))
+    scalar = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    table = lambda kind, column: F.map_from_entries(F.collect_list(F.when((F.col("kind") == kind) & F.col("name").isNotNull(), F.struct("name", column))))
+    sums = long.groupBy(*by).agg(
+        scalar("budget").alias("w"), scalar("turnover").alias("t"), scalar("specific").alias("s"),
+        table("sector", "value").alias("in_sector"), table("factor", "value").alias("exposure"), table("factor", "prior").alias("prior"))
+    settings = _settings(weights, sector_bounds, factor_bounds, relative_factor_bounds, benchmark_betas, component_caps, omega)
+    j = sums.join(F.broadcast(settings))  # one row beside each portfolio's
+
+    slack = lambda kind, name, value, tolerance: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("slack"), F.lit(tolerance).alias("tolerance"))
+    get = lambda m, key: F.coalesce(F.try_element_at(m, key), zero)
+    held = lambda bounds: F.filter(bounds, lambda b: F.map_contains_key(F.col("exposure"), b["name"]))
+    both = lambda bounds, kind, value: F.flatten(F.transform(bounds, lambda b: F.array(
+        slack(f"{kind}_minimum", b["name"], value(b["name"]) - b["lower"], BUDGET_TOLERANCE), slack(f"{kind}_maximum", b["name"], b["upper"] - value(b["name"]), BUDGET_TOLERANCE))))
+    against = F.col("prior") if benchmark_betas is None else F.col("benchmark")
+    gap = lambda f: get(F.col("exposure"), f) - get(against, f)
+    out = [F.array(slack("fully_invested", none, F.lit(BUDGET_TOLERANCE) - F.abs(F.col("w") - 1), 0.0))]
     if turnover_cap is not None:
-        out.append(row(sums, "turnover_cap", None, F.lit(float(turnover_cap)) - F.col("t"), BUDGET_TOLERANCE))
+        out.append(F.array(slack("turnover_cap", none, F.lit(float(turnover_cap)) - F.col("t"), BUDGET_TOLERANCE)))
     if sector_bounds is not None:
-        actual = weights.groupBy(*by, "sector").agg(F.sum("weight").alias("w"))
-        s = _bounded_grid(sums, sector_bounds, "sector", by).join(actual, [*by, "sector"], "left")
-        w = F.coalesce(F.col("w"), F.lit(0.0))
-        out.append(row(s, "sector_minimum", "sector", w - F.col("lower"), BUDGET_TOLERANCE))
-        out.append(row(s, "sector_maximum", "sector", F.col("upper") - w, BUDGET_TOLERANCE))
-    if exposures is None:
-        return _stack(out)
-    e = weights.join(exposures, [c for c in [*by, "ticker"] if c in exposures.columns])
-    betas = e.groupBy(*by, "factor").agg(
-        F.sum(F.col("weight") * F.col("beta")).alias("exposure"),
-        F.sum(F.col("previous") * F.col("beta")).alias("prior"),
-    )
-    if factor_bounds is not None:
-        f = betas.join(factor_bounds, "factor")
-        out.append(row(f, "factor_minimum", "factor", F.col("exposure") - F.col("lower"), BUDGET_TOLERANCE))
-        out.append(row(f, "factor_maximum", "factor", F.col("upper") - F.col("exposure"), BUDGET_TOLERANCE))
-    if relative_factor_bounds is not None:
-        f = betas.join(relative_factor_bounds, "factor")
-        if benchmark_betas is not None:
-            f = f.join(benchmark_betas.select("factor", F.col("beta").alias("__bm")), "factor", "left")
-            gap = F.col("exposure") - F.coalesce("__bm", F.lit(0.0))
-        else:
-            gap = F.col("exposure") - F.col("prior")
-        out.append(row(f, "relative_factor_minimum", "factor", gap - F.col("lower"), BUDGET_TOLERANCE))
-        out.append(row(f, "relative_factor_maximum", "factor", F.col("upper") - gap, BUDGET_TOLERANCE))
-    if omega is None:
-        return _stack(out)
-    marg = factor_marginals(betas.select(*by, "factor", "exposure"), omega, by)
-    if max_factor_variance is not None:
-        v = marg.groupBy(*by).agg(F.sum(F.col("exposure") * F.col("marginal")).alias("v"))
-        out.append(row(v, "factor_variance", None, F.lit(float(max_factor_variance)) - F.col("v"), BUDGET_TOLERANCE))
-    if component_caps is not None:
-        c = marg.join(component_caps, "factor")
-        out.append(row(c, "factor_component", "factor", F.col("maximum") - F.abs(F.col("exposure") * F.col("marginal")), BUDGET_TOLERANCE))
-    if tracking_error_limit is not None:
-        if benchmark_betas is not None:
-            base = betas.join(benchmark_betas.select("factor", F.col("beta").alias("__bm")), "factor", "left")
-            gap, move = F.col("exposure") - F.coalesce("__bm", F.lit(0.0)), F.col("weight")
-        else:
-            base, gap, move = betas, F.col("exposure") - F.col("prior"), F.col("weight") - F.col("previous")
-        active = factor_marginals(base.select(*by, "factor", gap.alias("exposure")), omega, by)
-        var = active.groupBy(*by).agg(F.sum(F.col("exposure") * F.col("marginal")).alias("v"))
-        spec = weights.groupBy(*by).agg(
-            F.sum(F.pow(move * F.coalesce("residual_volatility", F.lit(0.0)), 2)).alias("s")
-        )
-        te = var.join(spec, by)
-        out.append(row(te, "tracking_error", None, F.lit(float(tracking_error_limit) ** 2) - F.col("v") - F.col("s"), BUDGET_TOLERANCE))
-    return _stack(out)
-
-
-def _bounded_grid(portfolios: DataFrame, bounds: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
-    """Every portfolio with every configured bound (a short table packed into one array)."""
-    packed = bounds.groupBy(F.lit(1).alias("__k")).agg(F.collect_list(F.struct(name, "lower", "upper")).alias("__b"))
-    return (
-        portfolios.select(*by).withColumn("__k", F.lit(1)).join(packed, "__k")
-        .select(*by, F.explode("__b").alias("__c")).select(*by, "__c.*")
-    )
-
-
-def _stack(frames: list[DataFrame]) -> DataFrame:
-    total = frames[0]
-    for f in frames[1:]:
-        total = total.unionByName(f)
-    return total
+        out.append(both(F.col("sectors"), "sector", lambda name: get(F.col("in_sector"), name)))
+    if exposures is not None:
+        out.append(both(held(F.col("bounds")), "factor", lambda name: get(F.col("exposure"), name)))
+        out.append(both(held(F.col("relative")), "relative_factor", gap))
+    if exposures is not None and omega is not None:
+        marginal = lambda value: lambda o: F.aggregate(F.map_entries(o["row"]), zero, lambda a, e: a + e["value"] * value(e["key"]))
+        quadratic = lambda value: F.aggregate("omega", zero, lambda a, o: a + value(o["factor"]) * marginal(value)(o))
+        own = lambda f: get(F.col("exposure"), f)
+        active = lambda f: F.when(F.map_contains_key(F.col("exposure"), f), gap(f)).otherwise(zero)
+        modelled = F.size("exposure") > 0
+        rest = []
+        if max_factor_variance is not None:
+            rest.append(F.array(slack("factor_variance", none, F.lit(float(max_factor_variance)) - quadratic(own), BUDGET_TOLERANCE)))
+        if component_caps is not None:
+            cap = lambda o: F.filter("caps", lambda c: c["name"] == o["factor"])
+            rest.append(F.flatten(F.transform("omega", lambda o: F.transform(cap(o), lambda c: slack("factor_component", c["name"], c["maximum"] - F.abs(own(o["factor"]) * marginal(own)(o)), BUDGET_TOLERANCE)))))
+        if tracking_error_limit is not None:
+            rest.append(F.array(slack("tracking_error", none, F.lit(float(tracking_error_limit) ** 2) - quadratic(active) - F.col("s"), BUDGET_TOLERANCE)))
+        out += [F.when(modelled, r).otherwise(F.filter(r, lambda x: F.lit(False))) for r in rest]
+    found = j.select(*by, F.explode(F.concat(*out)).alias("c")).select(*by, "c.*")
+    names = weights.select(*by, F.explode(F.array(
+        slack("minimum_weight", F.col("ticker"), F.col("weight") - F.col("lower"), BOUND_TOLERANCE), slack("maximum_weight", F.col("ticker"), F.col("upper") - F.col("weight"), BOUND_TOLERANCE))).alias("c")).select(*by, "c.*")
+    return found.unionByName(names).withColumn("violated", F.col("slack") < -F.col("tolerance")).drop("tolerance")
 
 
 def exposure_comparison(original: DataFrame, optimized: DataFrame, bounds: DataFrame | None, by: Sequence[str]) -> DataFrame:
