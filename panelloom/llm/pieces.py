@@ -79,7 +79,7 @@ class Pieces:
         # no piece crosses from another character into a space, so words can be encoded one by one
         self.words_apart = not any(p[1] == SPACE != p[0] for p in self.pairs)
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.words_apart else re.compile(".+", re.S)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids of words, four bytes each
         self.apart: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -144,29 +144,27 @@ class Pieces:
             last = begin[last]
         return out[::-1]
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
+    def word_ids(self, word: str) -> bytes:
         found = self.cache.get(word)
         if found is None:
             parts = self.merge(word) if len(word) <= LONG else self.trace(word, self.paths(word, None, len(word)), len(word), 0)
-            found = tuple(self.numbers(parts))
+            found = np.array(self.numbers(parts), dtype="<i4").tobytes()
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             self.cache[word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a normalised text."""
-        out: list[int] = []
-        get = self.cache.get
-        for w in self.word.findall(text):
-            out += get(w) or self.word_ids(w)
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a normalised text; words are joined whole, so the work goes with words and not with ids."""
+        get, ids = self.cache.get, self.word_ids
+        return np.frombuffer(b"".join([get(w) or ids(w) for w in self.word.findall(text)]), dtype="<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        if self.byte_of.keys().isdisjoint(ids):
-            return "".join([self.spoken[i] for i in ids])[1:]
+    def decode(self, ids: np.ndarray) -> str:
+        spoken, places = self.spoken, ids.tolist()
+        if self.byte_of.keys().isdisjoint(places):
+            return "".join([spoken[i] for i in places])[1:]
         out, raw = [], bytearray()
-        for i in ids:
+        for i in places:
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -229,7 +227,7 @@ class Chunk:
         if self.head is None:
             return self.p.numbers(self.p.trace(self.text, self._from(start, self.end), b, done))
         ids = self.p.numbers(self.p.trace(self.text, self._from(start, self.head), self.head, done))
-        ids += self.p.encode(self.text[self.head : self.tail])
+        ids += self.p.encode(self.text[self.head : self.tail]).tolist()
         rest = self.text[self.tail :]
         return ids + self.p.numbers(self.p.trace(rest, self.p.paths(rest, None, self.end - self.tail), b - self.tail, 0))
 
@@ -290,7 +288,7 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
         for b in batches:
             for i in range(0, len(b), 512):
                 part = b.slice(i, 512)
-                ids = pa.array([np.array(p.encode(normalised(t)), dtype=np.int32) for t in part["text"].to_pylist()], type=pa.list_(pa.int32()))
+                ids = pa.array([p.encode(normalised(t)) for t in part["text"].to_pylist()], type=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part["key"], ids], names=["key", "ids"])
 
     def split(batches):
@@ -348,6 +346,6 @@ def with_decoded(encoded: DataFrame, model: str = MODEL, ids: str = "ids", into:
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
         p = _load(data)
-        return pd.Series([p.decode(x.tolist()) if x is not None else "" for x in rows], index=rows.index, dtype="object")
+        return pd.Series([p.decode(x) if x is not None else "" for x in rows], index=rows.index, dtype="object")
 
     return small_batches(encoded).withColumn(into, run(F.col(ids)))
