@@ -19,34 +19,48 @@ from ..operators.versioning import affected_months, diff_observations, invalidat
 from ..session import cut_lineage
 
 
-def macro_factors(returns: DataFrame, macro: Sequence[tuple] = C.MACRO) -> DataFrame:
-    """Signed leg or long-minus-short spread, raw or volatility-scaled, as (factor, date, ret)."""
-    spark = returns.sparkSession
-    spec = spark.createDataFrame(list(macro), "factor string, kind string, long_leg string, short_leg string, sign int")
-    have = returns.where("ret is not null").select("ticker", "date", "idx", "ret")
-    lead = have.join(spec, F.col("ticker") == F.col("long_leg")).drop("ticker")
-    short = have.select(F.col("ticker").alias("short_leg"), "date", F.col("ret").alias("__s"))
-    both = lead.join(short, ["short_leg", "date"], "left")
-    raw = F.col("ret") * F.col("sign") - F.when(F.col("short_leg").isNotNull(), F.col("__s")).otherwise(F.lit(0.0))
-    series = both.select("factor", "kind", "date", "idx", raw.alias("ret")).where("ret is not null")
+def specified_legs(returns: DataFrame, macro: Sequence[tuple] = (), style: Sequence[tuple] = ()) -> DataFrame:
+    """(factor, layer, kind, sign, paired, date, idx, long, short, hedge): the legs of all specified factors side by side.
+
+    Every leg is a row of one specification table, which meets the returns once; a leg without a return on a day is null there.
+    """
+    rows = [(f, "macro", kind, sign, short is not None, role, ticker) for f, kind, long, short, sign in macro for role, ticker in (("long", long), ("short", short)) if ticker]
+    rows += [(f, "style", None, 1, False, role, ticker) for f, long, hedge in style for role, ticker in (("long", long), ("hedge", hedge))]
+    spec = returns.sparkSession.createDataFrame(rows, "factor string, layer string, kind string, sign int, paired boolean, role string, ticker string")
+    legs = returns.where("ret is not null").select("ticker", "date", "idx", "ret").join(spec, "ticker")
+    of = lambda role, value: F.max(F.when(F.col("role") == role, F.col(value)))
+    return legs.groupBy("factor", "layer", "kind", "sign", "paired", "date").agg(
+        of("long", "idx").alias("idx"), *[of(role, "ret").alias(role) for role in ("long", "short", "hedge")])
+
+
+def _macro(legs: DataFrame) -> DataFrame:
+    raw = F.col("long") * F.col("sign") - F.when(F.col("paired"), F.col("short")).otherwise(F.lit(0.0))
+    series = legs.where("layer = 'macro'").select("factor", "kind", "date", "idx", raw.alias("ret")).where("ret is not null")
     scaled = lagged_vol_target(series.where("kind = 'vol'"), "factor", gaps="break")
     return series.where("kind = 'raw'").select("factor", "date", "ret").unionByName(
         scaled.select("factor", "date", F.col("scaled_return").alias("ret"))
     )
 
 
+def _style(legs: DataFrame, beta_timing: str) -> DataFrame:
+    rows = legs.where("layer = 'style' and long is not null and hedge is not null").select("factor", "date", F.col("long").alias("y"), F.array("hedge").alias("x"))
+    return build_stripped(rows, 1, beta_timing=beta_timing)
+
+
+def macro_factors(returns: DataFrame, macro: Sequence[tuple] = C.MACRO) -> DataFrame:
+    """Signed leg or long-minus-short spread, raw or volatility-scaled, as (factor, date, ret)."""
+    return _macro(specified_legs(returns, macro=macro))
+
+
 def style_factors(returns: DataFrame, style: Sequence[tuple] = C.STYLE, beta_timing: str = "same_friday") -> DataFrame:
     """Each long leg stripped of its own hedge; all styles in one job keyed by factor."""
-    spark = returns.sparkSession
-    spec = spark.createDataFrame(list(style), "factor string, long_leg string, hedge string")
-    have = returns.where("ret is not null").select("ticker", "date", "ret")
-    y = have.join(spec, F.col("ticker") == F.col("long_leg")).select("factor", "hedge", "date", F.col("ret").alias("y"))
-    x = have.select(F.col("ticker").alias("hedge"), "date", F.array("ret").alias("x"))
-    return build_stripped(y.join(x, ["hedge", "date"]).drop("hedge"), 1, beta_timing=beta_timing)
+    return _style(specified_legs(returns, style=style), beta_timing)
 
 
 def core_layer(returns: DataFrame, macro=C.MACRO, style=C.STYLE) -> DataFrame:
-    return macro_factors(returns, macro).unionByName(style_factors(returns, style))
+    """Macro and style factors from one table of legs, written out once, so that returns are planned once whatever the number of factors."""
+    legs = cut_lineage(specified_legs(returns, macro, style))
+    return _macro(legs).unionByName(_style(legs, "same_friday"))
 
 
 def stripped_layer(
