@@ -9,6 +9,7 @@ in any grouping, and once the pieces on the borders are known every chunk finds
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk; longer texts are split. Words longer than LONG take the chunk method inside one task.
 CHUNK, LONG = 1 << 15, 64
-CACHE_WORDS = 120_000
+CACHE_WORDS = 100_000
+NEVER = float("inf")
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
 
@@ -80,23 +82,21 @@ class Pieces:
         self.words_apart = not any(p[1] == SPACE != p[0] for p in self.pairs)
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.words_apart else re.compile(".+", re.S)
         self.cache: dict[str, bytes] = {}  # ids of words, four bytes each
+        self.older: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces and single characters of a short text: the best-scored neighbours are joined first, the leftmost of equals."""
-        parts, rank, never = list(text), self.rank.get, float("inf")
-        ranks = [rank(x + y, never) for x, y in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == never:
-                break
+        parts, rank, never = list(text), self.rank.get, NEVER
+        ranks = [rank(text[i : i + 2], never) for i in range(len(text) - 1)]
+        while ranks and (best := min(ranks)) != never:
             i = ranks.index(best)
-            parts[i] += parts.pop(i + 1)
-            ranks.pop(i)
+            joined = parts[i] = parts[i] + parts.pop(i + 1)
+            del ranks[i]
             if i:
-                ranks[i - 1] = rank(parts[i - 1] + parts[i], never)
+                ranks[i - 1] = rank(parts[i - 1] + joined, never)
             if i < len(ranks):
-                ranks[i] = rank(parts[i] + parts[i + 1], never)
+                ranks[i] = rank(joined + parts[i + 1], never)
         return parts
 
     def stay_apart(self, left: str, right: str) -> bool:
@@ -110,6 +110,11 @@ class Pieces:
         return known
 
     def numbers(self, parts: list[str]) -> list[int]:
+        ids = self.ids
+        try:
+            return [ids[p] for p in parts]
+        except KeyError:  # some character is no piece
+            pass
         out: list[int] = []
         for p in parts:
             i = self.ids.get(p)
@@ -146,17 +151,25 @@ class Pieces:
 
     def word_ids(self, word: str) -> bytes:
         found = self.cache.get(word)
+        if found is None and word in self.older:
+            found = self.older[word]
+            self.remember(word, found)
         if found is None:
             parts = self.merge(word) if len(word) <= LONG else self.trace(word, self.paths(word, None, len(word)), len(word), 0)
-            found = np.array(self.numbers(parts), dtype="<i4").tobytes()
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = found
+            found = array("i", self.numbers(parts)).tobytes()
+            self.remember(word, found)
         return found
 
+    def remember(self, word: str, ids: bytes) -> None:
+        """Keep a word; when the cache is full it becomes the older half, whose words come back when they are met again."""
+        if len(self.cache) > CACHE_WORDS:
+            self.older = self.cache
+            self.cache = {}
+        self.cache[word] = ids
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a normalised text; words are joined whole, so the work goes with words and not with ids."""
-        get, ids = self.cache.get, self.word_ids
+        get, ids = self.cache.get, self.word_ids  # of the cache at the start: what is kept meanwhile is found by the slower way
         return np.frombuffer(b"".join([get(w) or ids(w) for w in self.word.findall(text)]), dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> str:
