@@ -26,7 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk; longer texts are split. Words longer than LONG take the chunk method inside one task.
 CHUNK, LONG = 1 << 15, 64
-CACHE_WORDS = 100_000
+CACHE_WORDS = 80_000
 NEVER = float("inf")
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
@@ -316,12 +316,16 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
                         pa.array([min(len(t), (k + 1) * chunk) - first], type=pa.int32()), pa.array([t[first : (k + 1) * chunk + halo]], type=pa.string()),
                     ], names=["key", "uid", "k", "n", "at", "end", "text"])
 
+    def rows_of(batch):
+        for r in range(len(batch)):  # one at a time: a batch of chunks is large, as Python strings twice so
+            yield batch.slice(r, 1).to_pylist()[0]
+
     def chunk_of(row) -> Chunk:
         return Chunk(_load(data), row["text"], row["at"], row["end"], row["k"] == 0, row["k"] == row["n"] - 1)
 
     def matrices(batches):
         for b in batches:
-            m = [chunk_of(r).matrix() for r in b.to_pylist()]
+            m = [chunk_of(r).matrix() for r in rows_of(b)]
             yield pa.RecordBatch.from_arrays(
                 [b["uid"], b["k"], pa.array([x.shape[0] for x in m], type=pa.int32()), pa.array([x.astype("<f4").tobytes() for x in m], type=pa.binary())], names=["uid", "k", "height", "matrix"])
 
@@ -333,7 +337,7 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
 
     def resolve(batches):
         for b in batches:
-            ids = [chunk_of(r).pieces(r["enter"], r["leave"]) for r in b.to_pylist()]
+            ids = [np.array(chunk_of(r).pieces(r["enter"], r["leave"]), dtype=np.int32) for r in rows_of(b)]
             yield pa.RecordBatch.from_arrays([b["key"], b["uid"], b["k"], pa.array(ids, type=pa.list_(pa.int32()))], names=["key", "uid", "k", "ids"])
 
     out = rows.where(short).mapInArrow(whole, f"key {kind}, ids array<int>")
