@@ -408,13 +408,23 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
+# windows end at the last day of the whole design, and a month is fitted up to three after a stock's last return
+view(
+    "six_ends",
+    "SELECT m.date AS period, m.idx, max(c.idx) AS e FROM month_cal m JOIN month_cal c ON c.idx <= m.idx SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = c.date GROUP BY 1, 2",
+    "month_cal", "factor_mret",
+)
+_SIX_ROWS = """SELECT s.ticker, m.period, count(*) AS n FROM six_ends m JOIN stock_mret s ON s.idx > m.e - {w} AND s.idx <= m.e AND s.ret IS NOT NULL SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = s.date
+    JOIN (SELECT ticker, max(date) AS b FROM stock_mret WHERE ret IS NOT NULL GROUP BY 1) l ON l.ticker = s.ticker AND m.period <= l.b + INTERVAL 3 MONTH {where} GROUP BY 1, 2 HAVING count(*) >= {least}"""
+
+
 @query(
     "refit_partitions", "F22 S9 F12", "step mode changed:i partitions:i level ticker period:d observation_count:i adjusted_r2:6",
     """SELECT step, mode, changed, partitions, level, ticker, period, n AS observation_count, adjusted_r2 FROM (
     SELECT 'two' AS level, ticker, period, n, 1 - ((syy - b1 * s1y - b2 * s2y) / (n - 3)) / (syy / (n - 1)) AS adjusted_r2 FROM grid_moments UNION ALL
-    SELECT 'six', s.ticker, m.date, count(*), NULL FROM month_cal m JOIN stock_mret s ON s.idx > m.idx - 36 AND s.idx <= m.idx AND s.ret IS NOT NULL SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = s.date GROUP BY 1, 2, 3 HAVING count(*) >= 24)
-    CROSS JOIN (SELECT 'update' AS step, 'correction' AS mode, 1 + (SELECT count(*) FROM factor_mret WHERE date >= DATE '2001-06-01') AS changed, 2 * count(*) AS partitions FROM month_cal WHERE date >= DATE '1999-03-01')""",
-    "grid_moments month_cal stock_mret factor_mret",
+    SELECT 'six', ticker, period, n, NULL FROM (SIX_ROWS))
+    CROSS JOIN (SELECT 'update' AS step, 'correction' AS mode, 1 + (SELECT count(*) FROM factor_mret WHERE date >= DATE '2001-06-01') AS changed, 2 * count(*) AS partitions FROM month_cal WHERE date >= DATE '1999-03-01')""".replace("SIX_ROWS", _SIX_ROWS.format(w=36, where="", least=24)),
+    "grid_moments month_cal stock_mret factor_mret six_ends",
 )
 def _(spark, sf):
     """A store is built from the older panel and brought up to date: its fits equal a full build from the newer one."""
@@ -441,9 +451,6 @@ def normal_equations(fits, returns, factors, window):
     return cells.groupBy("ticker", "level", "period").agg(F.max("n").alias("observation_count"), (F.count("*") - 1).alias("regressors"), F.bool_and(F.abs("c") <= 1e-7 * F.col("scale") + 1e-12).alias("orthogonal"))
 
 
-_SIX_ROWS = "SELECT s.ticker, m.date AS period, count(*) AS n FROM month_cal m JOIN stock_mret s ON s.idx > m.idx - {w} AND s.idx <= m.idx AND s.ret IS NOT NULL SEMI JOIN (SELECT date FROM factor_mret GROUP BY 1 HAVING count(*) = 6) f ON f.date = s.date {where} GROUP BY 1, 2 HAVING count(*) >= {least}"
-
-
 def _checked(spark, sf, fits, window, design=X.FACTORS):
     places = X.month_calendar(spark, sf).select(F.col("date").alias("as_of"), F.col("idx").alias("end_idx"))
     marked = fits.join(places, "as_of").withColumn("design", F.array(*[F.lit(f) for f in design]))
@@ -452,7 +459,7 @@ def _checked(spark, sf, fits, window, design=X.FACTORS):
 
 @query(
     "exposure_orthogonality", "F8 F12", "ticker period:d observation_count:i regressors:i orthogonal:b",
-    f"SELECT ticker, period, n AS observation_count, 6 AS regressors, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "month_cal stock_mret factor_mret",
+    f"SELECT ticker, period, n AS observation_count, 6 AS regressors, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "six_ends month_cal stock_mret factor_mret",
 )
 def _(spark, sf):
     """Six-factor fits of all months: residuals recomputed from returns are orthogonal to every regressor."""
@@ -461,7 +468,7 @@ def _(spark, sf):
 
 @query(
     "elastic_net_orthogonality", "F9 F12", "ticker period:d observation_count:i chosen:b orthogonal:b",
-    f"SELECT ticker, period, n AS observation_count, true AS chosen, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "month_cal stock_mret factor_mret",
+    f"SELECT ticker, period, n AS observation_count, true AS chosen, true AS orthogonal FROM ({_SIX_ROWS.format(w=36, where='', least=24)})", "six_ends month_cal stock_mret factor_mret",
 )
 def _(spark, sf):
     """Fits after selection: at least one and at most six factors, and residuals orthogonal to all that were kept."""
@@ -471,7 +478,7 @@ def _(spark, sf):
 
 @query(
     "latest_exposure_orthogonality", "F11", "ticker observation_count:i orthogonal:b",
-    f"SELECT ticker, n AS observation_count, true AS orthogonal FROM ({_SIX_ROWS.format(w=252, where='WHERE m.idx = (SELECT max(idx) FROM month_cal)', least=60)})", "month_cal stock_mret factor_mret",
+    f"SELECT ticker, n AS observation_count, true AS orthogonal FROM ({_SIX_ROWS.format(w=252, where='WHERE m.idx = (SELECT max(idx) FROM month_cal)', least=60)})", "six_ends month_cal stock_mret factor_mret",
 )
 def _(spark, sf):
     out = exposures.latest_exposures(X.stock_monthly(spark, sf), X.factor_monthly(spark, sf), X.month_calendar(spark, sf), X.FACTORS, selection_mode="fixed")
