@@ -71,13 +71,20 @@ def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int, seed: int) -> tuple[DataFrame, dict]:
     """(text, label) of a bounded sample of labelled documents outside the hold-out, and the class sizes.
 
-    At most ``per_class`` labelled rows of each class, written to the shared folder; their ids are broadcast (2 * per_class rows of two numbers at most).
-    Labels other than 0 and 1 are ignored.
+    At most ``per_class`` rows of each class, written to the shared folder; their ids are broadcast (2 * per_class rows of two numbers at most).
+    Of documents that share an id, the least text counts, found by partial aggregation; a repeated label counts once. Labels other than 0 and 1 are ignored.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(remainder("doc_id", modulus) != held)
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(remainder("doc_id", modulus) != held).distinct()
     sample, sizes = bounded_sample(rows, "y", "doc_id", per_class, seed)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    return scratch_table(texts, f"sample-{label}"), sizes
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return scratch_table(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"), f"sample-{label}"), sizes
+
+
+def free_names(rows: DataFrame, *stems: str) -> list[str]:
+    """Names for working columns that no column of ``rows`` has, case aside."""
+    taken = {c.lower() for c in rows.columns}
+    tail = next(t for t in ("_" * i for i in range(len(taken) + 1)) if taken.isdisjoint(s + t for s in stems))
+    return [s + tail for s in stems]
 
 
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

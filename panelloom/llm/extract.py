@@ -33,37 +33,45 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article content post entry main story".split())
 #: Parts of a class name that make it tell the state of a container rather than what it is, before or after an aside word.
 STATE_BEFORE, STATE_AFTER = frozenset("with without no has have".split()), frozenset("open opened closed enabled disabled none on off".split())
+#: Second halves of class names written as one word: commentlist, postcontent.
+SECOND_HALVES = frozenset("list box area form section bar block wrap wrapper container panel body content text item items links posts inner".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|noscript|textarea)(?=[\s/>])(?!\s*/>)[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-z][^>]*(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^=>]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*+|=)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
-MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: A quote opens a value only right behind the equals sign; elsewhere it is part of a name or value.
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: Words of a class name: parts begin at capitals behind small letters and end at other signs than letters and digits.
+NAME_PARTS = re.compile(r"[A-Z]*[a-z0-9]+|[A-Z]+")
 
 FEATURES = ("place", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: The labelled table the tree learns from: FEATURES and whether a reader would count the block to the article. ``place`` is that of
-#: the innermost marked container: -2 boilerplate by its tag or hidden, -1 boilerplate by its words alone, which may be wrong, 0 none, 1 article. ``links`` are shares of a block's words inside links.
+#: the innermost marked container: -2 boilerplate by its tag or hidden, -1 boilerplate by its words alone, 0 none, 1 article. ``links`` are shares of a block's words inside links.
 LABELLED = (
     (-1, 0, 6, 1.0, 0, 0.0, 5, 1.0, 0), (-1, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (-1, 0, 8, 0.0, 1, 1.0, 12, 0.0, 0), (-1, 0, 25, 0.0, 90, 0.0, 0, 0.0, 0),
     (-1, 0, 60, 0.1, 40, 0.0, 30, 0.0, 0), (-1, 1, 4, 0.0, 30, 0.0, 20, 0.0, 0), (-1, 0, 120, 0.0, 80, 0.0, 80, 0.0, 0), (-1, 0, 15, 0.5, 15, 0.5, 0, 0.0, 0),
     (-1, 0, 2, 0.0, 1, 0.0, 2, 0.0, 0), (-1, 0, 30, 0.9, 10, 1.0, 10, 1.0, 0), (-1, 1, 12, 0.0, 3, 1.0, 70, 0.0, 0), (-1, 0, 45, 0.3, 6, 1.0, 50, 0.0, 0),
-    (-1, 0, 200, 0.0, 80, 0.0, 80, 0.0, 1), (-1, 0, 300, 0.1, 120, 0.0, 20, 0.0, 1), (-1, 0, 240, 0.0, 5, 1.0, 6, 1.0, 1), (-1, 0, 200, 0.9, 5, 1.0, 30, 0.0, 0), (-1, 0, 300, 0.8, 0, 0.0, 0, 0.0, 0),
+    (-1, 0, 200, 0.0, 80, 0.0, 80, 0.0, 0), (-1, 0, 300, 0.1, 120, 0.0, 20, 0.0, 0), (-1, 0, 5000, 0.0, 5, 1.0, 6, 1.0, 0), (-1, 0, 200, 0.9, 5, 1.0, 30, 0.0, 0), (-1, 0, 300, 0.8, 0, 0.0, 0, 0.0, 0),
     (-2, 0, 200, 0.0, 80, 0.0, 80, 0.0, 0), (-2, 0, 300, 0.1, 120, 0.0, 20, 0.0, 0), (-2, 0, 240, 0.0, 5, 1.0, 6, 1.0, 0), (-2, 0, 4, 1.0, 0, 0.0, 5, 1.0, 0), (-2, 1, 4, 0.0, 30, 0.0, 20, 0.0, 0),
     (1, 1, 12, 0.0, 8, 0.0, 90, 0.0, 1), (1, 0, 1, 0.0, 70, 0.0, 20, 0.0, 1), (1, 0, 90, 0.0, 12, 0.0, 100, 0.0, 1), (1, 0, 30, 0.2, 40, 0.0, 15, 0.0, 1),
     (1, 0, 3, 0.0, 100, 0.0, 25, 0.1, 1), (1, 0, 8, 0.4, 30, 0.0, 40, 0.0, 1), (1, 1, 2, 0.0, 50, 0.0, 60, 0.0, 1), (1, 0, 250, 0.05, 10, 0.0, 0, 0.0, 1),
     (1, 0, 20, 0.5, 60, 0.0, 12, 0.0, 1), (1, 0, 5, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0, 40, 0.0, 6, 1.0, 8, 1.0, 1), (1, 1, 6, 1.0, 0, 0.0, 80, 0.0, 1),
+    (1, 0, 62, 0.0, 41, 0.0, 0, 0.0, 1), (1, 0, 1, 0.0, 38, 0.0, 0, 0.0, 1), (1, 0, 10, 0.0, 80, 0.0, 0, 0.0, 1), (1, 0, 2, 0.0, 17, 0.0, 5, 0.0, 1), (1, 0, 33, 0.0, 52, 0.0, 3, 0.0, 1), (1, 0, 7, 0.3, 60, 0.0, 4, 1.0, 1),
+    (1, 1, 3, 0.0, 20, 0.0, 2, 1.0, 1), (1, 1, 5, 0.0, 6, 1.0, 1, 0.0, 1), (1, 0, 14, 0.0, 6, 1.0, 5, 1.0, 1), (1, 0, 2, 0.0, 1, 1.0, 2, 1.0, 1), (1, 0, 9, 0.5, 4, 1.0, 3, 0.0, 1), (1, 0, 24, 0.0, 18, 0.0, 4, 0.0, 1),
     (1, 0, 4, 1.0, 4, 1.0, 4, 1.0, 0), (1, 0, 6, 1.0, 50, 0.0, 5, 1.0, 0), (1, 0, 3, 1.0, 5, 1.0, 20, 0.0, 0), (1, 0, 9, 1.0, 8, 1.0, 0, 0.0, 0),
     (0, 0, 80, 0.0, 60, 0.0, 70, 0.0, 1), (0, 0, 40, 0.1, 3, 1.0, 50, 0.0, 1), (0, 0, 25, 0.0, 60, 0.0, 8, 1.0, 1), (0, 0, 18, 0.0, 40, 0.0, 45, 0.0, 1),
     (0, 0, 9, 0.0, 50, 0.0, 60, 0.0, 1), (0, 1, 8, 0.0, 3, 1.0, 60, 0.0, 1), (0, 1, 4, 0.0, 40, 0.0, 50, 0.0, 1), (0, 0, 30, 0.3, 35, 0.0, 30, 0.1, 1),
     (0, 0, 120, 0.2, 4, 1.0, 4, 1.0, 1), (0, 0, 22, 0.0, 0, 0.0, 30, 0.0, 1), (0, 0, 3, 1.0, 2, 1.0, 3, 1.0, 0), (0, 0, 2, 0.0, 1, 1.0, 2, 1.0, 0),
     (0, 0, 6, 0.0, 4, 1.0, 3, 1.0, 0), (0, 0, 12, 0.9, 10, 0.9, 11, 1.0, 0), (0, 0, 25, 0.8, 30, 0.9, 40, 0.0, 0), (0, 1, 3, 0.0, 20, 0.0, 2, 1.0, 0),
     (0, 0, 40, 0.0, 0, 0.0, 1, 0.0, 1), (0, 0, 60, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 2, 1.0, 3, 0.0, 1), (0, 0, 30, 0.0, 5, 1.0, 0, 0.0, 1), (0, 0, 90, 0.0, 1, 0.0, 2, 1.0, 1),
+    (0, 0, 14, 0.0, 6, 1.0, 5, 1.0, 0), (0, 0, 11, 0.0, 4, 1.0, 9, 0.9, 0), (0, 0, 13, 0.1, 8, 0.9, 7, 1.0, 0), (0, 0, 16, 0.0, 12, 1.0, 4, 1.0, 0),
+    (0, 0, 14, 0.0, 30, 0.0, 28, 0.0, 1), (0, 0, 11, 0.0, 44, 0.0, 35, 0.1, 1), (0, 0, 13, 0.1, 26, 0.0, 50, 0.0, 1), (0, 0, 16, 0.0, 31, 0.1, 22, 0.0, 1),
+    (0, 0, 40, 0.0, 90, 0.0, 60, 0.0, 1), (0, 0, 25, 0.0, 120, 0.0, 0, 0.0, 1), (0, 0, 12, 0.0, 100, 0.0, 70, 0.0, 1), (0, 0, 64, 0.0, 140, 0.0, 8, 1.0, 1), (0, 0, 9, 0.0, 95, 0.1, 30, 0.0, 1),
     (0, 0, 10, 0.0, 80, 0.0, 0, 0.0, 0), (0, 0, 7, 0.3, 6, 1.0, 5, 0.6, 0), (0, 0, 5, 0.0, 2, 1.0, 3, 0.0, 0), (0, 0, 4, 1.0, 90, 0.0, 80, 0.0, 0),
 )
 
@@ -76,6 +84,11 @@ class Block:
     links: float  # share of its words inside links
 
 
+def is_word(part: str, words: frozenset[str]) -> bool:
+    """Is a part of a class name one of ``words``, alone or with one of SECOND_HALVES behind it?"""
+    return part in words or any(part.endswith(h) and part[: -len(h)] in words for h in SECOND_HALVES)
+
+
 def marked(name: str, attrs: str, outer: int) -> int:
     """Place inside a container with this tag and these attributes, in a container of place ``outer``.
 
@@ -84,16 +97,21 @@ def marked(name: str, attrs: str, outer: int) -> int:
     aside name alone inside boilerplate (the comments of a comment list); elsewhere a main name beats an aside name, and undoes
     one further out. What is hidden, or inside a tag of boilerplate, is not undone by names.
     """
-    if name in ("option", "optgroup") or HIDDEN.search(attrs) and name not in ("html", "body"):
+    if name in ("option", "optgroup"):
         return -2
     aside = main = False
     if attrs and name not in ("html", "body"):
-        for v in MARKS.findall(attrs):
-            for whole in "".join(v).lower().split():
-                parts = [p for p in re.split(r"[^a-z0-9]+", whole) if p]
-                at = next((i for i, p in enumerate(parts) if p in ASIDE_WORDS), -1)
+        for key, *values in ATTRIBUTE.findall(attrs):
+            key, value = key.lower(), "".join(values)
+            if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and "display:none" in re.sub(r"\s", "", value.lower()):
+                return -2
+            if key not in ("class", "id", "role"):
+                continue
+            for whole in value.split():
+                parts = [p.lower() for p in NAME_PARTS.findall(whole)]
+                at = next((i for i, p in enumerate(parts) if is_word(p, ASIDE_WORDS)), -1)
                 if at < 0:
-                    main = main or not MAIN_WORDS.isdisjoint(parts)
+                    main = main or any(is_word(p, MAIN_WORDS) for p in parts)
                 elif STATE_BEFORE.isdisjoint(parts[:at]) and STATE_AFTER.isdisjoint(parts[at + 1 :]):
                     aside = True
     if name in MAIN_TAGS:
@@ -230,7 +248,7 @@ class Tree:
         return share[node] > 0.5
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     """Splits by Gini impurity at midpoints; equal gains go to the earlier feature, then the smaller threshold."""
     tree = Tree([], [], [], [], [])
 
@@ -263,15 +281,25 @@ def block_tree() -> Tree:
     return fit_tree(rows[:, :-1], rows[:, -1])
 
 
+def judged(found: list[list[Block]], tree: Tree) -> list[np.ndarray]:
+    """Flags of the blocks that the tree keeps, page by page."""
+    x = [features(b) for b in found]
+    kept = tree.predict(np.vstack(x)) if x else np.empty(0, dtype=bool)
+    return np.split(kept, np.cumsum([len(b) for b in found])[:-1]) if found else []
+
+
 def main_texts(pages: list[str | None], tree: Tree) -> list[tuple[str, int, int]]:
     """Main text, number of blocks and number of blocks kept of each page."""
     found = [blocks(p) for p in pages]
-    x = [features(b) for b in found]
-    kept = tree.predict(np.vstack(x)) if x else np.empty(0, dtype=bool)
-    out, at = [], 0
-    for b in found:
-        own = [k.text for k, keep in zip(b, kept[at : at + len(b)]) if keep]
-        at += len(b)
+    kept = judged(found, tree)
+    # names that leave a page without any text mark the whole page, not its boilerplate: such a page is judged without them
+    again = [i for i, (b, k) in enumerate(zip(found, kept)) if not k.any() and not any(x.place == 1 for x in b) and any(x.place == -1 for x in b)]
+    unnamed = [[Block(x.text, 0 if x.place == -1 else x.place, x.heading, x.links) for x in found[i]] for i in again]
+    for i, k in zip(again, judged(unnamed, tree)):
+        kept[i] = k
+    out = []
+    for b, k in zip(found, kept):
+        own = [x.text for x, keep in zip(b, k) if keep]
         out.append(("\n".join(own), len(b), len(own)))
     return out
 
@@ -279,8 +307,9 @@ def main_texts(pages: list[str | None], tree: Tree) -> list[tuple[str, int, int]
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept of every row of ``pages`` (page_id, url, html); other columns are not looked at.
 
-    The tree judges every block by FEATURES; kept blocks are joined in page order by line feeds. Null and empty pages, and
-    pages without a kept block, give an empty text.
+    The tree judges every block by FEATURES; kept blocks are joined in page order by line feeds. What is marked as boilerplate goes
+    whatever its length. Only where that leaves a page without article and without any text are class, id and role passed over: they
+    then mark the page as a whole. Null and empty pages, and pages without a kept block, give an empty text.
     """
     tree = tree or block_tree()
 

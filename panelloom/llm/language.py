@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder, small_batches
+from .common import bounded_sample, free_names, remainder, small_batches
 
 UNDETERMINED = "und"
 #: Sampled documents of a language, characters taken from each, bytes of its dictionary.
@@ -50,19 +50,23 @@ def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
 def fit_languages(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = PER_LANGUAGE) -> LanguageDictionaries:
     """One dictionary a language, from excerpts of at most ``per_language`` documents with that ``lang`` outside the hold-out.
 
-    Excerpts start at a place that depends on the id. Only they (EXCERPT characters a document) reach the driver.
+    Excerpts start at a place that depends on the id; of documents that share an id, the least excerpt counts. Only they (EXCERPT
+    characters a document) reach the driver, where each gives its head, in whole characters, so that all of a language share DICTIONARY_BYTES alike.
     """
-    rows = docs.where("lang is not null and length(text) > 0").where(remainder("doc_id", modulus) != held).select("doc_id", "lang")
+    rows = docs.where("lang is not null and length(text) > 0").where(remainder("doc_id", modulus) != held).select("doc_id", "lang").distinct()
     ids, sizes_ = bounded_sample(rows, "lang", "doc_id", per_language, SEED)
     start = F.expr(f"1 + pmod(xxhash64(doc_id), greatest(length(text) - {EXCERPT}, 1))").cast("int")
     excerpts = (
         docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id")
-        .select("lang", "doc_id", F.lower(F.expr("text").substr(start, F.lit(EXCERPT))).alias("part")).collect()
+        .groupBy("doc_id").agg(F.min(F.struct("lang", F.lower(F.expr("text").substr(start, F.lit(EXCERPT))).alias("part"))).alias("x")).select("doc_id", "x.*").collect()
     )
     parts: dict[str, list] = {}
     for r in sorted(excerpts, key=lambda r: (r["lang"], r["doc_id"], r["part"])):
         parts.setdefault(r["lang"], []).append(r["part"].encode("utf-8", "replace"))
-    return LanguageDictionaries({k: b"\n".join(parts[k])[:DICTIONARY_BYTES] for k in sorted(parts, key=lambda k: (-sizes_[k], k))})
+    for k, own in parts.items():
+        each = max(1, DICTIONARY_BYTES // len(own) - 1)
+        parts[k] = [p[:each].decode("utf-8", "ignore").encode() for p in own]
+    return LanguageDictionaries({k: b"\n".join(parts[k]) for k in sorted(parts, key=lambda k: (-sizes_[k], k))})
 
 
 def predict_language(docs: DataFrame, model: LanguageDictionaries, text: str = "text", margin: float = MARGIN) -> DataFrame:
@@ -87,12 +91,12 @@ def predict_language(docs: DataFrame, model: LanguageDictionaries, text: str = "
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     lettered = F.col(text).rlike(r"\p{L}") if names else F.lit(False)
-    out = small_batches(docs).withColumn("__text", F.when(lettered, F.col(text)))
-    found = F.when(F.col("__text").isNotNull(), predict(F.coalesce("__text", F.lit("a"))))
+    read, found = free_names(docs, "__text", "__found")
+    out = small_batches(docs).withColumn(read, F.when(lettered, F.col(text)))
     return (
-        out.withColumn("__found", found)
-        .withColumn("lang_pred", F.coalesce("__found.lang_pred", F.lit(UNDETERMINED)))
-        .withColumn("score", F.coalesce("__found.score", F.lit(0.0)))
-        .withColumn("rejected", F.coalesce("__found.rejected", F.lit(True)))
-        .drop("__text", "__found")
+        out.withColumn(found, F.when(F.col(read).isNotNull(), predict(F.coalesce(read, F.lit("a")))))
+        .withColumn("lang_pred", F.coalesce(f"{found}.lang_pred", F.lit(UNDETERMINED)))
+        .withColumn("score", F.coalesce(f"{found}.score", F.lit(0.0)))
+        .withColumn("rejected", F.coalesce(f"{found}.rejected", F.lit(True)))
+        .drop(read, found)
     )

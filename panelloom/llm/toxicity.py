@@ -15,23 +15,28 @@ from .common import U64, labelled_texts, slices, small_batches
 
 ORDERS, BITS, FEATURES, PER_CLASS, SEED = (3, 4, 5, 6), 20, 1 << 11, 3000, 83
 _SPREAD = U64(0x9E3779B97F4A7C15)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[[9, 10, 11, 12, 13]] = 32
+_BASE = U64(0xD6E8FEB86659FD93)
+#: Characters of a text that are hashed at once.
+WINDOW = 1 << 17
+_FOLD = np.array([32 if chr(i).isspace() else i for i in range(0x3001)], dtype=np.uint32)
 
 
-def ngram_buckets(data: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """Hash buckets of the byte n-grams of one UTF-8 text, A-Z lowered, white space as spaces, a space around it; with repeats."""
-    codes = np.full(len(data) + 2, 32, dtype=np.uint64)
-    codes[1:-1] = _FOLD[data]
-    out, rolled = [], codes
-    for n in range(2, max(ORDERS) + 1):
-        rolled = rolled[:-1] * U64(257) + codes[n - 1 :]  # below 2**64 up to seven bytes: no two n-grams are equal
-        if len(rolled) == 0:
-            break
-        if n in ORDERS:
-            out.append(((rolled * _SPREAD) >> U64(64 - bits)).view(np.int64))
-    return out
+def ngram_buckets(data: np.ndarray, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Hash buckets of the n-grams of characters of one UTF-8 text, lower case, white space as spaces, a space around it; with repeats.
+
+    Long texts are hashed in windows of WINDOW characters that overlap, so that no n-gram is lost.
+    """
+    codes = np.frombuffer(f" {data.tobytes().decode('utf-8', 'replace').lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    for at in range(0, len(codes), WINDOW):
+        part = codes[at : at + WINDOW + max(ORDERS) - 1]
+        part = np.where(part < len(_FOLD), _FOLD[np.minimum(part, len(_FOLD) - 1)], part).astype(np.uint64)
+        rolled = part
+        for n in range(2, max(ORDERS) + 1):
+            rolled = rolled[:-1] * _BASE + part[n - 1 :]
+            if len(rolled) == 0:
+                break
+            if n in ORDERS:
+                yield ((rolled[:WINDOW] * _SPREAD) >> U64(64 - bits)).view(np.int64)
 
 
 def present(texts: pa.Array | pa.ChunkedArray, bits: int = BITS, wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -40,8 +45,7 @@ def present(texts: pa.Array | pa.ChunkedArray, bits: int = BITS, wanted: np.ndar
     for _, data, offsets in slices(texts):
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             found = ngram_buckets(data[a:b], bits) if b > a else []
-            if wanted is not None:
-                found = [f[wanted[f]] for f in found]
+            found = [f if wanted is None else f[wanted[f]] for f in found]
             yield np.unique(np.concatenate(found)) if found else none
 
 
@@ -52,6 +56,11 @@ class NaiveBayesLinear:
     weight: np.ndarray  # float32, 2**BITS, zero for buckets that were not selected
     intercept: float
 
+    @property
+    def learnt(self) -> bool:
+        """False if no n-gram has a weight: all texts then score the share of label 1, which tells nothing about any of them."""
+        return bool(self.weight.any())
+
     def scores(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         bits = int(np.log2(len(self.weight)))
         raw = np.array([self.weight[f].sum(dtype=np.float64) for f in present(texts, bits, self.weight != 0)], dtype=np.float64)
@@ -99,7 +108,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     Executors count in how many documents of each class a bucket occurs (partial counts of at most 2**bits buckets a
     task); the ``features`` buckets with the strongest log-count ratio, in standard errors, are kept; then each
     sampled document sends only its kept buckets. Class weights restore the frequencies of the whole label table.
-    Without labels of both classes nothing is learnt and all scores are 0.
+    Without labels of both classes, or without an n-gram in three labelled documents, nothing is learnt: all scores are the
+    share of label 1 among the labels outside the hold-out, 0 without labels.
     """
     sample, sizes = labelled_texts(docs, labels, "toxic", modulus, held, per_class, SEED)
 
@@ -117,7 +127,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     )
     taken = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
     if len(taken) < 2 or counts.empty:
-        return NaiveBayesLinear(np.zeros(1 << bits, dtype=np.float32), -40.0 if not taken.get(1) else 40.0)
+        zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
+        prior = np.log(ones / zeros) if zeros and ones else 40.0 if ones else -40.0
+        return NaiveBayesLinear(np.zeros(1 << bits, dtype=np.float32), float(prior))
     n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
     p0, p1 = (n0 + 1) / (taken[0] + 2), (n1 + 1) / (taken[1] + 2)
     ratio = np.log(p1 / p0)

@@ -354,3 +354,133 @@ def test_pipeline_stages(spark):
             assert len(toxic & left) <= 0.2 * len(toxic) and len(left) >= 0.8 * (before.count() - len(toxic))
     assert cp.STAGES[-1][1](spark, kept, SF).count() == kept.count() > 0
     assert cp.toxicity_stage(spark, given.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 60, 160, 170, 1000, 5000])
+def test_boilerplate_goes_whatever_its_length(n):
+    body, more = " ".join(["word"] * 60), " ".join(["extra"] * n)
+    for article in (f"<article><p>{body}</p></article>", f"<div><p>{body}</p></div>", f"<div class=post-content><p>{body}</p></div>"):
+        for name in ("comments", "commentlist", "commentList", "relatedPosts", "site-footer", "cookie-notice", "sidebar", "adContainer", "noticeBox", "newsletterSignup"):
+            aside = f"<div class={name}><h3>Title</h3><p>{more}</p><p>{more}</p></div>"
+            assert texts_of(article + aside, aside + article) == [body, body], (article, name)
+        for tag in ("footer", "aside", "nav", "form", "header"):
+            aside = f"<{tag}><p>{more}</p></{tag}>"
+            assert texts_of(article + aside, aside + article) == [body, body], (article, tag)
+
+
+def test_neighbours_with_links_tell_menus_from_paragraphs():
+    menu, line = "<ul><li><a href=a>one two three</a></li><li><a href=b>four five six</a></li></ul>", "<p>" + "line " * 12 + "</p>"
+    text = "<p>" + "word " * 40 + "</p>"
+    kept = lambda *parts: texts_of("".join(parts))[0].count("line")
+    assert kept(text, line, text) == 12 and kept(menu, line, menu) == 0
+    long = "<p>" + "word " * 90 + "</p>"
+    assert texts_of(long * 3)[0].count("word") == 270
+    asked = {extract.FEATURES[f] for f in extract.block_tree().feature if f >= 0}
+    assert asked >= {"words", "links"} and asked & {"words_before", "words_after"} and asked & {"links_before", "links_after"}
+
+
+def test_attributes_are_read_as_html_reads_them():
+    for start in ("<p title=it's>", '<p class=a"b>', "<p title='a>b'>", '<p title="class=ad hidden">', "<p data-x = 'it\"s' class=x>", "<p title=\"it's\" alt='\"'>", "<p a=b=c hidden-by=x>", "<p =x>"):
+        assert texts_of(f"<article>{start}First paragraph we don't know.</p><p>Second.</p></article>") == ["First paragraph we don't know.\nSecond."], start
+    assert texts_of("<article><p title='>First we don't know.</p><p>Second.</p></article>") == ["Second."]  # a value up to its quote, as browsers read it
+    for start in ("<p hidden>", "<p HIDDEN=''>", "<p aria-hidden = 'true'>", "<p style='color:red; display : none'>"):
+        assert texts_of(f"<article>{start}First</p><p>Second.</p></article>") == ["Second."], start
+
+
+@pytest.mark.parametrize("top", [20, 25, 29])
+def test_exact_scores_beyond_double_precision(spark, top):
+    rng = np.random.default_rng(top)
+    base = rng.integers(-(1 << top), 1 << top, 7)
+    rows = [(i, [int(x) for x in base + rng.integers(-2, 3, 7)]) for i in range(260)] + [(1000 + i, [int(x) for x in rng.integers(-(1 << top), 1 << top, 7)]) for i in range(80)]
+    rows += [(7, rows[3][1]), (7, rows[3][1]), (100, rows[5][1])]  # repeated ids, with another and with an equal vector
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10, scale=1).collect()
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        own = min(v for i, v in distinct if i == q)
+        found = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in distinct if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert max(abs(w[3]) for w in want) > 2**40
+
+
+def test_scores_beyond_64_bits_raise_and_empty_tables_pass(spark):
+    huge = spark.createDataFrame([(i, [2.0**40 + i, 1.0]) for i in range(3)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="smaller scale"):
+        topk.top_k(huge, huge, 2)
+    assert topk.top_k(huge.where("false"), huge.where("false"), 2).count() == topk.top_k(huge, huge.where("false"), 2).count() == 0
+
+
+def test_ngrams_are_of_characters(monkeypatch):
+    def grams(text):
+        return np.sort(np.concatenate(list(toxicity.ngram_buckets(np.frombuffer(text.encode(), dtype=np.uint8)))))
+
+    for text in ("ab", "ÄÖÜ", "日本語です", "😀x😀", "a" * 20):
+        n = len(text) + 2
+        assert len(grams(text)) == sum(max(0, n - k + 1) for k in toxicity.ORDERS)
+    assert (grams("ÄÖ Ü\nx") == grams("äö　ü x")).all() and not np.array_equal(grams("äö"), grams("äü"))
+    long = "The Quick brown fox 日本 " * 30
+    whole = grams(long)
+    monkeypatch.setattr(toxicity, "WINDOW", 7)
+    assert (grams(long) == whole).all()
+
+
+def test_toxicity_against_plain_naive_bayes_ratios(spark):
+    """Kept n-grams and their signs against a dictionary of n-grams over few texts."""
+    bad, good = "you vile rotten fool", "a calm walk by the river"
+    rows = [(i, f"{bad if i % 2 else good} {'xyz'[i % 3]}", None, None, None, None) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs(spark, rows), labels, modulus=5, held=7)
+    counts = {}
+    for i, t, *_ in rows:
+        s = f" {t} "
+        for g in {s[a : a + n] for n in toxicity.ORDERS for a in range(len(s) - n + 1)}:
+            counts.setdefault(g, [0, 0])[i % 2] += 1
+    for g, (n0, n1) in counts.items():
+        # the n-gram alone, without spaces around it: its own bucket is the only one that all orders below its length do not give
+        code = np.frombuffer(g.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        h = code[:1]  # an array, whose products wrap around
+        for c in code[1:]:
+            h = h * toxicity._BASE + c
+        w = model.weight[int((h * toxicity._SPREAD)[0] >> np.uint64(64 - toxicity.BITS))]
+        assert w != 0 if abs(n0 - n1) == 20 else abs(w) < 0.5
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, rows), model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(40))
+
+
+def test_nothing_learnt_gives_the_share_of_label_one(spark):
+    import corpus_pipeline as cp
+
+    given = docs(spark, [(i, f"{i}{i}{i}{i}", None, None, None, None) for i in range(8)])
+    for ones, share in ((0, 0.0), (2, 0.25), (8, 1.0)):
+        labels = spark.createDataFrame([(i, int(i < ones), int(i < ones)) for i in range(8)], "doc_id bigint, quality int, toxic int")
+        model = toxicity.fit_toxicity(given, labels, modulus=5, held=7)
+        assert not model.learnt
+        assert [r.score for r in toxicity.score_toxicity(given, model).collect()] == pytest.approx([share] * 8)
+        assert cp.language_stage(spark, given, SF).count() == 8
+
+
+def test_sample_bound_holds_for_repeated_ids(spark):
+    from panelloom.llm.common import labelled_texts
+
+    rows = [(1, f"text {i:03}", None, None, None, None) for i in range(500)] + [(2, None, None, None, None, None), (3, "c", None, None, None, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (9, 0)], "doc_id bigint, toxic int")
+    sample, sizes = labelled_texts(docs(spark, rows), labels, "toxic", 5, 7, 3, 1)
+    assert sorted((r.y, r.text) for r in sample.collect()) == [(0, ""), (0, "c"), (1, "text 000")] and sizes == {0: 3, 1: 1}
+    named = spark.createDataFrame([(i % 2, f"text {i:03} of many words", "en") for i in range(500)], "doc_id bigint, text string, lang string")
+    assert len(language.fit_languages(named, 4, 9, 3).contents["en"].split(b"\n")) == 2
+
+
+def test_working_columns_of_the_user_stay(spark):
+    model = language.LanguageDictionaries({"en": b"the cat sat on the mat and the dog ran over the old green hill ", "de": b"der hund lief durch den alten wald und die katze lag auf dem dach "})
+    given = spark.createDataFrame([(1, "the cat sat on the mat", "mine", "too")], "doc_id bigint, text string, `__TEXT` string, `__found` string")
+    (row,) = language.predict_language(given, model).collect()
+    assert (row["__TEXT"], row["__found"], row.lang_pred) == ("mine", "too", "en")
+
+
+def test_dictionaries_share_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 200)
+    given = spark.createDataFrame([(i, "é" * 300, "fr") for i in range(20)], "doc_id bigint, text string, lang string")
+    content = language.fit_languages(given, 4, 9).contents["fr"]
+    assert content == b"\n".join(["é".encode() * 4] * 20)
