@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import language, mixing, neardup, pieces, toxicity
-from panelloom.llm.common import table
+from panelloom.llm.common import free_names, table
 from panelloom.session import scratch_table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the classifier learns from all labelled documents outside the hold-out."""
+    """Documents whose toxicity score is below one half; all, if the labels teach nothing. The classifier learns from all labelled documents outside the hold-out."""
     model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, into="__toxic").where("__toxic < 0.5").select(docs.columns)
+    if not model.learnt:
+        return docs
+    (score,) = free_names(docs, "__toxic")
+    return toxicity.score_toxicity(docs, model, into=score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter and those whose best two languages are next to equal go."""
+    """Documents with a language: those without a letter and those whose best two languages are next to equal go. All stay if no document has a language to learn."""
     model = language.fit_languages(docs)
+    if not model.contents:
+        return docs
     named = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns})
     kept = language.predict_language(named, model, text="own_text").where("not rejected")
     return kept.select([F.col(f"own_{c}").alias(c) for c in docs.columns])
