@@ -166,13 +166,15 @@ def _(spark, sf):
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
 )
 def _(spark, sf):
+    """Lines that share order and number stand as they lie in the table."""
     li, s, n = (X.table(spark, sf, t) for t in ("lineitem", "supplier", "nation"))
+    li = li.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
     raw = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).select(
         F.col("n_name").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("close"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("batch"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("batch"), "file", "row",
     )
-    return P.validate_prices(raw)
+    return P.validate_prices(raw, place=("file", "row"))
 
 
 @query(

@@ -35,10 +35,14 @@ def pivot_prices(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
     return prices.groupBy("date").pivot("ticker", list(tickers)).agg(F.first("close"))
 
 
-def validate_prices(prices: DataFrame, order: str = "batch") -> DataFrame:
-    """First row per (ticker, date), non-positive closes to NULL; raises without any usable series."""
-    rest = [c for c in prices.columns if c not in {"ticker", "date", order}]
-    first = prices.groupBy("ticker", "date").agg(F.min_by(F.struct(*rest), order).alias("__v")).select("ticker", "date", *[F.col(f"__v.{c}").alias(c) for c in rest])
+def validate_prices(prices: DataFrame, order: str = "batch", place: Sequence[str] = ()) -> DataFrame:
+    """First row per (ticker, date), non-positive closes to NULL; raises without any usable series.
+
+    Rows that tie in ``order`` stand in the order of the columns ``place``, then by their close, so that reruns agree.
+    """
+    rest = [c for c in prices.columns if c not in {"ticker", "date", order, *place}]
+    at = F.when(F.col(order).isNotNull(), F.struct(order, *place, "close"))
+    first = prices.groupBy("ticker", "date").agg(F.min_by(F.struct(*rest), at).alias("__v")).select("ticker", "date", *[F.col(f"__v.{c}").alias(c) for c in rest])
     clean = first.withColumn("close", F.when(F.col("close") > 0, finite("close")))
     counts = clean.groupBy("ticker").agg(F.count("close").alias("n"))
     ok = counts.agg(F.max("n").alias("m")).select(
