@@ -71,7 +71,7 @@ def _logistic(x: list[np.ndarray], r: np.ndarray, y: np.ndarray, weight: np.ndar
     """Ridge logistic regression on presence times ``r``: Newton steps by conjugate gradients over a row-compressed matrix."""
     n, d = len(x), len(r)
     row = np.repeat(np.arange(n), [len(f) for f in x])
-    col = np.concatenate(x)
+    col = np.concatenate(x).astype(np.int64)
     val, weight = r[col], weight / weight.sum()
 
     def forward(w):
@@ -106,8 +106,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     """Classifier learnt from at most ``per_class`` labelled documents of each class outside the hold-out.
 
     Executors count in how many documents of each class a bucket occurs (partial counts of at most 2**bits buckets a
-    task); the ``features`` buckets with the strongest log-count ratio, in standard errors, are kept; then each
-    sampled document sends only its kept buckets. Class weights restore the frequencies of the whole label table.
+    task) and keep the ``features`` buckets with the strongest log-count ratio, in standard errors; only these reach the driver.
+    Then each sampled document sends only its kept buckets. Class weights restore the frequencies of the whole label table.
     Without labels of both classes, or without an n-gram in three labelled documents, nothing is learnt: all scores are the
     share of label 1 among the labels outside the hold-out, 0 without labels.
     """
@@ -121,34 +121,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_pydict({"f": at, "n0": counts[0, at].astype(np.int64), "n1": counts[1, at].astype(np.int64)})
 
+    taken = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    t0, t1 = taken.get(0, 0), taken.get(1, 0)
+    ratio = F.log((F.col("n1") + 1) / (t1 + 2) / ((F.col("n0") + 1) / (t0 + 2)))
+    strength = F.abs(ratio) / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
     counts = (
         sample.mapInArrow(counted, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where("n0 + n1 >= 3").toPandas().sort_values("f")
+        .where("n0 + n1 >= 3").orderBy(strength.desc(), "f").limit(features).toArrow().sort_by("f")
     )
-    taken = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    if len(taken) < 2 or counts.empty:
+    if len(taken) < 2 or len(counts) == 0:
         zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
         prior = np.log(ones / zeros) if zeros and ones else 40.0 if ones else -40.0
         return NaiveBayesLinear(np.zeros(1 << bits, dtype=np.float32), float(prior))
-    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
-    p0, p1 = (n0 + 1) / (taken[0] + 2), (n1 + 1) / (taken[1] + 2)
-    ratio = np.log(p1 / p0)
-    strength = np.abs(ratio) / np.sqrt(1 / (n0 + 1) + 1 / (n1 + 1))
-    kept = np.sort(np.argsort(-strength, kind="stable")[:features])
-    bucket, ratio = counts["f"].to_numpy()[kept], ratio[kept]
+    bucket, n0, n1 = (counts[c].to_numpy() for c in ("f", "n0", "n1"))
+    ratio = np.log(((n1 + 1) / (t1 + 2)) / ((n0 + 1) / (t0 + 2)))
     slot = np.full(1 << bits, -1, dtype=np.int32)
     slot[bucket] = np.arange(len(bucket))
     wanted = slot >= 0
 
     def selected(batches):
         for b in batches:
-            found = [slot[f] for f in present(b["text"], bits, wanted)]
-            yield pa.RecordBatch.from_pydict({"y": b["y"], "x": pa.array(found, type=pa.list_(pa.int32()))}, schema=pa.schema([("y", pa.int32()), ("x", pa.list_(pa.int32()))]))
-
-    rows = sorted((r["y"], sorted(r["x"])) for r in sample.mapInArrow(selected, "y int, x array<int>").collect())
-    y = np.array([r[0] for r in rows], dtype=float)
-    share = np.array([sizes[0] / taken[0], sizes[1] / taken[1]])
-    w, b = _logistic([np.array(r[1], dtype=np.int64) for r in rows], ratio, y, share[y.astype(int)])
+            found = [slot[f].astype(">u4").tobytes() for f in present(b["text"], bits, wanted)]
+            yield pa.RecordBatch.from_arrays([b["y"], pa.array(found, type=pa.binary())], names=["y", "x"])
+
+    # packed numbers: lists of them, as Python objects, took a good part of the driver's memory; big-endian bytes sort as the numbers do
+    packed = sample.mapInArrow(selected, "y int, x binary").toArrow().sort_by([("y", "ascending"), ("x", "ascending")])
+    y = packed["y"].to_numpy().astype(float)
+    share = np.array([sizes[0] / t0, sizes[1] / t1])
+    w, b = _logistic([np.frombuffer(v.as_buffer(), dtype=">u4").astype(np.int32) for v in packed["x"]], ratio, y, share[y.astype(int)])
     weight = np.zeros(1 << bits, dtype=np.float32)
     weight[bucket] = w * ratio
     return NaiveBayesLinear(weight, float(b))

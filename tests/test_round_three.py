@@ -4,13 +4,16 @@ import datetime as dt
 import os
 import shutil
 import sys
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from compare import compare, connect
+from panelloom.llm import toxicity
 from panelloom.plans import load_registry
 from panelloom.sources import prices as prices_src
 
@@ -34,3 +37,20 @@ def test_validated_prices_do_not_depend_on_the_order_of_tied_rows(spark):
     for dealt in (rows, rows[::-1]):
         got = prices_src.validate_prices(spark.createDataFrame(dealt, "ticker string, date date, close double, batch long").coalesce(1))
         assert sorted(r["close"] for r in got.collect()) == [4.0, 7.0]
+
+
+def test_toxicity_brings_little_to_the_driver(spark):
+    draw = np.random.default_rng(3)
+    words = ["".join(map(chr, draw.integers(97, 123, 6))) for _ in range(400)]
+    texts = [(i, " ".join(words[w] for w in draw.integers(0 if i % 2 else 60, 400, 300))) for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit_toxicity(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert model.learnt and np.count_nonzero(model.weight) == toxicity.FEATURES
+    # 17 when written; with rows and counts as Python objects it was more than this
+    assert peak < 25, peak
