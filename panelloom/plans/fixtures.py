@@ -28,8 +28,8 @@ _TABLES: dict = {}
 def stored(fn):
     """Write a derived fact table once per application and data folder, then scan it.
 
-    Fits, exposures and monthly bars are stored facts in practice; reading them back keeps the
-    plans of their many consumers short and makes them survive lost executors.
+    Price books, fits, exposures and monthly bars are stored facts in practice; reading them back keeps the
+    plans of their many consumers short, makes them survive lost executors, and reads the lines once a book.
     """
 
     @functools.wraps(fn)
@@ -57,7 +57,17 @@ def _book(rows: DataFrame, ticker) -> DataFrame:
 
 
 def stock_prices(spark, sf, rows: DataFrame | None = None) -> DataFrame:
-    li = (table(spark, sf, "lineitem") if rows is None else rows).select("l_suppkey", "l_shipdate", "l_extendedprice")
+    """The nations' daily closes; those of all lines are stored."""
+    return _stock_book(spark, sf) if rows is None else _stock_closes(spark, sf, rows)
+
+
+@stored
+def _stock_book(spark, sf) -> DataFrame:
+    return _stock_closes(spark, sf, table(spark, sf, "lineitem"))
+
+
+def _stock_closes(spark, sf, rows: DataFrame) -> DataFrame:
+    li = rows.select("l_suppkey", "l_shipdate", "l_extendedprice")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     joined = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
@@ -65,11 +75,22 @@ def stock_prices(spark, sf, rows: DataFrame | None = None) -> DataFrame:
 
 
 def proxy_prices(spark, sf, by: str = "p_type") -> DataFrame:
+    """Daily closes by a column of the parts; those by type, the factors, are stored."""
+    return _factor_book(spark, sf) if by == "p_type" else _part_closes(spark, sf, by)
+
+
+@stored
+def _factor_book(spark, sf) -> DataFrame:
+    return _part_closes(spark, sf, "p_type")
+
+
+def _part_closes(spark, sf, by: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     p = table(spark, sf, "part").select("p_partkey", by)
     return _book(li.join(p, li.l_partkey == p.p_partkey), F.col(by))
 
 
+@stored
 def benchmark_prices(spark, sf) -> DataFrame:
     return _book(table(spark, sf, "lineitem").select("l_shipdate", "l_extendedprice"), F.lit("ALL"))
 

@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from compare import compare, connect
 from panelloom.llm import toxicity
-from panelloom.plans import load_registry
+from panelloom.plans import fixtures, load_registry
 from panelloom.sources import prices as prices_src
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,3 +54,15 @@ def test_toxicity_brings_little_to_the_driver(spark):
     assert model.learnt and np.count_nonzero(model.weight) == toxicity.FEATURES
     # 17 when written; with rows and counts as Python objects it was more than this
     assert peak < 25, peak
+
+
+def test_books_read_the_lines_once(spark, tmp_path):
+    """Closes of all lines are read again from where they are stored."""
+    sf = str(tmp_path / "sf")
+    shutil.copytree(SF, sf)
+    for book in (fixtures.stock_prices, fixtures.proxy_prices, fixtures.benchmark_prices):
+        book(spark, sf)
+        assert not any("lineitem" in f for f in book(spark, sf).inputFiles()), book.__name__
+    assert not any("lineitem" in f for f in fixtures.month_end_dates(spark, sf).inputFiles())
+    part = fixtures.stock_prices(spark, sf, fixtures.table(spark, sf, "lineitem").where("l_orderkey % 2 = 0"))
+    assert any("lineitem" in f for f in part.inputFiles())
