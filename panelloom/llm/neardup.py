@@ -190,7 +190,12 @@ def linked_components(members: DataFrame, load: str, most: int, test) -> DataFra
         apart = scratch_table(apart.select("grp", "doc", "lead"), "apart")
         if apart.isEmpty():
             return comp
-        edges = edges.unionByName(scratch_table(linked_in_blocks(members.join(apart, ["grp", "doc"]), load, most, test), "more-links"))
+        # settled groups stay settled: only the others, with their payloads, are shuffled from here on
+        asked = members.join(apart, ["grp", "doc"])
+        if not last:
+            asked = scratch_table(asked, "unsettled")
+            members = asked.drop("lead")
+        edges = edges.unionByName(scratch_table(linked_in_blocks(asked, load, most, test), "more-links"))
         comp = components(edges)
     return comp
 

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from compare import compare, connect
-from panelloom.llm import toxicity
+from panelloom.llm import neardup, toxicity
 from panelloom.plans import fixtures, load_registry
 from panelloom.sources import prices as prices_src
 
@@ -66,3 +66,22 @@ def test_books_read_the_lines_once(spark, tmp_path):
     assert not any("lineitem" in f for f in fixtures.month_end_dates(spark, sf).inputFiles())
     part = fixtures.stock_prices(spark, sf, fixtures.table(spark, sf, "lineitem").where("l_orderkey % 2 = 0"))
     assert any("lineitem" in f for f in part.inputFiles())
+
+
+def test_settled_groups_are_left_out_of_the_last_round(spark, tmp_path, monkeypatch):
+    """Group 1 is one class, group 2 falls into twenty; the last round reads no table that still holds group 1."""
+    rows = [(1, i, b"x", 1) for i in range(40)] + [(2, 100 + i, bytes([i // 2]), 1) for i in range(40)]
+    path = str(tmp_path / "members")
+    spark.createDataFrame(rows, "grp long, doc long, payload binary, one long").write.parquet(path)
+    read, run = [], neardup.linked_in_blocks
+
+    def noted(members, *args):
+        read.append((members.inputFiles(), members.select("grp").distinct().count()))
+        return run(members, *args)
+
+    monkeypatch.setattr(neardup, "linked_in_blocks", noted)
+    equal = lambda left, right: np.nonzero(np.array([[a == b for b in right] for a in left]))
+    got = neardup.linked_components(spark.read.parquet(path), "one", 8, equal)
+    assert {(r["doc"], r["comp"]) for r in got.collect()} == {(i, 0) for i in range(40)} | {(100 + i, 100 + i // 2 * 2) for i in range(40)}
+    assert [groups for _, groups in read] == [2, 1, 1]
+    assert not any(path in f for f in read[2][0])
